@@ -189,7 +189,7 @@ def classify(files: DataFrame) -> DataFrame:
         share = {k: min(1.0, TRAIN_ROWS / 2 / n) for k, n in sizes.items()}
         pick = F.abs(F.xxhash64("file_id", F.lit(SEED)) % 1_000_000) / 1_000_000 < F.when(F.col("weak"), share[True]).otherwise(share[False])
         # Unmarked rows hold cases as well, so the classes are balanced before the forest is fitted.
-        weight = sizes[False] * share[False] / (sizes[True] * share[True])
+        weight = max(1.0, sizes[False] * share[False] / (sizes[True] * share[True]))
         train = assembled.where(pick).select("x", "label", F.when(F.col("weak"), float(weight)).otherwise(1.0).alias("w")).persist()
         forest = RandomForestClassifier(featuresCol="x", labelCol="label", weightCol="w", numTrees=TREES, maxDepth=DEPTH, maxBins=64, minInstancesPerNode=4, seed=SEED, featureSubsetStrategy="all", subsamplingRate=0.8)
         model = forest.fit(train)

@@ -42,7 +42,7 @@ def test_found(spark):
 
     for i in range(60):
         put(f"src/a{i}.py", _hand(r), False, f"r{i % 7}")
-        put(f"lib/g{i}.py", ("# @generated by stubmill\n\n" if i % 2 else "") + _stub(r, 20 + i % 9), True, f"r{i % 7}")
+        put(f"lib/g{i}.py", ("# @generated by stubmill\n\n" if i % 5 else "") + _stub(r, 20 + i % 9), True, f"r{i % 7}")
         put(f"data/t{i}.py", _table(r, 90 + i), True, f"r{i % 5}")
         put(f"js/m{i}.js", "!function(){" + "".join(f'var a{k}={{q:"{r.getrandbits(30):x}",z:{k}}};' for k in range(80)) + "}();", True)
     lib = _hand(r, 25)
