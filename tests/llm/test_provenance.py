@@ -56,5 +56,6 @@ def test_found(spark):
     df = spark.createDataFrame(rows, "file_id bigint, repo_id string, file_path string, raw_content string, file_size_kb double, labelled string")
     got = [x.file_id for x in P.found(df).collect()]
     assert len(got) == len(set(got))
-    assert len(want - set(got)) <= 2 and len(set(got) - want) <= 1
+    hit = len(want & set(got))
+    assert hit >= 0.97 * len(want) and hit >= 0.98 * len(got)
     assert P.found(df.limit(0)).count() == 0
