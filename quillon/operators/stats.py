@@ -9,12 +9,17 @@ from quillon.functions import lookup, paths
 from quillon.functions.text import line_count
 from quillon.operators import files as f
 
-_P, _T = F.col("file_path"), F.col("raw_content")
+def _p() -> Column:
+    return F.col("file_path")
+
+
+def _t() -> Column:
+    return F.col("raw_content")
 
 
 def language_stats(files: DataFrame, chunks: DataFrame) -> DataFrame:
     """(repo_id, language, file_count, total_lines, total_chunks, n_frameworks)."""
-    base = files.select("file_id", "repo_id", paths.language(_P).alias("language"), line_count(_T).cast("bigint").alias("lines"), f.frameworks(_T).alias("fw"))
+    base = files.select("file_id", "repo_id", paths.language(_p()).alias("language"), line_count(_t()).cast("bigint").alias("lines"), f.frameworks(_t()).alias("fw"))
     per_chunk = chunks.groupBy("file_id").agg(F.count("*").alias("chunks"))
     joined = base.join(per_chunk, "file_id", "left")
     main = joined.groupBy("repo_id", "language").agg(F.count("*").alias("file_count"), F.sum("lines").alias("total_lines"), F.coalesce(F.sum("chunks"), F.lit(0)).alias("total_chunks"))
@@ -32,22 +37,22 @@ def polyglot_summary(per_language: DataFrame) -> DataFrame:
 
 def display_stats(files: DataFrame) -> DataFrame:
     """(language, file_count, extensions, first_path)."""
-    base = files.select(paths.display_language(_P).alias("language"), paths.suffix(_P).alias("ext"), "file_path")
+    base = files.select(paths.display_language(_p()).alias("language"), paths.suffix(_p()).alias("ext"), "file_path")
     return base.groupBy("language").agg(F.count("*").alias("file_count"), F.countDistinct("ext").alias("n_extensions"), F.min("file_path").alias("first_path"))
 
 
 def directory_stats(files: DataFrame) -> DataFrame:
     """(repo_id, n_files, size_kb, n_extensions, n_top_directories, max_depth)."""
-    top = F.when(_P.contains("/"), F.split(_P, "/")[0])
+    top = F.when(_p().contains("/"), F.split(_p(), "/")[0])
     return files.groupBy("repo_id").agg(
-        F.count("*").alias("n_files"), F.round(F.sum("file_size_kb"), 4).alias("size_kb"), F.countDistinct(paths.suffix(_P)).alias("n_extensions"),
-        F.countDistinct(top).alias("n_top_directories"), F.max(F.size(F.split(_P, "/")) - 1).cast("bigint").alias("max_depth"),
+        F.count("*").alias("n_files"), F.round(F.sum("file_size_kb"), 4).alias("size_kb"), F.countDistinct(paths.suffix(_p())).alias("n_extensions"),
+        F.countDistinct(top).alias("n_top_directories"), F.max(F.size(F.split(_p(), "/")) - 1).cast("bigint").alias("max_depth"),
     )
 
 
 def health(files: DataFrame) -> DataFrame:
     """Mean of four factors: smell density, language diversity, documentation and tests."""
-    base = files.select("repo_id", paths.language(_P).alias("language"), F.size(f.smells(_T, paths.language(_P))).alias("n"), f.is_doc(_P).cast("int").alias("doc"), f.is_test(_P).cast("int").alias("test"))
+    base = files.select("repo_id", paths.language(_p()).alias("language"), F.size(f.smells(_t(), paths.language(_p()))).alias("n"), f.is_doc(_p()).cast("int").alias("doc"), f.is_test(_p()).cast("int").alias("test"))
     agg = base.groupBy("repo_id").agg(F.count("*").alias("files"), F.sum("n").alias("smells"), F.countDistinct("language").alias("langs"), F.sum("doc").alias("docs"), F.sum("test").alias("tests"))
     density = F.greatest(F.lit(0.0), 1 - (F.coalesce("smells", F.lit(0)) / F.col("files")) / 10)
     diversity = F.when(F.col("langs") == 1, 0.8).when(F.col("langs") <= 5, 1.0).otherwise(F.greatest(F.lit(0.5), 1 - (F.col("langs") - 5) * 0.1))
@@ -59,14 +64,14 @@ def health(files: DataFrame) -> DataFrame:
 def languages_by_lines(files: DataFrame) -> DataFrame:
     """(repo_id, language, files, lines) of six extensions, as the dependency report counts them."""
     names = {".py": "Python", ".js": "JavaScript", ".ts": "TypeScript", ".java": "Java", ".go": "Go", ".rs": "Rust"}
-    base = files.withColumn("language", paths.lit_map(names)[paths.suffix(_P)]).where("language is not null")
-    return base.groupBy("repo_id", "language").agg(F.count("*").alias("files"), F.sum(line_count(_T)).cast("bigint").alias("lines"))
+    base = files.withColumn("language", paths.lit_map(names)[paths.suffix(_p())]).where("language is not null")
+    return base.groupBy("repo_id", "language").agg(F.count("*").alias("files"), F.sum(line_count(_t())).cast("bigint").alias("lines"))
 
 
 def _config_match(pattern: str) -> Column:
     if "*" in pattern:
-        return _P.rlike("(^|/)" + pattern.replace(".", r"\.").replace("*", "[^/]*") + "$")
-    return _P == pattern
+        return _p().rlike("(^|/)" + pattern.replace(".", r"\.").replace("*", "[^/]*") + "$")
+    return _p() == pattern
 
 
 def config_counts(files: DataFrame) -> DataFrame:
@@ -78,7 +83,7 @@ def config_counts(files: DataFrame) -> DataFrame:
 
 def framework_votes(files: DataFrame) -> DataFrame:
     """(repo_id, primary, hits, confidence): hits over files, which may pass 1; ties go to the first name."""
-    votes = [F.sum(sum((_T.contains(i) | _P.contains(i)).cast("int") for i in marks)).cast("bigint").alias(name) for name, marks in lookup.FRAMEWORK_INDICATORS.items()]
+    votes = [F.sum(sum((_t().contains(i) | _p().contains(i)).cast("int") for i in marks)).cast("bigint").alias(name) for name, marks in lookup.FRAMEWORK_INDICATORS.items()]
     wide = files.groupBy("repo_id").agg(F.count("*").alias("files"), *votes)
     long = wide.unpivot(["repo_id", "files"], list(lookup.FRAMEWORK_INDICATORS), "framework", "hits").where("hits > 0")
     best = long.groupBy("repo_id").agg(F.min_by(F.struct("framework", "hits", "files"), F.struct(-F.col("hits"), "framework")).alias("b"))
@@ -87,21 +92,21 @@ def framework_votes(files: DataFrame) -> DataFrame:
 
 def naming(files: DataFrame) -> DataFrame:
     """(repo_id, kind, convention, n) for file, function and class names."""
-    stem = paths.stem(_P)
+    stem = paths.stem(_p())
     first = F.substring(stem, 1, 1)
     upper = lambda c: c.rlike("[A-Z]")
     file_kind = F.when(stem.contains("_") & (stem == F.lower(stem)), "snake_case").when(stem.contains("-"), "kebab_case").when(upper(first), "PascalCase").when(first.rlike("[a-z]") & upper(stem), "camelCase")
     rows = files.select("repo_id", F.lit("file").alias("kind"), file_kind.alias("convention"))
-    funcs = files.select("repo_id", F.explode(F.regexp_extract_all(_T, F.lit(r"def\s+([a-zA-Z_]\w*)"), 1)).alias("name"))
+    funcs = files.select("repo_id", F.explode(F.regexp_extract_all(_t(), F.lit(r"def\s+([a-zA-Z_]\w*)"), 1)).alias("name"))
     rows = rows.unionByName(funcs.select("repo_id", F.lit("function").alias("kind"), F.when(F.col("name").contains("_"), "snake_case").when(upper(F.substring("name", 2, 10_000)), "camelCase").alias("convention")))
-    classes = files.select("repo_id", F.explode(F.regexp_extract_all(_T, F.lit(r"class\s+([a-zA-Z_]\w*)"), 1)).alias("name"))
+    classes = files.select("repo_id", F.explode(F.regexp_extract_all(_t(), F.lit(r"class\s+([a-zA-Z_]\w*)"), 1)).alias("name"))
     rows = rows.unionByName(classes.select("repo_id", F.lit("class").alias("kind"), F.when(upper(F.substring("name", 1, 1)), "PascalCase").otherwise("snake_case").alias("convention")))
     return rows.where("convention is not null").groupBy("repo_id", "kind", "convention").agg(F.count("*").alias("n"))
 
 
 def top_modules(files: DataFrame, k: int = 10) -> DataFrame:
     """(repo_id, module, n, rank) of imported modules; ties by name."""
-    names = files.select("repo_id", F.explode(F.regexp_extract_all(_T, F.lit(r"(?:from|import)\s+([a-zA-Z_][\w\.]*)"), 1)).alias("module"))
+    names = files.select("repo_id", F.explode(F.regexp_extract_all(_t(), F.lit(r"(?:from|import)\s+([a-zA-Z_][\w\.]*)"), 1)).alias("module"))
     counts = names.groupBy("repo_id", "module").agg(F.count("*").alias("n"))
     order = Window.partitionBy("repo_id").orderBy(F.desc("n"), "module")
     return counts.withColumn("rank", F.row_number().over(order).cast("bigint")).where(F.col("rank") <= k)
@@ -109,14 +114,14 @@ def top_modules(files: DataFrame, k: int = 10) -> DataFrame:
 
 def testing(files: DataFrame) -> DataFrame:
     """(repo_id, n_test_files, n_test_directories, n_pytest, n_unittest, n_jest)."""
-    t = files.where(f.is_test(_P))
-    has = lambda m: F.count_if(_T.contains(m))
-    return t.groupBy("repo_id").agg(F.count("*").alias("n_test_files"), F.countDistinct(paths.directory(_P)).alias("n_test_directories"), has("pytest").alias("n_pytest"), has("unittest").alias("n_unittest"), has("describe(").alias("n_jest"))
+    t = files.where(f.is_test(_p()))
+    has = lambda m: F.count_if(_t().contains(m))
+    return t.groupBy("repo_id").agg(F.count("*").alias("n_test_files"), F.countDistinct(paths.directory(_p())).alias("n_test_directories"), has("pytest").alias("n_pytest"), has("unittest").alias("n_unittest"), has("describe(").alias("n_jest"))
 
 
 def primary_by_weight(files: DataFrame) -> DataFrame:
     """(repo_id, language, files, score): the language with the largest files x weight; ties by name."""
-    counts = files.groupBy("repo_id", paths.language(_P).alias("language")).agg(F.count("*").alias("files")).where("language <> 'unknown'")
+    counts = files.groupBy("repo_id", paths.language(_p()).alias("language")).agg(F.count("*").alias("files")).where("language <> 'unknown'")
     weight = F.coalesce(paths.lit_map({k: str(v) for k, v in lookup.LANGUAGE_WEIGHTS.items()})[F.col("language")].cast("bigint"), F.lit(1).cast("bigint"))
     scored = counts.withColumn("score", F.col("files") * weight)
     best = scored.groupBy("repo_id").agg(F.min_by(F.struct("language", "files", "score"), F.struct(-F.col("score"), "language")).alias("b"))
@@ -126,8 +131,8 @@ def primary_by_weight(files: DataFrame) -> DataFrame:
 def ecosystems(files: DataFrame) -> DataFrame:
     """(repo_id, primary_type, n_detected): by files at the root, else by extensions anywhere, then by priority."""
     names = sorted(set(lookup.ECOSYSTEM_FILES) | set(lookup.ECOSYSTEM_EXTENSIONS))
-    by_file = [F.bool_or(_P.isin(lookup.ECOSYSTEM_FILES.get(n, [""]))).alias(f"f_{n}") for n in names]
-    by_ext = [F.bool_or(paths.suffix(_P).isin(lookup.ECOSYSTEM_EXTENSIONS.get(n, ["-"]))).alias(f"e_{n}") for n in names]
+    by_file = [F.bool_or(_p().isin(lookup.ECOSYSTEM_FILES.get(n, [""]))).alias(f"f_{n}") for n in names]
+    by_ext = [F.bool_or(paths.suffix(_p()).isin(lookup.ECOSYSTEM_EXTENSIONS.get(n, ["-"]))).alias(f"e_{n}") for n in names]
     wide = files.groupBy("repo_id").agg(*by_file, *by_ext)
     any_file = F.lit(False)
     for n in names:
@@ -141,7 +146,7 @@ def ecosystems(files: DataFrame) -> DataFrame:
 
 def relationships(files: DataFrame) -> DataFrame:
     """(repo_id, n_files, n_categories, primary_category, secondary, cross_layer, complexity)."""
-    distinct = files.select("repo_id", "file_path").distinct().withColumn("category", paths.category(_P))
+    distinct = files.select("repo_id", "file_path").distinct().withColumn("category", paths.category(_p()))
     counts = distinct.groupBy("repo_id", "category").agg(F.count("*").alias("n"))
     order = Window.partitionBy("repo_id").orderBy(F.desc("n"), "category")
     ranked = counts.withColumn("r", F.row_number().over(order))
@@ -160,7 +165,7 @@ def structure_tree(files: DataFrame, first: int = 20) -> DataFrame:
     order = Window.partitionBy("repo_id").orderBy("file_path")
     ranked = distinct.withColumn("r", F.row_number().over(order))
     total = distinct.groupBy("repo_id").agg(F.count("*").alias("n"))
-    line = F.concat(F.expr("repeat('  ', size(split(file_path, '/')) - 1)"), paths.basename(_P))
+    line = F.concat(F.expr("repeat('  ', size(split(file_path, '/')) - 1)"), paths.basename(_p()))
     shown = ranked.where(F.col("r") <= first).groupBy("repo_id").agg(F.array_sort(F.collect_list(F.struct("r", line.alias("l")))).alias("a"))
     tree = F.array_join(F.transform("a", lambda s: s["l"]), "\n")
     more = F.when(F.col("n") > first, F.concat(F.lit("\n... and "), (F.col("n") - first).cast("string"), F.lit(" more"))).otherwise("")
@@ -169,8 +174,8 @@ def structure_tree(files: DataFrame, first: int = 20) -> DataFrame:
 
 def snapshot(files: DataFrame) -> DataFrame:
     """(repo_id, n_test, n_impl, test_ratio): tests first, then implementation by place or extension."""
-    test = F.lower(_P).contains("test") | F.lower(_P).contains("spec")
-    impl = ~test & (_P.startswith("src/") | _P.startswith("lib/") | paths.suffix(_P).isin(".py", ".js", ".rs", ".go"))
+    test = F.lower(_p()).contains("test") | F.lower(_p()).contains("spec")
+    impl = ~test & (_p().startswith("src/") | _p().startswith("lib/") | paths.suffix(_p()).isin(".py", ".js", ".rs", ".go"))
     agg = files.groupBy("repo_id").agg(F.count_if(test).alias("n_test"), F.count_if(impl).alias("n_impl"))
     return agg.withColumn("test_ratio", F.round(F.when(F.col("n_impl") > 0, F.col("n_test") / F.col("n_impl")).otherwise(0.0), 3))
 

@@ -4,7 +4,6 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from quillon.functions import lookup, paths
 from quillon.functions.text import version_core
@@ -66,7 +65,7 @@ def license_health(found: DataFrame, repos: DataFrame) -> DataFrame:
     return repos.select("repo_id").distinct().join(per, "repo_id", "left").select("repo_id", F.coalesce("n_violations", F.lit(0)).alias("n_violations"), F.greatest(F.lit(0), 100 - F.coalesce("w", F.lit(0))).cast("bigint").alias("license_health"))
 
 
-ADVISORY = T.StructType.fromDDL("severity array<struct<type string, score double>>, database_specific struct<severity string>, affected array<struct<versions array<string>, ranges array<struct<events array<struct<introduced string, fixed string>>>>>>")
+ADVISORY = "severity array<struct<type string, score double>>, database_specific struct<severity string>, affected array<struct<versions array<string>, ranges array<struct<events array<struct<introduced string, fixed string>>>>>>"
 
 
 def advisories(raw: DataFrame) -> DataFrame:
