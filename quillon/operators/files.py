@@ -47,18 +47,22 @@ def marks_found(text: Column, table: dict[str, list[str]]) -> Column:
     return F.array_compact(F.array(*[F.when(paths.contains_any(text, marks), F.lit(name)) for name, marks in table.items()]))
 
 
+def _lower_once(text: Column, make) -> Column:
+    """An expression over the lower-cased text, which is made once per row however often it is used."""
+    return F.transform(F.array(F.lower(text)), make)[0]
+
+
 def frameworks(text: Column) -> Column:
-    return marks_found(F.lower(text), lookup.FRAMEWORK_MARKS)
+    return _lower_once(text, lambda low: marks_found(low, lookup.FRAMEWORK_MARKS))
 
 
 def framework_signatures(text: Column) -> Column:
-    return marks_found(F.lower(text), lookup.FRAMEWORK_SIGNATURES)
+    return _lower_once(text, lambda low: marks_found(low, lookup.FRAMEWORK_SIGNATURES))
 
 
 def smells(text: Column, language: Column) -> Column:
     """Signs of poor quality, as an array of names in a fixed order."""
     n = line_count(text)
-    low = F.lower(text)
     lines = F.split(text, "\n")
     long_lines = F.size(F.filter(lines, lambda x: F.length(F.trim(x)) > 100))
     js = language.isin("javascript", "typescript")
@@ -68,9 +72,10 @@ def smells(text: Column, language: Column) -> Column:
         ((language == "python") & (long_lines > n * 0.1), "long_lines"), (js & text.contains("eval("), "eval_usage"),
         (js & (occurrences(text, "var ") > occurrences(text, "let ") + occurrences(text, "const ")), "var_over_let_const"),
         ((language == "java") & (occurrences(text, "public class") > 1), "multiple_public_classes"), ((language == "java") & text.contains("System.out.print"), "system_out_usage"),
-        *[(low.contains(w), f"potential_{w}_exposure") for w in lookup.SECURITY_WORDS],
     ]
-    return F.array_compact(F.array(*[F.when(c, F.lit(name)) for c, name in checks]))
+    first = F.array_compact(F.array(*[F.when(c, F.lit(name)) for c, name in checks]))
+    exposed = _lower_once(text, lambda low: F.array_compact(F.array(*[F.when(low.contains(w), F.lit(f"potential_{w}_exposure")) for w in lookup.SECURITY_WORDS])))
+    return F.concat(first, F.coalesce(exposed, F.array().cast("array<string>")))
 
 
 def ast_summary(chunks: DataFrame) -> DataFrame:

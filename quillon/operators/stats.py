@@ -22,9 +22,9 @@ def language_stats(files: DataFrame, chunks: DataFrame) -> DataFrame:
     base = files.select("file_id", "repo_id", paths.language(_p()).alias("language"), line_count(_t()).cast("bigint").alias("lines"), f.frameworks(_t()).alias("fw"))
     per_chunk = chunks.groupBy("file_id").agg(F.count("*").alias("chunks"))
     joined = base.join(per_chunk, "file_id", "left")
-    main = joined.groupBy("repo_id", "language").agg(F.count("*").alias("file_count"), F.sum("lines").alias("total_lines"), F.coalesce(F.sum("chunks"), F.lit(0)).alias("total_chunks"))
-    used = base.select("repo_id", "language", F.explode("fw").alias("x")).distinct().groupBy("repo_id", "language").agg(F.count("*").alias("n_frameworks"))
-    return main.join(used, ["repo_id", "language"], "left").fillna(0, ["n_frameworks"])
+    # The sets of frameworks that occur together are few, so collecting them keeps this to one pass over the texts.
+    used = F.size(F.array_distinct(F.flatten(F.collect_set("fw")))).cast("bigint")
+    return joined.groupBy("repo_id", "language").agg(F.count("*").alias("file_count"), F.sum("lines").alias("total_lines"), F.coalesce(F.sum("chunks"), F.lit(0)).alias("total_chunks"), used.alias("n_frameworks"))
 
 
 def polyglot_summary(per_language: DataFrame) -> DataFrame:
