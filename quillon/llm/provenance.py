@@ -19,6 +19,7 @@ import re
 import zlib
 from collections import Counter
 from collections.abc import Iterator
+from functools import lru_cache
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -41,6 +42,7 @@ NAME_MARK = re.compile(r"(?i)[.-]min\.(?:js|mjs|css)$|\.bundle\.js$|\.pb\.go$")
 #: Files that are never cases by their kind.
 EXEMPT = re.compile(r"(?i)(^|/)((un)?licen[cs]e|copying|notice|readme|changelog|notes?)[^/]*$|\.(md|rst|txt|toml|ini|cfg|pem|key|env|yaml|yml|npmrc|netrc|pgpass|local|dockerfile|sh|lock|pub)$|(^|/)(dockerfile|makefile)$|(^|/)\.|(^|/)package\.json$")
 _COMMENT = re.compile(r"^\s*(?://|#(?!\s*(?:include|define|if|pragma|endif|else))|\*|/\*|--|<!--|;)")
+_COMMENT_LINES = re.compile(r"^[^\S\n]*(?://|#(?!\s*(?:include|define|if|pragma|endif|else))|\*|/\*|--|<!--|;)", re.M)
 _SKIP = re.compile(r"^\s*(?:<\?php|\*/|)\s*$")
 _TOKEN = re.compile(r"[A-Za-z_$][\w$]*|\d[\w.]*|\S")
 
@@ -74,6 +76,12 @@ def marks(header: list[str]) -> tuple[bool, str | None]:
     return case, lib
 
 
+@lru_cache(maxsize=1)
+def _shapes(body: str) -> Counter:
+    """Lines with their words masked, blank ones left out; kept for the second use of the same body."""
+    return Counter(filter(None, map(str.strip, re.sub(r"\w+", "w", body).split("\n"))))
+
+
 def figures(body: str) -> list[float]:
     """The features of one body."""
     raw = body.encode("utf-8", "replace")
@@ -84,7 +92,7 @@ def figures(body: str) -> list[float]:
     total = max(1, len(tokens))
     idents = [(len(t), c) for t, c in counts.items() if t[0].isalpha() or t[0] in "_$"]
     n_ident = max(1, sum(c for _, c in idents))
-    shapes = Counter(re.sub(r"\w+", "w", x.strip()) for x in lines if x.strip())
+    shapes = _shapes(body)
     filled = max(1, sum(shapes.values()))
     digits = sum(body.count(d) for d in "0123456789")
     spaces = body.count(" ") + body.count("\n") + body.count("\t")
@@ -94,7 +102,7 @@ def figures(body: str) -> list[float]:
         -sum(c / total * math.log2(c / total) for c in counts.values()),
         sum(k * c for k, c in idents) / n_ident,
         float(min(400, max([k for k, _ in idents], default=0))),
-        sum(1 for x in lines if _COMMENT.match(x)) / len(lines),
+        len(_COMMENT_LINES.findall(body)) / len(lines),
         n / len(lines),
         float(min(5000, max(map(len, lines)))),
         digits / n,
@@ -122,7 +130,7 @@ def weakly_marked(body: str) -> bool:
         return True
     if len(body) < 800:
         return False
-    shapes = Counter(re.sub(r"\w+", "w", x.strip()) for x in body.split("\n") if x.strip())
+    shapes = _shapes(body)
     if sum(shapes.values()) >= 20 and shapes.most_common(1)[0][1] >= 0.8 * sum(shapes.values()):
         return True
     literals = _LITERAL.findall(body)
