@@ -236,3 +236,58 @@ def context(hits: DataFrame, per_file: int = 5) -> DataFrame:
     files = top.groupBy("query_id", "path").agg(F.max("score").alias("best"), F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("n", "text"))), lambda s: s["text"]), "\n").alias("body"))
     block = F.concat(F.lit("## "), F.col("path"), F.lit("\n"), F.col("body"))
     return files.groupBy("query_id").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct((-F.col("best")).alias("b"), "path", block.alias("t")))), lambda s: s["t"]), "\n\n").alias("context"))
+
+
+# ---------------------------------------------------------------- strategies put together
+
+
+def node_scores(nodes: DataFrame, names: list[tuple[str, float]], most: int = 10) -> DataFrame:
+    """(repo_id, node_id, score, rank): how much of a question's named elements a node's id and name contain; zero scores are left out.
+
+    ``names`` are the few (text, confidence) of one question, so they are constants of the expression and no join is needed.
+    """
+    low = F.lower("node_id")
+    name = F.lower(F.regexp_extract("node_id", r"([^/]*)$", 1))
+    score = F.lit(0.0)
+    for text, confidence in names:
+        score = score + F.when(low.contains(text.lower()), 2.0 * confidence).otherwise(0.0) + F.when(name.contains(text.lower()), confidence).otherwise(0.0)
+    order = Window.partitionBy("repo_id").orderBy(F.desc("score"), "node_id")
+    found = nodes.select("repo_id", "node_id", F.round(score, 6).alias("score")).where("score > 0").distinct()
+    return found.withColumn("rank", F.row_number().over(order).cast("bigint")).where(F.col("rank") <= most)
+
+
+def hybrid(*parts: tuple[str, DataFrame]) -> DataFrame:
+    """(query_id, id, n_strategies, strategies) over the hits of several strategies, each hit once."""
+    every = None
+    for name, hits in parts:
+        one = hits.select("query_id", "id").withColumn("strategy", F.lit(name))
+        every = one if every is None else every.unionByName(one)
+    return every.groupBy("query_id", "id").agg(F.countDistinct("strategy").alias("n_strategies"), F.array_join(F.array_sort(F.collect_set("strategy")), ",").alias("strategies"))
+
+
+def exemplars(hits: DataFrame, keep: Column) -> DataFrame:
+    """The best hit of every file that ``keep`` admits, per query."""
+    order = Window.partitionBy("query_id", "path").orderBy(F.desc("score"), "id")
+    return hits.where(keep).withColumn("_n", F.row_number().over(order)).where("_n = 1").drop("_n")
+
+
+def answer_confidence(hits: DataFrame, most: int = 5) -> DataFrame:
+    """(query_id, n_hits, confidence): the mean score of the first hits, held between 0.3 and 0.9."""
+    order = Window.partitionBy("query_id").orderBy(F.desc("score"), "id")
+    top = hits.withColumn("_n", F.row_number().over(order)).where(F.col("_n") <= most)
+    return top.groupBy("query_id").agg(F.count("*").alias("n_hits"), F.round(F.least(F.lit(0.9), F.greatest(F.lit(0.3), F.avg("score"))), 6).alias("confidence"))
+
+
+def readiness(repos: DataFrame, vectors: DataFrame, edges: DataFrame) -> DataFrame:
+    """(repo_id, status): excellent with an index and a graph, good with one of them, else poor."""
+    v = vectors.select("repo_id").distinct().withColumn("v", F.lit(True))
+    e = edges.select("repo_id").distinct().withColumn("e", F.lit(True))
+    both = repos.select("repo_id").distinct().join(v, "repo_id", "left").join(e, "repo_id", "left")
+    return both.select("repo_id", F.when(F.col("v") & F.col("e"), "excellent").when(F.coalesce("v", "e"), "good").otherwise("poor").alias("status"))
+
+
+def function_names(text: Column) -> Column:
+    """Distinct names of functions in Python and JavaScript text, sorted."""
+    python = F.regexp_extract_all(text, F.lit(r"def\s+([a-zA-Z_]\w*)\s*\("), 1)
+    script = F.regexp_extract_all(text, F.lit(r"function\s+([a-zA-Z_]\w*)\s*\("), 1)
+    return F.array_sort(F.array_distinct(F.concat(python, script)))

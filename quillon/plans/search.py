@@ -87,7 +87,42 @@ def question_variants(spark: SparkSession, d: str) -> DataFrame:
     return names.select("doc_id", F.posexplode(R.expansions(F.lit(QUESTION), F.col("names"))).alias("place", "variant")).withColumn("place", F.col("place").cast("bigint"))
 
 
-QUERIES = {f.__name__: f for f in (nearest_vectors, expanded_search, multi_hop_search, chunk_features, unique_chunks, selected_hits, search_context, entities, entity_aliases, routed_questions, question_variants)}
+def node_matches(spark: SparkSession, d: str) -> DataFrame:
+    """Files that a question's names point at."""
+    from quillon.operators import graph
+
+    return R.node_scores(graph.file_nodes(table(spark, d, "source_files")), [("cache", 0.8), ("session", 0.8), ("lease", 0.8)]).withColumn("score", F.round("score", 6))
+
+
+def hybrid_search(spark: SparkSession, d: str) -> DataFrame:
+    """Nearest and multi-hop hits together."""
+    return R.hybrid(("nearest", R.nearest(_vectors(spark, d), _asked(spark, d), 10)), ("multi_hop", R.multi_hop(_vectors(spark, d), _asked(spark, d), 5, 2)))
+
+
+def style_exemplars(spark: SparkSession, d: str) -> DataFrame:
+    """The best hit of every documentation source."""
+    return R.exemplars(_hits(spark, d), F.col("path").rlike("docs|readmes|tutorials")).select("query_id", "path", "id")
+
+
+def answer_confidence(spark: SparkSession, d: str) -> DataFrame:
+    """R25."""
+    return R.answer_confidence(_hits(spark, d))
+
+
+def search_readiness(spark: SparkSession, d: str) -> DataFrame:
+    """Chunks stand for the index."""
+    from quillon.operators import graph
+
+    return R.readiness(table(spark, d, "repos"), table(spark, d, "chunks"), graph.import_edges(table(spark, d, "source_files")))
+
+
+def function_names(spark: SparkSession, d: str) -> DataFrame:
+    """X11, G11."""
+    return table(spark, d, "source_files").select("file_id", F.explode(R.function_names(F.col("raw_content"))).alias("name"))
+
+
+_MORE = (node_matches, hybrid_search, style_exemplars, answer_confidence, search_readiness, function_names)
+QUERIES = {f.__name__: f for f in (nearest_vectors, expanded_search, multi_hop_search, chunk_features, unique_chunks, selected_hits, search_context, entities, entity_aliases, routed_questions, question_variants, *_MORE)}
 
 _KNN = "v AS (SELECT vec_id, list_transform(embedding, lambda x: CAST(x AS DOUBLE)) AS e FROM embeddings WHERE embedding IS NOT NULL), k AS (SELECT q.vec_id AS query_id, v.vec_id AS id, round(list_sum(list_transform(list_zip(q.e, v.e), lambda z: (z[1] - z[2]) * (z[1] - z[2]))), 6) AS distance FROM v q JOIN v ON q.vec_id % 20 = 0 AND q.vec_id <> v.vec_id AND len(q.e) = len(v.e)), r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY distance, id) AS rank FROM k)"
 _TOK = "list_distinct(list_filter(regexp_split_to_array(lower({}), '[\\t-\\r ]+'), lambda t: t <> ''))"
@@ -98,7 +133,13 @@ _has = lambda p, w: f"CASE WHEN regexp_matches(lower(chunk_text), '{p}') THEN {w
 _FEATURES = f"""f AS (SELECT file_id, pos, least(1, len(list_intersect({_TOK.format("'" + QUESTION + "'")}, {_TOK.format('chunk_text')})) / len({_TOK.format("'" + QUESTION + "'")}) + CASE WHEN contains(lower(chunk_text), '{QUESTION}') THEN 0.5 ELSE 0 END) AS a,
     least(1, (0.5 + {_has('def\\s+\\w+\\s*\\(', 0.1)} + {_has('class\\s+\\w+', 0.1)} + {_has('import\\s+\\w+', 0.05)} + {_has('(?s)""".*?"""', 0.1)} + {_has('#\\s*\\w+', 0.05)}) * CASE WHEN length(chunk_text) < 50 THEN 0.5 WHEN length(chunk_text) > 2000 THEN 0.8 ELSE 1 END) AS c,
     least(1, 0.5 + CASE WHEN regexp_matches(lower(file_path), '\\.(py|js|java)$') THEN 0.2 WHEN regexp_matches(lower(file_path), '\\.(md|txt|rst)$') THEN 0.1 ELSE 0 END + CASE WHEN regexp_matches(lower(file_path), 'src|core|api|routes|models|services') THEN 0.1 ELSE 0 END) AS s FROM (SELECT DISTINCT * FROM chunks) WHERE chunk_text IS NOT NULL)"""
+_HITS = f"{_KNN}, h AS (SELECT query_id, r.id, distance, rank, coalesce(source, 'unknown') AS path, round(1 / (1 + distance), 9) AS score FROM r JOIN documents ON doc_id = r.id WHERE rank <= 20)"
+_NODE = " + ".join(f"CASE WHEN contains(lower(file_path), '{w}') THEN 1.6 ELSE 0 END + CASE WHEN contains(lower(regexp_extract(file_path, '([^/]*)$', 1)), '{w}') THEN 0.8 ELSE 0 END" for w in ("cache", "session", "lease"))
 ORACLES = {
+    "node_matches": f"WITH n AS (SELECT DISTINCT repo_id, file_path AS node_id, CAST({_NODE} AS DOUBLE) AS score FROM source_files WHERE file_path IS NOT NULL), s AS (SELECT repo_id, node_id, round(score, 6) AS score, row_number() OVER (PARTITION BY repo_id ORDER BY round(score, 6) DESC, node_id) AS rank FROM n WHERE score > 0) SELECT * FROM s WHERE rank <= 10",
+    "style_exemplars": f"WITH {_HITS} SELECT query_id, path, id FROM h WHERE regexp_matches(path, 'docs|readmes|tutorials') QUALIFY row_number() OVER (PARTITION BY query_id, path ORDER BY score DESC, id) = 1",
+    "answer_confidence": f"WITH {_HITS}, t AS (SELECT * FROM h QUALIFY row_number() OVER (PARTITION BY query_id ORDER BY score DESC, id) <= 5) SELECT query_id, count(*) AS n_hits, round(least(0.9, greatest(0.3, avg(score))), 6) AS confidence FROM t GROUP BY 1",
+    "function_names": "SELECT DISTINCT file_id, name FROM (SELECT file_id, unnest(regexp_extract_all(raw_content, 'def\\s+([a-zA-Z_]\\w*)\\s*\\(', 1)) AS name FROM source_files UNION ALL SELECT file_id, unnest(regexp_extract_all(raw_content, 'function\\s+([a-zA-Z_]\\w*)\\s*\\(', 1)) FROM source_files)",
     "nearest_vectors": f"WITH {_KNN} SELECT query_id, id, distance, rank, label FROM r JOIN embeddings e ON e.vec_id = r.id WHERE rank <= 10",
     "expanded_search": f"WITH {_KNN}, a AS (SELECT vec_id, vec_id // 40 * 40 AS query_id FROM v WHERE vec_id % 20 = 0), n AS (SELECT query_id, count(*) AS n FROM a GROUP BY 1) SELECT a.query_id, a.vec_id, r.id, r.distance, r.rank FROM r JOIN a ON a.vec_id = r.query_id JOIN n ON n.query_id = a.query_id WHERE rank <= 20 // n",
     "chunk_features": f"WITH {_FEATURES} SELECT file_id, pos, round(CAST(a AS DOUBLE), 6) AS text_relevance, CAST(0.5 AS DOUBLE) AS entity_coverage, round(CAST(c AS DOUBLE), 6) AS code_quality, CAST(0.5 AS DOUBLE) AS freshness, round(CAST(s AS DOUBLE), 6) AS structural, round(CAST(0.3 * a + 0.15 + 0.2 * c + 0.05 + 0.1 * s AS DOUBLE), 6) AS final_score FROM f",
