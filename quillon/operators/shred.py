@@ -16,7 +16,8 @@ Defined results:
   distinct in :func:`links`.
 
 Scale: a record is shredded where it is read, with no shuffle. The pivot and the two ancestor joins
-are on (record_id, node), so a hot repository spreads by record and node. Nothing is broadcast or collected.
+are on (record_id, node), so a hot repository spreads by record and node. Nothing is broadcast or collected. The table is read several times by what
+follows, so queries store it once in the shared checkpoint folder (:func:`stored`), with only the scalars that they need.
 """
 
 from __future__ import annotations
@@ -28,6 +29,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from quillon.session import cut_lineage
+
 NODE_SCHEMA = (
     "record_id bigint, node int, parent int, label string, ordinal int, kind string, scalar string, depth int"
 )
@@ -78,8 +81,9 @@ def shred_value(document) -> list[tuple]:
     return out
 
 
-def shred(records: DataFrame, id_col: str = "record_id", payload_col: str = "payload") -> DataFrame:
-    """Adjacency table of all nodes of all readable payloads."""
+def shred(records: DataFrame, id_col: str = "record_id", payload_col: str = "payload", labels: list[str] | None = None) -> DataFrame:
+    """Adjacency table of all nodes of all readable payloads; with ``labels``, of scalars only those so named."""
+    wanted = None if labels is None else frozenset(labels)
     names = ["record_id", "node", "parent", "label", "ordinal", "kind", "scalar", "depth"]
     types = [pa.int64(), pa.int32(), pa.int32(), pa.string(), pa.int32(), pa.string(), pa.string(), pa.int32()]
 
@@ -89,7 +93,7 @@ def shred(records: DataFrame, id_col: str = "record_id", payload_col: str = "pay
             for rid, payload in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
                 document = _document(payload)
                 if document is not None:
-                    rows += [(rid, *n) for n in shred_value(document)]
+                    rows += [(rid, *n) for n in shred_value(document) if wanted is None or n[4] in ("object", "array") or n[2] in wanted]
                 if len(rows) > 50_000:
                     yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows), types)], names)
                     rows = []
@@ -100,6 +104,11 @@ def shred(records: DataFrame, id_col: str = "record_id", payload_col: str = "pay
     return slim.where(F.col("payload").isNotNull()).mapInArrow(run, NODE_SCHEMA)
 
 
+def stored(records: DataFrame, labels: list[str]) -> DataFrame:
+    """The adjacency table with the scalars asked for and the keys, materialised so that payloads are parsed once."""
+    return cut_lineage(shred(records, labels=[*KEY_LABELS, *labels]))
+
+
 def entity_nodes(nodes: DataFrame, values: DataFrame) -> DataFrame:
     """Object nodes that are entities: (record_id, node, kind, map_key, owner, category, c_...).
 
