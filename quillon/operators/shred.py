@@ -225,10 +225,12 @@ def entity_table(nodes: DataFrame, kind: str) -> DataFrame:
 
 def _member_list(nodes: DataFrame, label: str) -> DataFrame:
     """Values of a member that is a scalar or an array of scalars: (record_id, node, <label> array)."""
-    one = nodes.where((F.col("label") == label) & F.col("scalar").isNotNull())
+    filled = nodes.where(F.col("scalar").isNotNull())
+    alone = filled.where(F.col("label") == label).select("record_id", F.col("parent").alias("node"), "ordinal", "scalar")
     arrays = nodes.where((F.col("label") == label) & (F.col("kind") == "array")).select("record_id", F.col("node").alias("parent"), F.col("parent").alias("over"))
+    listed = filled.where(F.col("label") == "[]").join(arrays, ["record_id", "parent"]).select("record_id", F.col("over").alias("node"), "ordinal", "scalar")
     return (
-        one.join(arrays, ["record_id", "parent"], "left")
-        .groupBy("record_id", F.coalesce("over", "parent").alias("node"))
+        alone.unionByName(listed)
+        .groupBy("record_id", "node")
         .agg(F.transform(F.array_sort(F.collect_list(F.struct("ordinal", "scalar"))), lambda s: s["scalar"]).alias(label))
     )

@@ -11,7 +11,7 @@ DOC = {
             "text_chunks": [{"chunk_id": "c1", "token_count": "7", "start_line": 1}, {"chunk_id": "c1"}],
             "api_endpoints": {"path": "/x", "methods": "GET"},
         },
-        {"file_path": "b.py", "text_chunks": {"chunk_id": "c2"}, "api_endpoints": None},
+        {"file_path": "b.py", "text_chunks": {"chunk_id": "c2"}, "api_endpoints": [{"path": "/z", "methods": ["PUT", "GET"]}]},
         {"file_path": "c.py", "text_chunks": {"k1": {"chunk_text": "t"}, "k2": {"chunk_text": "u"}}},
         {"detected_language": "go"},
     ],
@@ -23,7 +23,7 @@ DOC = {
 WANT = {
     ("file", "r1", "a.py"), ("file", "r1", "b.py"), ("file", "r1", "c.py"),
     ("chunk", "a.py", "c1"), ("chunk", "b.py", "c2"), ("chunk", "c.py", "k1"), ("chunk", "c.py", "k2"),
-    ("endpoint", "a.py", "/x"), ("dependency", "application", "d1"), ("dependency", "testing", "d2"), ("service", "r1", "s1"),
+    ("endpoint", "a.py", "/x"), ("endpoint", "b.py", "/z"), ("dependency", "application", "d1"), ("dependency", "testing", "d2"), ("service", "r1", "s1"),
 }
 
 
@@ -54,8 +54,10 @@ def test_tables_and_types(spark):
     chunks = shred.entity_table(nodes, "chunk").orderBy("node").collect()
     assert [c.child_key for c in chunks] == ["c1", "c1", "c2", "k1", "k2"]
     assert chunks[0].token_count == 7 and chunks[0].start_line == 1 and chunks[3].chunk_text == "t"
-    end = shred.entity_table(nodes, "endpoint").collect()
-    assert end[0].methods == ["GET"] and end[0].parent_key == "a.py"
+    stored = shred.stored(_df(spark, [(1, json.dumps(DOC), None, None)]), [*shred.TABLE_COLUMNS["endpoint"], "methods", "[]"])
+    for n in (nodes, stored):
+        end = {r.path: (r.methods, r.parent_key) for r in shred.entity_table(n, "endpoint").collect()}
+        assert end == {"/x": (["GET"], "a.py"), "/z": (["PUT", "GET"], "b.py")}
 
 
 def test_empty_table(spark):
