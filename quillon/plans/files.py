@@ -220,3 +220,7 @@ ORACLES = {
     "ast_summaries": "SELECT file_id, count(*) AS total_chunks, count(name) AS n_named FROM chunks GROUP BY file_id",
     **stats.oracles(_LANG, _SHOW, _CATEGORY, _EXT, _LINES, _NAME, _any_sql),
 }
+ORACLES["health_scores"] = f"""WITH sm AS (SELECT file_id, count(*) AS n FROM ({ORACLES["code_smells"]}) GROUP BY 1),
+    b AS (SELECT repo_id, {_LANG} AS lang, coalesce(n, 0) AS n, regexp_matches(lower(file_path), 'readme|doc|changelog|contributing') AS doc, contains(lower(file_path), 'test') OR contains(lower(file_path), 'spec') AS test FROM source_files LEFT JOIN sm USING (file_id)),
+    a AS (SELECT repo_id, count(*) AS files, sum(n) AS smells, count(DISTINCT lang) AS langs, count_if(doc) AS docs, count_if(test) AS tests FROM b GROUP BY 1)
+    SELECT repo_id, files, round((greatest(0, 1 - smells / files / 10) + CASE WHEN langs = 1 THEN 0.8 WHEN langs <= 5 THEN 1 ELSE greatest(0.5, 1 - (langs - 5) * 0.1) END + least(1, docs / 3) + least(1, tests / files * 5)) / 4, 4) AS health FROM a"""
