@@ -53,7 +53,7 @@ FEATURES = [
 
 def split_header(text: str) -> tuple[list[str], str]:
     """The comment lines at the top, and the rest."""
-    lines = text.replace("\r", "").removeprefix("﻿").removeprefix("ï»¿").split("\n")
+    lines = text.replace("\r", "").removeprefix("\ufeff").removeprefix("ï»¿").split("\n")
     i = 0
     while i < len(lines) and (_COMMENT.match(lines[i]) or _SKIP.match(lines[i])):
         i += 1

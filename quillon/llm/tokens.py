@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 #: Unicode white space (the White_Space property, which holds the no-break space), as a character class body (fixed values).
 SPACE = r"\t\n\x0B\x0C\r \x{85}\x{A0}\x{1680}\x{2000}-\x{200A}\x{2028}\x{2029}\x{202F}\x{205F}\x{3000}"
-PY_SPACE = "\t-\r \u0085   -     　"
+PY_SPACE = "\t-\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000"
 
 #: Folder of the public vocabularies and the file used for sizes in tokens.
 VOCABULARY = os.environ.get("QUILLON_VOCABULARY", "/opt/tokenizers/byte_bpe_50k.tiktoken")
