@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quillon.operators import chunking, compose, edits, graph, retrieval
+from quillon.plans.graphs import linked_seeds
 from quillon.sources.tables import table
 
 
@@ -25,8 +26,8 @@ def graph_context(spark: SparkSession, d: str) -> DataFrame:
 
 def guided_steps(spark: SparkSession, d: str) -> DataFrame:
     """Learning steps with the leading author of each file."""
-    seeds = table(spark, d, "source_files").groupBy("repo_id").agg(F.min("file_path").alias("seed"))
-    return compose.steps_with_experts(graph.topological_levels(_edges(spark, d), graph.neighbours(_edges(spark, d), seeds)), table(spark, d, "blame"))
+    e = _edges(spark, d)
+    return compose.steps_with_experts(graph.topological_levels(e, graph.neighbours(e, linked_seeds(e))), table(spark, d, "blame"))
 
 
 def handler_targets(spark: SparkSession, d: str) -> DataFrame:

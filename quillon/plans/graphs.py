@@ -18,6 +18,11 @@ def _seeds(spark: SparkSession, d: str) -> DataFrame:
     return table(spark, d, "source_files").groupBy("repo_id").agg(F.min("file_path").alias("seed"))
 
 
+def linked_seeds(edges: DataFrame) -> DataFrame:
+    """Every file that imports something, as a seed of its repository."""
+    return edges.select("repo_id", F.col("source").alias("seed")).distinct()
+
+
 def import_graph(spark: SparkSession, d: str) -> DataFrame:
     """Collapsed edges."""
     return graph.collapse(_edges(spark, d))
@@ -51,14 +56,36 @@ def one_hop(spark: SparkSession, d: str) -> DataFrame:
     return graph.neighbours(_edges(spark, d), _seeds(spark, d))
 
 
+def reachable_linked(spark: SparkSession, d: str) -> DataFrame:
+    """Nodes within two edges of every file with imports."""
+    e = _edges(spark, d)
+    return graph.reach(e, linked_seeds(e), 2, inclusive=True).withColumn("depth", F.col("depth").cast("bigint"))
+
+
+def blast_radius_linked(spark: SparkSession, d: str) -> DataFrame:
+    """G5, G6, G7, U3 for every file with imports."""
+    e = _edges(spark, d)
+    r = graph.blast_radius(e, linked_seeds(e))
+    n = F.col("n_affected")
+    return r.withColumn("impact", F.round(graph.impact_score(n), 6)).withColumn("suitability", F.round(graph.suitability(n), 4))
+
+
+def one_hop_linked(spark: SparkSession, d: str) -> DataFrame:
+    """J12 around every file with imports."""
+    e = _edges(spark, d)
+    return graph.neighbours(e, linked_seeds(e))
+
+
 def learning_order(spark: SparkSession, d: str) -> DataFrame:
-    """Levels of the neighbourhood; cycles get none."""
-    return graph.topological_levels(_edges(spark, d), graph.neighbours(_edges(spark, d), _seeds(spark, d)))
+    """Levels of the files with imports and their neighbourhood; cycles get none."""
+    e = _edges(spark, d)
+    return graph.topological_levels(e, graph.neighbours(e, linked_seeds(e)))
 
 
 def call_traces(spark: SparkSession, d: str) -> DataFrame:
-    """G8."""
-    return graph.trace(_edges(spark, d), _seeds(spark, d), 3)
+    """Walks from every file with imports, to the operator's own depth."""
+    e = _edges(spark, d)
+    return graph.trace(e, linked_seeds(e))
 
 
 def trace_stats(spark: SparkSession, d: str) -> DataFrame:
@@ -105,7 +132,7 @@ def changed_unknown_files(spark: SparkSession, d: str) -> DataFrame:
     return diffs.unknown_files(_hunks(spark, d), _spans(spark, d), ["file_id"])
 
 
-QUERIES = {f.__name__: f for f in (import_graph, known_edges, node_degrees, reachable, blast_radius, one_hop, learning_order, call_traces, trace_stats, trace_layout, graph_difference, touched_spans, routed_changes, changed_unknown_files)}
+QUERIES = {f.__name__: f for f in (import_graph, known_edges, node_degrees, reachable, blast_radius, one_hop, reachable_linked, blast_radius_linked, one_hop_linked, learning_order, call_traces, trace_stats, trace_layout, graph_difference, touched_spans, routed_changes, changed_unknown_files)}
 
 _STEM = r"regexp_replace(regexp_extract(file_path, '([^/]*)$', 1), '^(.+)\.[^.]+$', '\1')"
 _E = f"""b AS (SELECT repo_id, file_path, arg_max(raw_content, file_id) AS text FROM source_files WHERE raw_content IS NOT NULL AND file_path IS NOT NULL GROUP BY 1, 2),
@@ -127,3 +154,5 @@ ORACLES = {
     "routed_changes": f"WITH {_H} SELECT DISTINCT file_id, span_id, status AS change FROM h JOIN sp USING (file_id) WHERE status <> 'modified' UNION ALL ({_OVER.format(x=", 'modified' AS change")} AND status = 'modified')",
     "changed_unknown_files": f"WITH {_H} SELECT DISTINCT file_id FROM h WHERE file_id NOT IN (SELECT file_id FROM sp)",
 }
+#: The same statements, asked from every file with imports.
+ORACLES |= {f"{k}_linked": ORACLES[k].replace("s AS (SELECT repo_id, min(file_path) AS seed FROM source_files GROUP BY 1)", "s AS (SELECT DISTINCT repo_id, source AS seed FROM e)") for k in ("reachable", "blast_radius", "one_hop")}
