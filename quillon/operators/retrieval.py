@@ -229,6 +229,15 @@ def expansions(question: Column, names: Column, most: int = 5) -> Column:
     return F.slice(F.filter(F.array_distinct(F.concat(F.array(question), more)), lambda q: F.length(q) > 3), 1, most)
 
 
+def ranked(variants: DataFrame, question: Column) -> DataFrame:
+    """(doc_id, place, variant, score): variants by the Jaccard similarity of their words to the question, ties in the order given, duplicates kept."""
+    a, b = token_set(F.col("variant")), token_set(question)
+    union = F.size(F.array_union(a, b))
+    scored = variants.withColumn("score", F.when(union > 0, F.round(F.size(F.array_intersect(a, b)) / union, 6)).otherwise(0.0))
+    order = Window.partitionBy("doc_id").orderBy(F.desc("score"), "place")
+    return scored.withColumn("at", F.row_number().over(order).cast("bigint") - 1).select("doc_id", F.col("at").alias("place"), "variant", "score")
+
+
 def context(hits: DataFrame, per_file: int = 5) -> DataFrame:
     """(query_id, context): the first hits of each file, files in order of their best hit."""
     order = Window.partitionBy("query_id", "path").orderBy(F.desc("score"), "id")
@@ -241,15 +250,17 @@ def context(hits: DataFrame, per_file: int = 5) -> DataFrame:
 # ---------------------------------------------------------------- strategies put together
 
 
-def node_scores(nodes: DataFrame, names: list[tuple[str, float]], most: int = 10) -> DataFrame:
+def node_scores(nodes: DataFrame, names: list[tuple], most: int = 10) -> DataFrame:
     """(repo_id, node_id, score, rank): how much of a question's named elements a node's id and name contain; zero scores are left out.
 
-    ``names`` are the few (text, confidence) of one question, so they are constants of the expression and no join is needed.
+    ``names`` are the few (text, confidence) or (text, confidence, aliases) of one question, so they are constants of the expression and no join is needed.
     """
     low = F.lower("node_id")
     name = F.lower(F.regexp_extract("node_id", r"([^/]*)$", 1))
     score = F.lit(0.0)
-    for text, confidence in names:
+    for text, confidence, *aliases in names:
+        for alias in aliases[0] if aliases else ():
+            score = score + F.when(low.contains(alias.lower()), 0.5 * confidence).otherwise(0.0)
         score = score + F.when(low.contains(text.lower()), 2.0 * confidence).otherwise(0.0) + F.when(name.contains(text.lower()), confidence).otherwise(0.0)
     order = Window.partitionBy("repo_id").orderBy(F.desc("score"), "node_id")
     found = nodes.select("repo_id", "node_id", F.round(score, 6).alias("score")).where("score > 0").distinct()
@@ -291,3 +302,18 @@ def function_names(text: Column) -> Column:
     python = F.regexp_extract_all(text, F.lit(r"def\s+([a-zA-Z_]\w*)\s*\("), 1)
     script = F.regexp_extract_all(text, F.lit(r"function\s+([a-zA-Z_]\w*)\s*\("), 1)
     return F.array_sort(F.array_distinct(F.concat(python, script)))
+
+
+def all_function_names(text: Column) -> Column:
+    """Those of function_names, with Class.method for the first method behind each class and the handlers of routes, sorted."""
+    methods = F.lit(r"(?s)class\s+(\w+).*?def\s+([a-zA-Z_]\w*)")
+    named = F.zip_with(F.regexp_extract_all(text, methods, 1), F.regexp_extract_all(text, methods, 2), lambda c, m: F.concat(c, F.lit("."), m))
+    routes = F.regexp_extract_all(text, F.lit(r"""(?s)@app\.route\(['"]([^'"]+)['"].*?\ndef\s+([a-zA-Z_]\w*)"""), 2)
+    return F.array_sort(F.array_distinct(F.concat(function_names(text), named, routes)))
+
+
+def start_nodes(hits: DataFrame) -> DataFrame:
+    """(query_id, node, path, id, confidence): the function named in the best hit that names one; ties by id and name."""
+    named = hits.select("query_id", "path", "id", F.col("score").alias("confidence"), F.explode(all_function_names(F.col("text"))).alias("node"))
+    order = Window.partitionBy("query_id").orderBy(F.desc("confidence"), "id", "node")
+    return named.withColumn("_n", F.row_number().over(order)).where("_n = 1").select("query_id", "node", "path", "id", "confidence")

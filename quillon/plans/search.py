@@ -61,7 +61,7 @@ def selected_hits(spark: SparkSession, d: str) -> DataFrame:
 
 
 def search_context(spark: SparkSession, d: str) -> DataFrame:
-    """R19, R21."""
+    """R19 without clusters and hop summary: hits by file."""
     return R.context(_hits(spark, d))
 
 
@@ -82,21 +82,28 @@ def routed_questions(spark: SparkSession, d: str) -> DataFrame:
 
 
 def question_variants(spark: SparkSession, d: str) -> DataFrame:
-    """Variants by the first names of each text, one row each."""
+    """Variants by the first names of each text, one row each."""
     names = R.entities(table(spark, d, "documents"), "doc_id", F.col("text")).where("type = 'functions'").groupBy("doc_id").agg(F.array_sort(F.collect_set("text")).alias("names"))
     return names.select("doc_id", F.posexplode(R.expansions(F.lit(QUESTION), F.col("names"))).alias("place", "variant")).withColumn("place", F.col("place").cast("bigint"))
 
 
+def ranked_variants(spark: SparkSession, d: str) -> DataFrame:
+    """The variants of each text by their similarity to the question."""
+    return R.ranked(question_variants(spark, d), F.lit(QUESTION))
+
+
 def node_matches(spark: SparkSession, d: str) -> DataFrame:
-    """Files that a question's names point at."""
+    """Files that a question's names point at."""
     from quillon.operators import graph
 
     return R.node_scores(graph.file_nodes(table(spark, d, "source_files")), [("cache", 0.8), ("session", 0.8), ("lease", 0.8)]).withColumn("score", F.round("score", 6))
 
 
 def hybrid_search(spark: SparkSession, d: str) -> DataFrame:
-    """Nearest and multi-hop hits together."""
-    return R.hybrid(("nearest", R.nearest(_vectors(spark, d), _asked(spark, d), 10)), ("multi_hop", R.multi_hop(_vectors(spark, d), _asked(spark, d), 5, 2)))
+    """R7, U4 without the graph-guided search: nearest, expanded and multi-hop hits together. The two variants of a pair serve each of its queries."""
+    pairs = _asked(spark, d).select(F.col("vec_id").alias("of"), (F.floor(F.col("vec_id") / 40) * 40).alias("query_id"))
+    expanded = expanded_search(spark, d).select("query_id", "id").join(pairs, "query_id").where("id <> of").select(F.col("of").alias("query_id"), "id")
+    return R.hybrid(("nearest", R.nearest(_vectors(spark, d), _asked(spark, d), 10)), ("expanded", expanded), ("multi_hop", R.multi_hop(_vectors(spark, d), _asked(spark, d), 5, 3)))
 
 
 def style_exemplars(spark: SparkSession, d: str) -> DataFrame:
@@ -117,11 +124,21 @@ def search_readiness(spark: SparkSession, d: str) -> DataFrame:
 
 
 def function_names(spark: SparkSession, d: str) -> DataFrame:
-    """X11, G11."""
+    """X11: plain functions, two of the four patterns."""
     return table(spark, d, "source_files").select("file_id", F.explode(R.function_names(F.col("raw_content"))).alias("name"))
 
 
-_MORE = (node_matches, hybrid_search, style_exemplars, answer_confidence, search_readiness, function_names)
+def all_function_names(spark: SparkSession, d: str) -> DataFrame:
+    """X11: functions, Class.method names and route handlers."""
+    return table(spark, d, "source_files").select("file_id", F.explode(R.all_function_names(F.col("raw_content"))).alias("name")).distinct()
+
+
+def start_nodes(spark: SparkSession, d: str) -> DataFrame:
+    """The function to start from, by the ten nearest documents of each query."""
+    return R.start_nodes(_hits(spark, d).where("rank <= 10"))
+
+
+_MORE = (ranked_variants, node_matches, hybrid_search, style_exemplars, answer_confidence, search_readiness, function_names, all_function_names, start_nodes)
 QUERIES = {f.__name__: f for f in (nearest_vectors, expanded_search, multi_hop_search, chunk_features, unique_chunks, selected_hits, search_context, entities, entity_aliases, routed_questions, question_variants, *_MORE)}
 
 _KNN = "v AS (SELECT vec_id, list_transform(embedding, lambda x: CAST(x AS DOUBLE)) AS e FROM embeddings WHERE embedding IS NOT NULL), k AS (SELECT q.vec_id AS query_id, v.vec_id AS id, round(list_sum(list_transform(list_zip(q.e, v.e), lambda z: (z[1] - z[2]) * (z[1] - z[2]))), 6) AS distance FROM v q JOIN v ON q.vec_id % 20 = 0 AND q.vec_id <> v.vec_id AND len(q.e) = len(v.e)), r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY distance, id) AS rank FROM k)"
@@ -149,3 +166,5 @@ ORACLES = {
     "routed_questions": r"SELECT CASE WHEN regexp_matches(lower(text), 'how does|workflow|process|trace') THEN 'multi_hop' WHEN regexp_matches(lower(text), 'impact|depends|affects|uses') THEN 'graph_guided' WHEN len(list_filter(regexp_split_to_array(text, '[\t-\r ]+'), lambda w: w <> '')) > 15 THEN 'hybrid' ELSE 'expanded' END AS strategy, count(*) AS n, CAST(sum(len(list_filter(regexp_split_to_array(text, '[\t-\r \x{85}\x{A0}\x{1680}\x{2000}-\x{200A}\x{2028}\x{2029}\x{202F}\x{205F}\x{3000}]+'), lambda x: x <> ''))) AS BIGINT) AS n_tokens FROM documents WHERE text IS NOT NULL GROUP BY 1",
     "question_variants": f"WITH {_ENTS}, n AS (SELECT doc_id, list_sort(list(DISTINCT text)) AS names FROM en WHERE type = 'functions' GROUP BY 1), x AS (SELECT doc_id, list_concat(['{QUESTION}'], flatten(list_transform(names[1:2], lambda z: [z || ' implementation', 'usage of ' || z])))[1:5] AS v FROM n) SELECT doc_id, unnest(range(len(v))) AS place, unnest(v) AS variant FROM x",
 }
+_CLASS, _ROUTE = r"(?s)class\s+(\w+).*?def\s+([a-zA-Z_]\w*)", r"""(?s)@app\.route\([''"]([^''"]+)[''"].*?\ndef\s+([a-zA-Z_]\w*)"""
+ORACLES["all_function_names"] = f"{ORACLES['function_names']} UNION SELECT file_id, c || '.' || m FROM (SELECT file_id, unnest(regexp_extract_all(raw_content, '{_CLASS}', 1)) AS c, unnest(regexp_extract_all(raw_content, '{_CLASS}', 2)) AS m FROM source_files) UNION SELECT file_id, unnest(regexp_extract_all(raw_content, '{_ROUTE}', 2)) FROM source_files"
