@@ -11,7 +11,9 @@ c type keyword; P import-like; W case; S statement; B block; Q type after a colo
 """
 
 import ast
+import io
 import re
+import tokenize
 import warnings
 from functools import lru_cache
 
@@ -76,12 +78,17 @@ class Grammar:
             s = p.sub(r, s)
         if "!" in s:
             return False
-        for _ in range(400):
+        seen = {s}
+        while True:  # until nothing changes; a round that does not shorten the text may not come back to an earlier one
             before = s
             for p, r in self.rules:
                 s = p.sub(r, s)
-            if s == before:
+            if len(s) < len(before):
+                seen = {s}
+            elif s in seen:
                 break
+            else:
+                seen.add(s)
         return bool(self.goal.fullmatch(s))
 
 
@@ -264,11 +271,30 @@ def _python(text: str) -> bool:
         with warnings.catch_warnings():
             warnings.simplefilter("ignore")
             ast.parse(text)
-    except (SyntaxError, ValueError, RecursionError, MemoryError):
+    except RecursionError:  # raised when the tree is built, after the text has been parsed
+        return True
+    except MemoryError:  # the parser's stack is used up, which tells nothing of the text
+        return _python_tokens(text)
+    except (SyntaxError, ValueError):
         return False
     return True
 
 
+def _python_tokens(text: str) -> bool:
+    """Whether the text has whole tokens, closed brackets and even indents; all that is judged of what is too deep for the parser."""
+    open_ = []
+    try:
+        for t in tokenize.generate_tokens(io.StringIO(text).readline):
+            if t.type == tokenize.OP and t.string in "([{":
+                open_.append(t.string)
+            elif t.type == tokenize.OP and t.string in ")]}":
+                if not open_ or open_.pop() + t.string not in ("()", "[]", "{}"):
+                    return False
+    except (tokenize.TokenError, SyntaxError):
+        return False
+    return not open_
+
+
 def parses(text: str, language: str) -> bool | None:
     """Whether the whole text is a program of the language; None for a language without a grammar."""
     if language == "python":

@@ -57,3 +57,15 @@ def test_tables(spark):
     got = {(r.repo_id, r.language): (r.n_files, r.n_broken) for r in syntax.rates(syntax.check(df)).collect()}
     assert got["r", "python"] == (2, 1) and got["s", "javascript"] == (2, 2) and got["r", "unknown"] == (1, 0)
     assert syntax.found(df.limit(0)).count() == 0
+
+
+def test_long_chains_parse():
+    n = 700
+    js = "if (a) { f(); }" + " else if (b) { g(); }" * n + "\n"
+    assert grammars.parses(js, "javascript") and not grammars.parses(js + "}", "javascript")
+    assert grammars.parses("x = a" + ".b(1)" * n + ";\n", "javascript")
+
+
+@pytest.mark.parametrize("text", ["x = " + " + ".join(["a"] * 30_000) + "\n", "if a:\n    b()\n" + "elif c:\n    d()\n" * 3_000, "x = a" + ".b(1)" * 9_000 + "\n", "x = " + "not " * 9_000 + "a\n"])
+def test_long_python_parses(text):
+    assert grammars.parses(text, "python") and not grammars.parses(text + ")\n", "python")
