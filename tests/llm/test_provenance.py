@@ -21,12 +21,28 @@ def _table(r, n=120):
 
 
 def test_marks():
-    mark = lambda t: P.marks(P.split_header(t)[0])
-    assert mark("# @generated by x\ny = 1")[0]
-    assert mark("/*\n * Fichier généré automatiquement, ne pas modifier\n */\nint x;")[0]
-    assert mark("// libx 3.1 - upstream copy, see y\nint x;") == (True, "libx")
-    assert not mark("# writes the auto-generated stubs; this module itself is maintained by hand\n")[0]
-    assert not mark('x = "generated by stubmill, do not edit"\n')[0]
+    mark = lambda t: P.noticed(P.parts(t)[0])
+    assert mark("# @generated by x\ny = 1")
+    assert mark("/*\n * Fichier généré automatiquement, ne pas modifier\n */\nint x;")
+    assert mark("// libx 3.1 - upstream copy, see y\nint x;")
+    assert not mark("# writes the auto-generated stubs; this module itself is maintained by hand\n")
+    assert not mark('x = "generated by stubmill, do not edit"\n')
+    assert mark("x = 1\n\n# Code produced by tool 7; hand edits will be lost\n")  # at the end of the file
+    assert not mark("x = 1\n# generated by tool\ny = 2\n")  # in the middle of code
+
+
+def test_altered_is_fixed_and_unlike_its_body():
+    body = _hand(random.Random(4))
+    kinds = {P.altered(body, k)[:12] for k in range(60)}
+    assert len(kinds) > 20 and all(P.altered(body, k) == P.altered(body, k) != body for k in range(60))
+    assert len(P.figures("")) == len(P.figures("é")) == len(P.FEATURES)
+
+
+def test_tiny_bodies_are_judged(spark):
+    rows = [(1, "a", "x.js", "x=1", 0.1), (2, "b", "y.js", "", 0.1), (3, None, None, "# generated by tool\n", None)]
+    df = spark.createDataFrame(rows, "file_id bigint, repo_id string, file_path string, raw_content string, file_size_kb double")
+    got = {x.file_id: x.is_case for x in P.classify(df).collect()}
+    assert got == {1: False, 2: False, 3: True}
 
 
 def test_found(spark):
@@ -40,6 +56,9 @@ def test_found(spark):
         if case:
             want.add(fid)
 
+    # the operator assumes that most files without a notice are written by hand, so here most are
+    for i in range(1200):
+        put(f"src/b{i}.py", _hand(r, r.randint(3, 40)), False, f"r{i % 7}")
     for i in range(60):
         put(f"src/a{i}.py", _hand(r), False, f"r{i % 7}")
         put(f"lib/g{i}.py", ("# @generated by stubmill\n\n" if i % 5 else "") + _stub(r, 20 + i % 9), True, f"r{i % 7}")
