@@ -36,7 +36,7 @@ def openapi_specs(spark: SparkSession, d: str) -> DataFrame:
 
 def nested_endpoint_scores(spark: SparkSession, d: str) -> DataFrame:
     """A19 on the endpoints kept in nested records."""
-    found = shred.entity_table(shred.stored(table(spark, d, "cortex_raw"), [*shred.TABLE_COLUMNS["endpoint"], "methods", "[]"]), "endpoint")
+    found = shred.entity_table(shred.stored(table(spark, d, "cortex_raw")), "endpoint")
     return chunking.rest_scores(found.where(F.col("path").isNotNull()), "framework")
 
 

@@ -10,12 +10,12 @@ from quillon.sources.tables import table
 
 
 def p1_found(spark: SparkSession, d: str) -> DataFrame:
-    return shred.links(shred.stored(table(spark, d, "cortex_raw"), []))
+    return shred.links(shred.shred(table(spark, d, "cortex_raw"), labels=shred.KEY_LABELS))
 
 
 def _entity(kind: str):
     def run(spark: SparkSession, d: str) -> DataFrame:
-        return shred.entity_table(shred.stored(table(spark, d, "cortex_raw"), [*shred.TABLE_COLUMNS[kind], "methods", "[]"]), kind)
+        return shred.entity_table(shred.stored(table(spark, d, "cortex_raw")), kind)
 
     return run
 

@@ -35,7 +35,7 @@ def test_links_of_every_shape(spark):
     keyed = {"repo_id": "r2", "files": {"p/q.go": {"api_endpoints": [{"path": "/y"}], "text_chunks": []}}}
     rows = [
         (1, json.dumps(DOC), "clash", "clash"),
-        (2, json.dumps(json.dumps(DOC)), None, None),
+        (2, json.dumps(json.dumps(json.dumps(json.dumps(json.dumps(json.dumps(DOC)))))), None, None),
         (3, json.dumps({"exported_by": "x", "cortex": keyed}), None, None),
         (4, json.dumps(DOC)[:-9], None, None),
         (5, None, None, None),
@@ -54,7 +54,7 @@ def test_tables_and_types(spark):
     chunks = shred.entity_table(nodes, "chunk").orderBy("node").collect()
     assert [c.child_key for c in chunks] == ["c1", "c1", "c2", "k1", "k2"]
     assert chunks[0].token_count == 7 and chunks[0].start_line == 1 and chunks[3].chunk_text == "t"
-    stored = shred.stored(_df(spark, [(1, json.dumps(DOC), None, None)]), [*shred.TABLE_COLUMNS["endpoint"], "methods", "[]"])
+    stored = shred.stored(_df(spark, [(1, json.dumps(DOC), None, None)]))
     for n in (nodes, stored):
         end = {r.path: (r.methods, r.parent_key) for r in shred.entity_table(n, "endpoint").collect()}
         assert end == {"/x": (["GET"], "a.py"), "/z": (["PUT", "GET"], "b.py")}
