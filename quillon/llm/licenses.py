@@ -2,8 +2,9 @@
 
 Method: statement templates with optional ``[...]``, alternative ``{a|b}`` and replaceable ``<name>`` sections
 are compiled into backtracking grammars. Comment text (and license files, manifests, readme sections)
-must match a template completely. Stated licenses are then aggregated per repository and file and
-contradictions become CONFLICT.
+must match a template completely. The wordings of ``license_refs`` become grammars as well: copyright lines and the title are optional sections, every sentence is a clause, ``<...>`` in it is replaceable, and a comment
+paragraph states a license if it is a sequence of at least CLAUSES clauses of that one license. A license file states it by more than half of its clauses, so that one left out or reworded does
+not hide it. Stated licenses are then aggregated per repository and file and contradictions become CONFLICT.
 
 Defined results: null or empty contents state nothing; a repository without files is UNKNOWN; "-only" and "or later" are
 dropped; a choice of two is written in alphabetical order joined by `` OR ``. Pointers to other files, bare copyright lines, plans and
@@ -19,15 +20,17 @@ from __future__ import annotations
 
 import json
 import re
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from functools import lru_cache
 
 import pyarrow as pa
+import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 MAX_REFS = 2_000
+CLAUSES = 2
 
 _VER = {n: f"[{{,|-| |version |v}}{{ |}}][{{v|version }}]{n}[.0]" for n in "123"}
 #: Spellings of license names (fixed values); matched without regard to case.
@@ -82,7 +85,7 @@ def _grammar(template: str) -> str:
             out.append("|")
         elif ch == "<":
             end = template.index(">", i)
-            out.append({"L": "(?P<L>LICENSE)", "any": r".{0,120}?", "who": r"[\w .-]{1,60}?", "e": r"\S{1,4}"}[template[i + 1 : end]])
+            out.append({"L": "(?P<L>LICENSE)", "any": r".*?", "who": r"[\w .-]+?", "e": r"\S{1,4}"}[template[i + 1 : end]])
             i = end
         elif ch == " ":
             out.append(r"\s+")
@@ -93,14 +96,14 @@ def _grammar(template: str) -> str:
 
 
 @lru_cache(maxsize=1)
-def _compiled() -> tuple[re.Pattern, re.Pattern, list[re.Pattern], list[re.Pattern]]:
+def _compiled() -> tuple[re.Pattern, re.Pattern, list, list]:
     later = _grammar(LATER)
     one = "|".join(f"(?P<N{i}_{j}>(?:{_grammar(t)}))" for i, (_, ts) in enumerate(NAMES.items()) for j, t in enumerate(ts))
     name = re.compile(f"(?:{one})(?:{later})", re.I)
     plain = re.sub(r"\(\?P<\w+>", "(?:", one)
     both = rf"\(?(?:{plain})(?:{later})(?:\s+or\s+(?:the\s+)?(?:{plain})(?:{later})|\s*/\s*(?:{plain})(?:{later}))?\)?(?:,?\s+at\s+your\s+(?:option|choice))?"
     either = re.compile(rf"\(?(?P<a>(?:{plain})(?:{later}))(?:(?:\s+or\s+(?:the\s+)?|\s*/\s*)(?P<b>(?:{plain})(?:{later})))?\)?(?:,?\s+at\s+your\s+(?:option|choice))?", re.I)
-    make = lambda ts: [re.compile(_grammar(t).replace("LICENSE", both) + r"[.,;]?", re.I) for t in ts]
+    make = lambda ts: [regex.compile(_grammar(t).replace("LICENSE", both) + r"[.,;]?", regex.I | regex.V0) for t in ts]
     return name, either, make(STATEMENTS), make(SECTION)
 
 
@@ -122,25 +125,49 @@ def license_id(text: str) -> str | None:
     return " OR ".join(sorted(ids))
 
 
-def _match(text: str, grammars: list[re.Pattern]) -> str | None:
+def _match(text: str, grammars: list) -> tuple[str | None, bool]:
+    """(license stated, whether the text may be the beginning of a statement)."""
+    alive = False
     for g in grammars:
-        m = g.fullmatch(text)
-        if m:
-            return license_id(m["L"])
-    return None
+        m = g.fullmatch(text, partial=True)
+        if m and not m.partial:
+            return license_id(m["L"]), True
+        alive |= bool(m)
+    return None, alive
 
 
 @lru_cache(maxsize=65536)
-def statement(text: str) -> str | None:
+def statement(text: str) -> tuple[str | None, bool]:
     """License stated by one piece of comment text that matches a template completely."""
     return _match(text, _compiled()[2])
 
 
 @lru_cache(maxsize=65536)
-def section_statement(text: str) -> str | None:
+def section_statement(text: str) -> tuple[str | None, bool]:
     return _match(text, _compiled()[3])
 
 
+def statements(lines: list[str], match: Callable[[str], tuple[str | None, bool]]) -> set[str]:
+    """Licenses stated by any run of lines without a blank one between them; a run is followed as long as it may become a statement."""
+    out: set[str] = set()
+    i = 0
+    while i < len(lines):
+        piece, step = "", 1
+        for j in range(i, len(lines)):
+            line = " ".join(lines[j].split())
+            if not line:
+                break
+            piece = f"{piece} {line}" if piece else line
+            got, alive = match(piece)
+            if got:
+                out.add(got)
+                step = j + 1 - i
+            if got or not alive:
+                break
+        i += step
+    return out
+
+
 _MARK = re.compile(r"^\s*(?:(?://+[!]?|/?\*+/?|#+(?!include|!)|--|;+|<!--|\"\"\"|'''|=begin)\s?|(?=__license__))(.*?)\s*(?:\*/|-->|\"\"\"|''')?\s*$")
 _HINT = re.compile(r"(?i)licen[cs]|lizenz|spdx|govern|terms of|released under|licensed under|distributed under|under the")
 _WORD = re.compile(r"[^\W_]+")
@@ -171,45 +198,90 @@ def words(text: str) -> str:
     return " ".join(_WORD.findall(text.lower()))
 
 
-def comment_licenses(text: str, refs: list[tuple[str, str]]) -> set[str]:
-    """Licenses stated in comments: by a template, or by the whole wording of a license."""
+_COPYRIGHT = re.compile(r"(?i)^\W*(?:copyright|\(c\)|©|all rights reserved)")
+_SENTENCE = re.compile(r"(?<=[.!?;])\s+|\n\s*\n")
+
+
+class Wordings:
+    """Grammars of the reference wordings, made of their clauses."""
+
+    def __init__(self, refs: list[tuple[str, str | None, str | None]]) -> None:
+        self.titles = {words(title): i for i, title, _ in refs if title}
+        self.clauses: dict[str, list[re.Pattern]] = {}
+        self.grammars: list[tuple[str, re.Pattern]] = []
+        starts = set()
+        for i, title, text in refs:
+            parts = [x for x in _SENTENCE.split(text or "") if words(x)]
+            if not parts:
+                continue
+            made = [self._clause(x) for x in parts]
+            self.clauses[i] = [re.compile(f" {c} ") for c in made]
+            name = re.escape(words(title)) + " " if title else ""
+            self.grammars.append((i, re.compile(f"(?:{name})?((?:(?:{'|'.join(sorted(made, key=len, reverse=True))})(?: |$))+)")))
+            starts |= {tuple(words(re.split(r"[<\[]", x)[0]).split()[:2]) for x in parts} - {()}
+        self.starts = {" ".join(x) for x in starts}
+        self.started = re.compile("|".join(rf"\b{re.escape(x)}\b" for x in sorted(self.starts)) or r"(?!)")
+
+    @staticmethod
+    def _clause(text: str) -> str:
+        """A sentence as a pattern over words; <...> and [...] stand for any words."""
+        out = [re.escape(words(p)) if k % 2 == 0 else r"\w+(?: \w+)*?" for k, p in enumerate(re.split(r"(<[^<>]+>|\[[^\[\]]+\])", text))]
+        return " ".join(filter(None, out))
+
+    def hint(self) -> str:
+        """A pattern that any text with a clause matches, for a filter."""
+        return "|".join(sorted(x.replace(" ", r"\W+") for x in self.starts)) or r"\A\z"
+
+    def comment(self, lines: list[str]) -> str | None:
+        """The one license of which a paragraph holds nothing but clauses."""
+        rest = words(" ".join(x for x in lines if not _COPYRIGHT.match(x)))
+        first = rest.split(" ", 2)[:2]
+        if " ".join(first) not in self.starts and not any(rest.startswith(t) for t in self.titles):
+            return None
+        hits = set()
+        for i, g in self.grammars:
+            if g.fullmatch(rest) and sum(bool(c.search(f" {rest} ")) for c in self.clauses[i]) >= min(CLAUSES, len(self.clauses[i])):
+                hits.add(i)
+        return hits.pop() if len(hits) == 1 else None
+
+    def inside(self, text: str, whole: bool = False) -> set[str]:
+        """Licenses of which more than half of the clauses, or all, stand in a text."""
+        flat = f" {words(text)} "
+        if not self.started.search(flat):
+            return set()
+        return {i for i, cs in self.clauses.items() if sum(bool(c.search(flat)) for c in cs) * 2 > (2 * len(cs) - 1 if whole else len(cs))}
+
+
+def paragraphs(block: list[str]) -> Iterator[list[str]]:
+    part: list[str] = []
+    for line in [*block, ""]:
+        if line.strip():
+            part.append(line)
+        elif part:
+            yield part
+            part = []
+
+
+def comment_licenses(text: str, wordings: Wordings) -> set[str]:
+    """Licenses stated in comments: by a template, by nothing but clauses of a license, or by all of its clauses among other text."""
     out: set[str] = set()
     for block in comment_blocks(text):
-        joined = " ".join(block)
-        if len(joined) > 200:
-            flat = f" {words(joined)} "
-            out.update(i for i, w in refs if f" {w} " in flat)
-        if not _HINT.search(joined):
-            continue
-        i = 0
-        while i < len(block):
-            step = 1
-            for k in (1, 2, 3):
-                piece = " ".join(" ".join(block[i : i + k]).split())
-                if piece and len(piece) < 400:
-                    got = statement(piece)
-                    if got:
-                        out.add(got)
-                        step = k
-                        break
-            i += step
+        got = {x for part in paragraphs(block) if (x := wordings.comment(part))}
+        out |= got or wordings.inside(" ".join(block), whole=True)
+        if _HINT.search(" ".join(block)):
+            out |= statements(block, statement)
     return out
 
 
-_CHOICE = re.compile(r"(?i)\b(?:either|any|one|both)\s+of\s+[\w\s]{0,40}licen[cs]es?\b|at\s+your\s+(?:choice|option)|dual[- ]licen[cs]ed")
+_CHOICE = re.compile(r"(?i)\b(?:either|any|one|both)\s+of\s+[\w\s]*?licen[cs]es?\b|at\s+your\s+(?:choice|option)|dual[- ]licen[cs]ed")
 
 
-def text_licenses(text: str, refs: list[tuple[str, str]], titles: dict[str, str]) -> set[str]:
-    """What a license file holds: whole wordings; else a title, a name or a statement on its first lines."""
-    flat = f" {words(text)} "
-    out = {i for i, w in refs if f" {w} " in flat}
+def text_licenses(text: str, wordings: Wordings) -> set[str]:
+    """What a license file holds: wordings; else titles, names and statements on its lines."""
+    out = wordings.inside(text)
     if not out:
-        for line in text.split("\n")[:12]:
-            bare = line.strip(" \t\r#*=-").strip()
-            if bare:
-                got = titles.get(words(bare)) or section_statement(bare)
-                if got:
-                    out.add(got)
+        lines = [x.strip(" \t\r#*=-").strip() for x in text.split("\n")]
+        out = {wordings.titles[w] for x in lines if (w := words(x)) in wordings.titles} | statements(lines, section_statement)
     if len(out) == 2 and _CHOICE.search(text):
         return {" OR ".join(sorted(out))}
     return out
@@ -252,7 +324,7 @@ _ANY_HEAD = re.compile(r"^#{1,6}\s+\S")
 
 def readme_license(text: str) -> set[str]:
     """Statements in a readme's license section (a heading and what follows, up to the next heading)."""
-    out: set[str] = set()
+    section: list[str] = []
     lines = [x.strip() for x in text.replace("\r", "").split("\n")]
     inside = False
     for i, line in enumerate(lines):
@@ -261,11 +333,8 @@ def readme_license(text: str) -> set[str]:
             inside = True
         elif _ANY_HEAD.match(line) or underlined:
             inside = False
-        elif inside and line:
-            got = section_statement(line) or section_statement(" ".join([line, lines[i + 1] if i + 1 < len(lines) else ""]).strip())
-            if got:
-                out.add(got)
-    return out
+        section.append(line if inside and not _HEAD.match(line) else "")
+    return statements(section, section_statement)
 
 
 _LICENSE_FILE = re.compile(r"(?i)^(un)?(licen[cs]e|copying)([-_.].*)?$")
@@ -282,16 +351,16 @@ def stated(files: DataFrame, refs: DataFrame) -> DataFrame:
     rows = refs.select("license_id", "title", "reference_text").limit(MAX_REFS + 1).collect()
     if len(rows) > MAX_REFS:
         raise ValueError(f"license_refs has more than {MAX_REFS} rows")
-    wordings = [(r.license_id, words(r.reference_text)) for r in rows if r.license_id and r.reference_text]
-    titles = {words(r.title): r.license_id for r in rows if r.title and r.license_id}
+    known = sorted((r.license_id, r.title, r.reference_text) for r in rows if r.license_id)
+    hint = Wordings(known).hint()
 
-    def look(path: str | None, text: str | None) -> tuple[bool, bool, list[str]]:
+    def look(path: str | None, text: str | None, wordings: Wordings) -> tuple[bool, bool, list[str]]:
         name = (path or "").rsplit("/", 1)[-1]
         low = name.lower()
         root = path is not None and "/" not in path
         text = text or ""
         if _LICENSE_FILE.match(name):
-            return True, root, sorted(text_licenses(text, wordings, titles))
+            return True, root, sorted(text_licenses(text, wordings))
         if root and low in _MANIFESTS:
             return False, True, sorted(manifest_license(low, text))
         if root and low.startswith("readme"):
@@ -301,8 +370,9 @@ def stated(files: DataFrame, refs: DataFrame) -> DataFrame:
         return False, False, sorted(comment_licenses(text, wordings))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        wordings = Wordings(known)
         for b in batches:
-            got = [look(p, t) for p, t in zip(b.column(3).to_pylist(), b.column(4).to_pylist())]
+            got = [look(p, t, wordings) for p, t in zip(b.column(3).to_pylist(), b.column(4).to_pylist())]
             yield pa.RecordBatch.from_arrays(
                 [b.column(0), b.column(1), b.column(2), pa.array([g[0] for g in got], pa.bool_()), pa.array([g[1] for g in got], pa.bool_()), pa.array([g[2] for g in got], pa.list_(pa.string()))],
                 ["file_id", "repo_id", "dir", "is_license", "is_root_statement", "stated"],
@@ -311,7 +381,7 @@ def stated(files: DataFrame, refs: DataFrame) -> DataFrame:
     path, text = F.col("file_path"), F.col("raw_content")
     base = files.select(
         F.col("file_id").cast("bigint").alias("file_id"), "repo_id", F.regexp_extract(path, r"^(.*)/[^/]*$", 1).alias("dir"), "file_path",
-        F.when(F.lower(path).rlike(r"(^|/)(un)?(licen[cs]e|copying)|(^|/)readme|\.(json|toml)$") | text.rlike(r"(?i)licen[cs]|lizenz|spdx|governed|terms|copyright|released under"), text).alias("raw_content"),
+        F.when(F.lower(path).rlike(r"(^|/)(un)?(licen[cs]e|copying)|(^|/)readme|\.(json|toml)$") | text.rlike(r"(?i)licen[cs]|lizenz|spdx|governed|terms|copyright|released under|" + hint), text).alias("raw_content"),
     )
     touched = base.where(F.col("raw_content").isNotNull()).mapInArrow(run, _STATED)
     rest = base.where(F.col("raw_content").isNull()).select(

@@ -5,6 +5,10 @@ from quillon.llm import licenses
 REFS = [("MIT", "MIT License", "permissive", "You are free to host the work. These terms travel with it."), ("ISC", "ISC License", "permissive", "No promise is made that this is fit for any purpose at all.")]
 
 
+LONG = [f"The {a} of this work may be {b} by anyone who keeps this page." for a, b in (("text", "read"), ("sound", "heard"), ("shape", "cast"), ("colour", "mixed"))]
+WORDINGS = licenses.Wordings([(i, t, w) for i, t, _, w in REFS] + [("Long-1", "Long License", " ".join(LONG)), ("Named-1", "Named License", "Thanks are due to <name of the author> for all of it. Nobody may sell <the work>.")])
+
+
 @pytest.mark.parametrize(("name", "want"), [
     ("MIT", "MIT"), ("Expat (MIT) license", "MIT"), ("Apache licence v2", "Apache-2.0"), ("Apache License, Version 2.0", "Apache-2.0"), ("Apache 2 license", "Apache-2.0"),
     ("BSD-style license with three clauses", "BSD-3-Clause"), ("Simplified BSD License", "BSD-2-Clause"), ("GPLv3", "GPL-3.0"), ("GPL-2.0-or-later", "GPL-2.0"), ("GPL-3.0-only", "GPL-3.0"),
@@ -24,13 +28,32 @@ def test_names(name, want):
     ("# License: MIT\n#\n# SPDX-License-Identifier: ISC\n", {"MIT", "ISC"}), ("", set()),
 ])
 def test_comments(text, want):
-    assert licenses.comment_licenses(text, []) == want
+    assert licenses.comment_licenses(text, licenses.Wordings([])) == want
 
 
 def test_wording_in_comment():
     body = "No promise is made that this is fit for any purpose at all. " + "x " * 100
     text = "// Copyright A\n// " + body + "\ncode();\n"
-    assert licenses.comment_licenses(text, [("ISC", licenses.words(REFS[1][3]))]) == {"ISC"}
+    assert licenses.comment_licenses(text, WORDINGS) == {"ISC"}
+
+
+def test_clauses_in_comments():
+    head = lambda *lines: "".join(f"// {x}\n" for x in lines) + "\ncode();\n"
+    look = lambda t: licenses.comment_licenses(t, WORDINGS)
+    assert look(head("Copyright 2031 A B", LONG[0], LONG[2])) == {"Long-1"}  # some clauses and nothing else
+    assert look(head("Copyright 2031 A B", LONG[0], "Our pump is late.")) == set() == look(head(LONG[0]))
+    assert look(head("Thanks are due to A. B. Cee and many others at the mill for all of it.", "Nobody may sell this pump.")) == {"Named-1"}
+
+
+def test_no_size_matters():
+    file = lambda t: licenses.text_licenses(t, WORDINGS)
+    assert file("\n".join(["Some words on the project."] * 40 + ["MIT License"])) == {"MIT"}  # a title far down
+    assert file(" ".join([LONG[0], LONG[1].replace("heard", "sung aloud"), *LONG[2:]])) == {"Long-1"}  # a clause reworded
+    assert file(" ".join(LONG[:2])) == set()
+    who = "Copyright 2031 " + ", ".join(f"Author Number {i}" for i in range(60))
+    assert licenses.comment_licenses(f"# {who}.\n# Released under\n# the terms\n# of\n# the\n# MIT license\nx = 1\n", WORDINGS) == {"MIT"}
+    assert licenses.comment_licenses(f"# {who}. Licensed under the terms of the MIT license\n", WORDINGS) == {"MIT"}
+    assert licenses.readme_license("# A\n\n## License\n\nThis project is\nlicensed\nunder the terms of\nthe MIT license\n\n## Other\n\nISC\n") == {"MIT"}
 
 
 def test_resolve(spark):
