@@ -23,7 +23,7 @@ def test_norm(a, b):
 
 
 def test_spelling_tricks_are_joined():
-    assert T.sentences("you p.o.r.n fan") == ["you ¤porn fan"] and T.sentences("a b​ad one")[0].endswith("bad one")
+    assert T._units("you p.o.r.n fan")[0][1] == ["porn"] and T._units("a b​ad one") == T._units("a bad one")
     assert T._norm("a*****e") == "~ae" and T._norm("@river") == "@" and T._norm("123") == "0"
 
 
@@ -31,13 +31,26 @@ def test_held_out_accuracy():
     r = random.Random(3)
     rows = [(_doc(r, i % 6 == 0), int(i % 6 == 0)) for i in range(600)]
     noisy = [(t, 1 - y if r.random() < 0.03 else y) for t, y in rows[:400]]
-    keys, values, bias = T.train(noisy)
+    keys, values, bias = T.train([(*map(np.array, h), y) for h, (_, y) in zip(T.hash_rows([t for t, _ in noisy]), noisy)])
     assert 0 < len(keys) < 20_000
     dense = np.zeros(T.DIM)
     dense[keys] = values
-    got = [(T.score_text(t, dense, bias) >= T.THRESHOLD, y) for t, y in rows[400:]]
+    scores = T.score_texts([t for t, _ in rows[400:]] + [None, ""], dense, bias)
+    got = [(s >= T.THRESHOLD, y) for s, (_, y) in zip(scores, rows[400:])]
     assert sum(p == bool(y) for p, y in got) >= 0.97 * len(got)
-    assert T.score_text(None, dense, bias) == 0 and T.score_text("", dense, bias) == 0
+    assert scores[-1] == scores[-2] == 0
+    # alone, in another order or in a batch, a text has the same score; a bad sentence in a very long text or a sentence without an end is found
+    assert all(abs(T.score_texts([t], dense, bias)[0] - s) < 1e-9 for (t, _), s in zip(rows[400:450], scores))
+    bad = next(t for (t, y), s in zip(rows[400:], scores) if y and s > 0.9)
+    filler = "the river holds the stone and " * 3000
+    assert T.score_texts([filler + ". " + bad], dense, bias)[0] > 0.9 and T.score_texts([filler + bad.split(". ")[0]], dense, bias)[0] >= 0
+
+
+def test_windows_are_the_same_at_every_size():
+    for n in (1, 119, 120, 121, 180, 181, 500):
+        units = T._units(" ".join(f"w{i % 7}x" for i in range(n)))
+        covered = units[0][0] if units else []
+        assert len(covered) <= T.WINDOW and sum(len(c) for c, _ in units) >= n
 
 
 def test_tables(spark):
