@@ -1,21 +1,24 @@
 """Filling fixed-capacity containers with items (problem 8).
 
-Method: hierarchical residual packing. Groups of items are packed best-fit (largest first) where they are; containers that are nearly full are
-emitted; the emptier ones go on as items to the next level of a merge tree and are packed best-fit again, until one group is left or
-a level no longer saves containers.
+Method: hierarchical residual packing. Every partition packs its items best-fit (largest first) where they are, with no shuffle; containers that are nearly full are
+emitted. The emptier ones become the items of a merge tree: neighbouring partitions meet, their containers are packed best-fit again, and so on, until one group is left or
+merging no longer lowers the number of groups.
 
 Defined results: an item above the capacity is split into full containers and a rest; no other item is split. Items of size 0 or null (null and
-empty texts) fill nothing and get no container. Ties are broken by id, so the result does not depend on the order of rows. Repeated ids are
-separate items of the same name. A class with a null or non-positive capacity is left out; duplicate class names pack once per row.
+empty texts) fill nothing and get no container. Which items share a container depends on how the input is partitioned and ordered; sizes, capacities and the number of parts never do.
+Repeated ids are separate items of the same name. A class with a null or non-positive capacity is left out; duplicate class names pack once per row.
 
-Scale: a group holds at most about GROUP_ITEMS items or open containers, whatever the input, because the number of groups
-follows the counts; no group is collected unbounded. Groups are formed by hash, so no key is hot. Every level is materialised in the shared checkpoint folder,
-so a lost executor repeats one level only. Containers carry their members along (at most capacity many), so no join is needed at the end.
-The classes are broadcast after a check of their number.
+Scale: a partition packs runs of at most GROUP_ITEMS items per class. What moves is only (container, size) of underfull containers, a few numbers each; members are joined to their last
+container once, at the end. A group of the tree holds about GROUP_ITEMS containers, as the number of groups follows the counts. Every level is materialised in the shared checkpoint folder, so
+a lost executor repeats one level only. The classes are sent to the workers after a check of their number.
 """
 
+from collections.abc import Iterator
+
 import pandas as pd
-from pyspark.sql import DataFrame
+import pyarrow as pa
+from pyspark import TaskContext
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from quillon.session import cut_lineage
@@ -23,8 +26,8 @@ from quillon.session import cut_lineage
 GROUP_ITEMS = 20_000
 FULL = 0.99
 MAX_CLASSES = 1_000
-
-_BIN = "class_name string, capacity int, grp bigint, used int, members array<struct<item:bigint,segment:int,size:int>>, done boolean"
+#: A container's number is its partition's number above its place in the partition.
+PLACES = 40
 
 
 def best_fit(sizes: list[int], capacity: int) -> list[list[int]]:
@@ -53,75 +56,109 @@ def best_fit(sizes: list[int], capacity: int) -> list[list[int]]:
     return bins
 
 
-def _pack(frame: pd.DataFrame) -> pd.DataFrame:
-    """One group: pack items or open containers; nearly full ones are done."""
-    name, capacity, grp = frame["class_name"].iloc[0], int(frame["capacity"].iloc[0]), int(frame["grp"].iloc[0])
-    rows = sorted(zip(frame["used"].tolist(), frame["members"].tolist()), key=lambda r: (-r[0], _key(r[1])))
-    used = [int(r[0]) for r in rows]
-    out_used, out_members = [], []
-    for b in best_fit(used, capacity):
-        out_used.append(sum(used[i] for i in b))
-        out_members.append([m for i in b for m in rows[i][1]])
-    return pd.DataFrame(
-        {"class_name": name, "capacity": capacity, "grp": grp, "used": out_used, "members": out_members, "done": [u >= FULL * capacity for u in out_used]},
-        columns=["class_name", "capacity", "grp", "used", "members", "done"],
-    )
+_LOCAL = "class int, bin bigint, used int, item bigint, segment int, size int, head boolean"
 
 
-def _key(members) -> tuple:
-    first = members[0]
-    return (first["item"], first["segment"]) if isinstance(first, dict) else tuple(first)[:2]
+def local_bins(items: DataFrame, classes: list[tuple[str, int]], id_col: str, size_col: str) -> DataFrame:
+    """One row per item (or part of one) and class: its container in its partition, how full that is, and whether the row is the container's first."""
+    names = [x.split()[0] for x in _LOCAL.split(", ")]
+    types = [pa.int32(), pa.int64(), pa.int32(), pa.int64(), pa.int32(), pa.int32(), pa.bool_()]
 
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        base, place = TaskContext.get().partitionId() << PLACES, 0
 
-def segments(items: DataFrame, classes: DataFrame, id_col: str, size_col: str) -> DataFrame:
-    """(class_name, capacity, item, segment, size): every item per class, above the capacity in full parts and a rest."""
-    n = classes.limit(MAX_CLASSES + 1).count()
-    if n > MAX_CLASSES:
-        raise ValueError(f"more than {MAX_CLASSES} capacity classes")
-    small = F.broadcast(classes.where("capacity_tokens > 0").select("class_name", F.col("capacity_tokens").cast("int").alias("capacity")))
-    sized = items.select(F.col(id_col).cast("bigint").alias("item"), F.col(size_col).cast("bigint").alias("size")).where("size > 0")
-    crossed = sized.join(small)  # a row per class, of which there are few
-    parts = crossed.withColumn("segment", F.explode(F.sequence(F.lit(0), ((F.col("size") - 1) / F.col("capacity")).cast("int"))))
-    return parts.select("class_name", "capacity", "item", "segment", F.least(F.col("capacity").cast("bigint"), F.col("size") - F.col("segment").cast("bigint") * F.col("capacity")).cast("int").alias("size"))
+        def packed(held: list[tuple[int, int]]) -> Iterator[pa.RecordBatch]:
+            nonlocal place
+            for c, (_, capacity) in enumerate(classes):
+                rows, parts = [], []
+                for item, size in held:
+                    whole, left = divmod(size, capacity)
+                    for k in range(whole):  # full by itself
+                        rows.append((c, base + place, capacity, item, k, capacity, True))
+                        place += 1
+                    if left:
+                        parts.append((item, whole, left))
+                for chosen in best_fit([p[2] for p in parts], capacity):
+                    used = sum(parts[i][2] for i in chosen)
+                    rows += [(c, base + place, used, *parts[i], k == 0) for k, i in enumerate(chosen)]
+                    place += 1
+                for i in range(0, len(rows), 50_000):
+                    yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(zip(*rows[i : i + 50_000]), types)], names)
+
+        held: list[tuple[int, int]] = []
+        for b in batches:
+            for row in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
+                held.append(row)
+                if len(held) >= GROUP_ITEMS:
+                    yield from packed(held)
+                    held = []
+        yield from packed(held)
+
+    return items.select(F.col(id_col).cast("bigint").alias("item"), F.col(size_col).cast("bigint").alias("size")).where("size > 0").mapInArrow(run, _LOCAL)
+
+
+_LEVEL = "class int, grp bigint, bin bigint, into bigint, used int"
+
+
+def _merge(capacities: list[int]):
+    """Pack the open containers of a group into each other; a container takes the number of its first member."""
+
+    def run(frame: pd.DataFrame) -> pd.DataFrame:
+        frame = frame.sort_values(["used", "bin"], ascending=[False, True])
+        used, bins = frame["used"].tolist(), frame["bin"].tolist()
+        into, total = [0] * len(bins), [0] * len(bins)
+        for chosen in best_fit(used, capacities[int(frame["class"].iloc[0])]):
+            n = sum(used[i] for i in chosen)
+            for i in chosen:
+                into[i], total[i] = bins[chosen[0]], n
+        return pd.DataFrame({"class": frame["class"].to_numpy(), "grp": frame["grp"].to_numpy(), "bin": bins, "into": into, "used": total})
+
+    return run
 
 
 def pack(items: DataFrame, classes: DataFrame, id_col: str = "doc_id", size_col: str = "n_tokens") -> DataFrame:
     """(class_name, capacity, container, item, segment, size): containers are numbered from 0 within each class."""
-    parts = segments(items, classes, id_col, size_col)
-    member = F.array(F.struct("item", "segment", F.col("size").alias("size")))
-    bins = parts.select("class_name", "capacity", F.lit(0).cast("bigint").alias("grp"), F.col("size").alias("used"), member.alias("members"), (F.col("size") == F.col("capacity")).alias("done"))
-    bins = cut_lineage(bins)
-    closed: list[DataFrame] = []
-    level, last = 0, None
+    rows = classes.where("capacity_tokens > 0").select("class_name", F.col("capacity_tokens").cast("int").alias("capacity")).limit(MAX_CLASSES + 1).collect()
+    if len(rows) > MAX_CLASSES:
+        raise ValueError(f"more than {MAX_CLASSES} capacity classes")
+    known = sorted((r.class_name or "", r.capacity) for r in rows)
+    members = cut_lineage(local_bins(items, known, id_col, size_col))
+    capacities = [c for _, c in known]
+    limit = F.element_at(F.array(*[F.lit(int(FULL * c)) for c in capacities or [1]]), F.col("class") + 1)
+    opened = members.where(F.col("head") & (F.col("used") < limit)).select("class", "bin", "used", F.shiftright("bin", PLACES).alias("grp"))
+    moved = None  # containers that went into another, and where they are now
+    groups = last = None
     while True:
-        closed.append(bins.where("done").withColumn("level", F.lit(level)))
-        most = bins.where(~F.col("done")).groupBy("class_name").agg(F.count("*").alias("n")).agg(F.max("n"), F.sum("n")).first()
-        if not most[0]:
+        most, top = opened.groupBy("class").agg(F.count("*").alias("n"), F.max("grp").alias("g")).agg(F.max("n"), F.max("g")).first()
+        if not most or last == 1:
             break
-        groups = -(-most[0] // GROUP_ITEMS)
-        if level and (groups == last_groups == 1 or last is not None and most[1] > 0.995 * last and groups >= last_groups):
-            closed.append(bins.where(~F.col("done")).withColumn("level", F.lit(level)))
+        before = top + 1 if groups is None else groups
+        groups = max(1, min(before, -(-most // GROUP_ITEMS)))
+        if last is not None and groups >= last:
             break
-        # The first level packs by hash of the item; the next ones merge whole groups.
-        spread = F.pmod(F.xxhash64(F.col("members")[0]["item"], F.col("members")[0]["segment"], F.lit(level)), F.lit(groups))
-        opened = bins.where(~F.col("done")).withColumn("grp", spread)
-        bins = cut_lineage(opened.groupBy("class_name", "capacity", "grp").applyInPandas(_pack, _BIN))
-        last, last_groups, level = most[1], groups, level + 1
-    every = closed[0]
-    for c in closed[1:]:
-        every = every.unionByName(c)
-    # Dense numbers without one big sort: containers of a block in order, after the blocks before it.
-    block = F.pmod(F.xxhash64(F.col("members")[0]["item"], F.col("members")[0]["segment"]), F.lit(max(1, 64)))
-    from pyspark.sql import Window
-
-    keyed = every.withColumn("block", F.struct("level", "grp", block.alias("b")))
-    counts = keyed.groupBy("class_name", "block").agg(F.count("*").alias("n"))
-    before = counts.withColumn("offset", F.coalesce(F.sum("n").over(Window.partitionBy("class_name").orderBy("block").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))
-    order = Window.partitionBy("class_name", "block").orderBy(F.col("members")[0]["item"], F.col("members")[0]["segment"])
-    numbered = keyed.withColumn("at", F.row_number().over(order) - 1).join(before.select("class_name", "block", "offset"), ["class_name", "block"])
-    return numbered.select("class_name", "capacity", (F.col("offset") + F.col("at")).alias("container"), F.explode("members").alias("m")).select(
-        "class_name", "capacity", "container", F.col("m.item").alias("item"), F.col("m.segment").alias("segment"), F.col("m.size").alias("size")
-    )
+        # Neighbours meet: a group of this level is a run of groups of the level before.
+        level = cut_lineage(opened.withColumn("grp", F.floor(F.col("grp") * groups / before).cast("bigint")).withColumn("bin", F.col("bin")).select("class", "grp", "bin", "used").groupBy("class", "grp").applyInPandas(_merge(capacities), _LEVEL))
+        step = level.select("class", "bin", "into").where("bin <> into")
+        if moved is None:
+            moved = step
+        else:
+            then = step.select("class", F.col("bin").alias("into"), F.col("into").alias("to"))
+            moved = moved.join(then, ["class", "into"], "left").select("class", "bin", F.coalesce("to", "into").alias("into")).unionByName(step)
+        opened = level.where((F.col("bin") == F.col("into")) & (F.col("used") < limit)).select("class", "bin", "used", "grp")
+        last = groups
+    last_bin = F.col("bin")
+    if moved is not None:
+        members = members.join(moved, ["class", "bin"], "left")
+        last_bin = F.coalesce("into", "bin")
+    placed = members.select("class", "item", "segment", "size", last_bin.alias("bin"), F.shiftright(last_bin, PLACES).alias("block"))
+    # Dense numbers without one big sort: containers of a partition in order, after the partitions before it.
+    counts = placed.groupBy("class", "block").agg(F.countDistinct("bin").alias("n"))
+    before_it = Window.partitionBy("class").orderBy("block").rowsBetween(Window.unboundedPreceding, -1)
+    offsets = counts.select("class", "block", F.coalesce(F.sum("n").over(before_it), F.lit(0)).alias("offset"))
+    numbered = placed.withColumn("at", F.dense_rank().over(Window.partitionBy("class", "block").orderBy("bin")) - 1).join(offsets, ["class", "block"])
+    names = F.array(*[F.struct(F.lit(n).alias("class_name"), F.lit(c).alias("capacity")) for n, c in known or [("", 1)]])
+    of = F.element_at(names, F.col("class") + 1)
+    return numbered.select(of["class_name"].alias("class_name"), of["capacity"].alias("capacity"), (F.col("offset") + F.col("at")).alias("container"), "item", "segment", "size")
 
 
 def fill(packed: DataFrame) -> DataFrame:
