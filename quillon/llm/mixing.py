@@ -6,7 +6,7 @@ on the edge is taken if that comes nearer to it).
 
 Defined results: budgets follow from the largest total at which every source that has documents reaches its share with at most max_repeats copies
 (or from ``total_tokens``, where capped sources fall short and the report says so). A source without documents gives nothing. Source names are compared
-without case, blanks and hyphens; documents of a null source belong to no mix. Null and empty texts have size 0 and are never chosen. A null share or repeat count
+without case, blanks and hyphens; documents of a null or blank source belong to no mix. Null and empty texts have size 0 and are never chosen. A null share or repeat count
 counts as 0. Ties of keys are broken by id. Repeated ids are separate copies of the same document with the same key. Duplicate rows of a mix and source count once.
 
 Scale: prefix sums are taken in two steps: sums per (source, bucket of keys), a window over the at most BUCKETS rows of a source, then a window
@@ -26,7 +26,7 @@ SEED = 17
 
 def keyed(sized: DataFrame, weights: DataFrame | None = None) -> DataFrame:
     """(source, doc_id, n_tokens, key, bucket) of the documents that can be chosen."""
-    base = sized.where("n_tokens > 0").select(source_name(F.col("source")).alias("source"), "doc_id", "n_tokens").where("source <> 'unknown'")
+    base = sized.where("n_tokens > 0").where(F.trim("source") != "").select(source_name(F.col("source")).alias("source"), "doc_id", "n_tokens")
     if weights is not None:
         w = weights.where("quality > 0").groupBy("doc_id").agg(F.avg("quality").alias("w"))
         base = base.join(w, "doc_id", "left")

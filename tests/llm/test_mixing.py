@@ -39,6 +39,12 @@ def test_shares_and_repeats(spark):
     assert report["n", "mid"].actual_share == 1.0
 
 
+def test_a_source_named_unknown_is_a_source(spark):
+    sized = spark.createDataFrame([(1, "unknown", 5), (2, None, 7), (3, "  ", 7)], "doc_id bigint, source string, n_tokens bigint")
+    targets = spark.createDataFrame([("m", "Unknown", 1.0, 1)], "mix_name string, source string, target_share double, max_repeats int")
+    assert [r.doc_id for r in M.mix(sized, targets).collect()] == [1]
+
+
 def test_selection_follows_the_sorted_keys(spark):
     sized = spark.createDataFrame(_rows(400, 2), "doc_id bigint, source string, n_tokens bigint")
     docs = sorted((r.key, r.doc_id, r.n_tokens) for r in M.keyed(sized).where("source = 'big_one'").collect())
