@@ -290,8 +290,6 @@ class _Fix:
             self.offers.append((sum(e - s for s, e, *_ in spans), 60, spans))
 
     def _cyrillic(self, true: str, read: str, found: list[tuple[int, int]]) -> None:
-        if len(found) < 3:
-            return
         text, back, table = self.text, pairs().bytes_of[read], pairs().tables[true]
         high = lambda ch: back.get(ch, 0) >= 0x80
         joined = lambda i: high(text[i]) or (text[i] == " " and 0 < i < len(text) - 1 and high(text[i - 1]) and high(text[i + 1]))
@@ -337,10 +335,8 @@ def restore(text: str) -> tuple[str, int, str | None, bool]:
     )
     names: dict[str, int] = {}
     total = 0
-    for _ in range(3):
-        spans = sorted(_Fix(text).spans)
-        if not spans:
-            break
+    seen = {text}
+    while spans := sorted(_Fix(text).spans):  # text may be garbled several times over
         parts, at = [], 0
         for s, e, new, name in spans:
             if s < at or new == text[s:e]:
@@ -352,6 +348,9 @@ def restore(text: str) -> tuple[str, int, str | None, bool]:
         if not parts:
             break
         text = "".join([*parts, text[at:]])
+        if text in seen:
+            break
+        seen.add(text)
     if lost:
         names["single-byte as utf-8"] = 1
     label = ", ".join(sorted(names)) or None
