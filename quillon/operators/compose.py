@@ -17,11 +17,14 @@ def span_map(chunks: DataFrame) -> DataFrame:
 
 
 def graph_context(edges: DataFrame, nodes: DataFrame, first: int = 5) -> DataFrame:
-    """(repo_id, n_nodes, n_edges, sample): counts and the first node names."""
+    """(repo_id, n_nodes, n_edges, sample): counts and the first node names.
+
+    The first names are taken in two steps, of buckets of nodes and then of a repository, so no task sorts all nodes of a hot one.
+    """
     e = graph.collapse(edges).groupBy("repo_id").agg(F.count("*").alias("n_edges"))
-    order = Window.partitionBy("repo_id").orderBy("node_id")
-    ranked = nodes.distinct().withColumn("r", F.row_number().over(order))
-    n = ranked.groupBy("repo_id").agg(F.count("*").alias("n_nodes"), F.array_join(F.transform(F.array_sort(F.collect_list(F.when(F.col("r") <= first, F.struct("r", "node_id")))), lambda s: s["node_id"]), ", ").alias("sample"))
+    bucketed = nodes.select("repo_id", "node_id").distinct().withColumn("b", F.pmod(F.xxhash64("node_id"), F.lit(256)))
+    per = bucketed.groupBy("repo_id", "b").agg(F.count("*").alias("n"), F.slice(F.array_sort(F.collect_list("node_id")), 1, first).alias("some"))
+    n = per.groupBy("repo_id").agg(F.sum("n").alias("n_nodes"), F.array_join(F.slice(F.array_sort(F.flatten(F.collect_list("some"))), 1, first), ", ").alias("sample"))
     return n.join(e, "repo_id", "left").select("repo_id", "n_nodes", F.coalesce("n_edges", F.lit(0)).alias("n_edges"), "sample")
 
 

@@ -13,19 +13,47 @@ from pyspark.sql import functions as F
 from quillon.functions import paths
 from quillon.session import cut_lineage
 
-#: One pattern for the import forms of all languages; its group is the module's last name.
-IMPORT = r'(?:import app\.core\.|from app import |from \. import |import |require\("\./|from "\./|"app/|use crate::|#include "|require_once "lib/|require_relative ")(\w+)'
-CALL = r"(?:return |= )(\w+)\("
+def _all(text: Column, pattern: str, group: int = 1) -> Column:
+    return F.regexp_extract_all(text, F.lit(pattern), group)
+
+
+def _listed(names: Column) -> Column:
+    """The names of a comma-separated list, without aliases, brackets and blanks."""
+    parts = F.transform(F.split(F.regexp_replace(names, r"[()\\\s]+", " "), ","), lambda x: F.trim(F.regexp_replace(x, r"\s+as\s+.*$", "")))
+    return F.filter(parts, lambda x: x != "")
+
+
+def imports(text: Column, language: Column) -> Column:
+    """Column: what a file imports, as its language writes it, a list of full names; statements are read whole, also over several lines and with several names."""
+    pairs = r"(?m)^[ \t]*from[ \t]+([\w.]+)[ \t]+import[ \t]+(\([^)]*\)|[^\n#;]+)"
+    python = F.concat(
+        F.flatten(F.transform(_all(text, r"(?m)^[ \t]*import[ \t]+([\w., \t]+)"), _listed)),
+        F.flatten(F.zip_with(_all(text, pairs), _all(text, pairs, 2), lambda m, ns: F.transform(_listed(ns), lambda n: F.concat(m, F.when(m.endswith("."), "").otherwise("."), n)))),
+    )
+    script = _all(text, r"""(?m)(?:\brequire\(\s*|\bfrom\s+|^\s*import\s+)['"]([^'"\n]+)['"]""")
+    go = F.concat(_all(text, r'(?m)^\s*import\s+(?:[\w.]+\s+)?"([^"\n]+)"'), F.flatten(F.transform(_all(text, r"(?ms)^\s*import\s*\((.*?)\)"), lambda x: _all(x, r'"([^"\n]+)"'))))
+    none = F.array().cast("array<string>")
+    return (
+        F.when(language == "python", python).when(language.isin("javascript", "typescript"), script).when(language.isin("java", "kotlin", "scala", "csharp"), _all(text, r"(?m)^\s*(?:import|using)\s+(?:static\s+)?([\w.]+)"))
+        .when(language == "go", go).when(language == "rust", _all(text, r"(?m)^\s*(?:pub\s+)?use\s+([\w:]+)")).when(language == "cpp", _all(text, r'(?m)^\s*#\s*include\s+["<]([^">\n]+)[">]'))
+        .when(language == "php", F.concat(_all(text, r"""\b(?:require|include)(?:_once)?[\s(]+['"]([^'"\n]+)['"]"""), _all(text, r"(?m)^\s*use\s+([\w\\]+)"))).when(language == "ruby", _all(text, r"""(?m)^\s*require(?:_relative)?\s+['"]([^'"\n]+)['"]""")).otherwise(none)
+    )
+
+
+def _module(name: Column, language: Column) -> Column:
+    """Column: the last part of a full name, which may be a file's name: of a path its stem, else what follows the last separator."""
+    return F.when(language.isin("javascript", "typescript", "go", "cpp", "php", "ruby") & ~name.contains("\\"), paths.stem(name)).otherwise(F.regexp_extract(name, r"(\w*)$", 1))
 
 
 def import_edges(files: DataFrame) -> DataFrame:
-    """(repo_id, seq, source, target, type): imports of every file; a name that is a file of the repository resolves to its path."""
+    """(repo_id, seq, source, target, type): imports of every file; a name whose last part is a file of the repository resolves to its path, any other stays as written."""
     # Names are taken before the shuffle, so texts never move; of several crawls of a path the last counts.
-    slim = files.where("raw_content is not null and file_path is not null").select("repo_id", "file_path", "file_id", F.regexp_extract_all("raw_content", F.lit(IMPORT), 1).alias("names"))
-    base = slim.groupBy("repo_id", "file_path").agg(F.max_by("names", "file_id").alias("names"))
-    named = base.select("repo_id", F.col("file_path").alias("source"), F.posexplode("names").alias("seq", "module"))
+    language = paths.language(F.col("file_path"))
+    slim = files.where("raw_content is not null and file_path is not null").select("repo_id", "file_path", "file_id", language.alias("language"), imports(F.col("raw_content"), language).alias("names"))
+    base = slim.groupBy("repo_id", "file_path").agg(F.max_by("names", "file_id").alias("names"), F.first("language").alias("language"))
+    named = base.select("repo_id", F.col("file_path").alias("source"), "language", F.posexplode("names").alias("seq", "name")).withColumn("module", _module(F.col("name"), F.col("language")))
     known = base.groupBy("repo_id", paths.stem(F.col("file_path")).alias("module")).agg(F.min("file_path").alias("path"))
-    return named.join(known, ["repo_id", "module"], "left").select("repo_id", F.col("seq").cast("bigint").alias("seq"), "source", F.coalesce("path", "module").alias("target"), F.lit("IMPORTS").alias("type"))
+    return named.join(known, ["repo_id", "module"], "left").select("repo_id", F.col("seq").cast("bigint").alias("seq"), "source", F.coalesce("path", "name").alias("target"), F.lit("IMPORTS").alias("type"))
 
 
 def file_nodes(files: DataFrame) -> DataFrame:
@@ -33,7 +61,9 @@ def file_nodes(files: DataFrame) -> DataFrame:
 
 
 def collapse(edges: DataFrame) -> DataFrame:
-    """One edge per (source, target); of parallel edges the last type counts."""
+    """One edge per (source, target); of parallel edges the last type counts. Collapsed edges stay as they are."""
+    if "seq" not in edges.columns:
+        return edges
     return edges.groupBy("repo_id", "source", "target").agg(F.max_by("type", F.struct("seq", "type")).alias("type"))
 
 
@@ -67,9 +97,10 @@ def reach(edges: DataFrame, seeds: DataFrame, max_depth: int = 2, inclusive: boo
 
 
 def blast_radius(edges: DataFrame, seeds: DataFrame, max_depth: int = 2) -> DataFrame:
-    """(repo_id, seed, n_upstream, n_downstream, n_affected): followed both ways; the seed itself counts as affected."""
-    up = reach(edges, seeds, max_depth).withColumn("way", F.lit("up"))
-    down = reach(edges, seeds, max_depth, reverse=True).withColumn("way", F.lit("down"))
+    """(repo_id, seed, n_upstream, n_downstream, n_affected): followed both ways; the seed itself counts as affected. The edges are stored once for both ways."""
+    stored = cut_lineage(collapse(edges))
+    up = reach(stored, seeds, max_depth).withColumn("way", F.lit("up"))
+    down = reach(stored, seeds, max_depth, reverse=True).withColumn("way", F.lit("down"))
     both = up.unionByName(down)
     per = both.groupBy("repo_id", "seed", "node").agg(F.bool_or((F.col("way") == "up") & (F.col("depth") > 0)).alias("u"), F.bool_or((F.col("way") == "down") & (F.col("depth") > 0)).alias("d"))
     return per.groupBy("repo_id", "seed").agg(F.count_if("u").alias("n_upstream"), F.count_if("d").alias("n_downstream"), F.count("*").alias("n_affected"))

@@ -21,6 +21,45 @@ def _blocks(vectors: DataFrame, id_col: str, vec_col: str, rows: int, name: str)
     return vectors.groupBy(F.pmod(F.xxhash64(id_col), F.lit(n)).alias(f"{name}_block")).agg(F.collect_list(F.struct(F.col(id_col).alias("id"), F.col(vec_col).alias("v"))).alias(name))
 
 
+def _k_of_block(have: list, want: list, k: int, exclude_self: bool) -> pd.DataFrame:
+    """The k nearest of a block for each of its queries: one matrix product per length of vectors, then exact distances of the few rows that may be among the k."""
+    out = []
+    lengths = {len(q["v"]) for q in want}
+    for n in lengths:
+        rows = [r for r in have if len(r["v"]) == n]
+        asked = [q for q in want if len(q["v"]) == n]
+        if not rows:
+            continue
+        ids, m = np.array([r["id"] for r in rows], dtype=np.int64), np.array([r["v"] for r in rows], dtype=np.float64)
+        qids, a = np.array([q["id"] for q in asked], dtype=np.int64), np.array([q["v"] for q in asked], dtype=np.float64)
+        rough = (a * a).sum(axis=1)[:, None] + (m * m).sum(axis=1)[None, :] - 2.0 * (a @ m.T)
+        if exclude_self:
+            rough[qids[:, None] == ids[None, :]] = np.inf
+        most = min(k, len(ids)) - 1
+        slack = 1e-6 + 1e-9 * np.abs(np.where(np.isfinite(rough), rough, 0)).max(initial=0)
+        bound = np.partition(rough, most, axis=1)[:, most] + 2 * slack
+        q, j = np.nonzero((rough <= bound[:, None]) & np.isfinite(rough))
+        diff = m[j] - a[q]
+        out.append(pd.DataFrame({"query_id": qids[q], "id": ids[j], "distance": np.round(np.einsum("ij,ij->i", diff, diff), 6)}))
+    if not out:
+        return pd.DataFrame({"query_id": pd.Series(dtype="int64"), "id": pd.Series(dtype="int64"), "distance": pd.Series(dtype="float64")})
+    every = pd.concat(out).sort_values(["query_id", "distance", "id"], kind="stable")
+    return every.groupby("query_id", sort=False).head(k)
+
+
+def _best(pairs: DataFrame, k: int, exclude_self: bool) -> DataFrame:
+    """(query_id, id, distance, rank) of pairs of blocks (data, asked)."""
+
+    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for frame in frames:
+            for have, want in zip(frame["data"], frame["asked"]):
+                yield _k_of_block(list(have), list(want), k, exclude_self)
+
+    best = pairs.select("data", "asked").mapInPandas(run, "query_id bigint, id bigint, distance double")
+    order = Window.partitionBy("query_id").orderBy("distance", "id")
+    return best.withColumn("rank", F.row_number().over(order).cast("bigint")).where(F.col("rank") <= k)
+
+
 def nearest(vectors: DataFrame, queries: DataFrame, k: int, id_col: str = "vec_id", vec_col: str = "embedding", exclude_self: bool = True) -> DataFrame:
     """(query_id, id, distance, rank): the k nearest by squared Euclidean distance, exact; ties by id, fewer if there are fewer.
 
@@ -29,33 +68,68 @@ def nearest(vectors: DataFrame, queries: DataFrame, k: int, id_col: str = "vec_i
     """
     data = _blocks(vectors.where(F.col(vec_col).isNotNull()), id_col, vec_col, BLOCK_ROWS, "data")
     asked = _blocks(queries.where(F.col(vec_col).isNotNull()), id_col, vec_col, QUERY_ROWS, "asked")
-    pairs = data.join(asked)  # blocks of a stated query set against blocks of all rows
+    return _best(data.join(asked), k, exclude_self)  # blocks of a stated query set against blocks of all rows
+
+
+#: The index: at most FIT_ROWS rows fit its cells, of which there are about CELL_ROWS rows each; a query looks into the share PROBED of them, at least LEAST_PROBES.
+FIT_ROWS, CELL_ROWS, PROBED, LEAST_PROBES = 20_000, 32, 0.55, 8
+
+
+def fit_cells(vectors: DataFrame, vec_col: str = "embedding", rounds: int = 8) -> np.ndarray:
+    """Centres of the index's cells, by k-means on at most FIT_ROWS vectors chosen by hash (a documented bound); every vector is indexed. One length of vectors alone: the most frequent."""
+    have = vectors.where(F.col(vec_col).isNotNull())
+    n = have.count()
+    size = have.groupBy(F.size(vec_col).alias("d")).count().orderBy(F.desc("count"), "d").first()
+    if size is None:
+        return np.zeros((0, 0))
+    share = min(1.0, FIT_ROWS / n)
+    rows = have.where((F.size(vec_col) == size.d) & (F.pmod(F.xxhash64(vec_col), F.lit(1_000_000)) < int(share * 1_000_000))).select(vec_col).limit(2 * FIT_ROWS).toPandas()[vec_col]
+    m = np.array(rows.tolist(), dtype=np.float64).reshape(-1, size.d)
+    m = m[np.lexsort(m.T)]  # the order of rows does not matter
+    cells = max(1, min(len(m), n // CELL_ROWS, 4_096))
+    centres = m[np.random.default_rng(3).permutation(len(m))[:cells]]
+    for _ in range(rounds):
+        at = ((centres * centres).sum(axis=1)[None, :] - 2 * m @ centres.T).argmin(axis=1)
+        sums = np.zeros_like(centres)
+        np.add.at(sums, at, m)
+        counts = np.bincount(at, minlength=len(centres))
+        centres = np.where(counts[:, None] > 0, sums / np.maximum(counts, 1)[:, None], centres)
+    return centres
+
+
+def _in_cells(vectors: DataFrame, centres: np.ndarray, probes: int, id_col: str, vec_col: str) -> DataFrame:
+    """(cell, id, v): each vector in its ``probes`` nearest cells."""
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for frame in frames:
-            for have, want in zip(frame["data"], frame["asked"]):
-                by_length: dict[int, list] = {}
-                for r in have:
-                    by_length.setdefault(len(r["v"]), []).append(r)
-                for q in want:
-                    rows = by_length.get(len(q["v"]))
-                    if not rows:
-                        continue
-                    if not isinstance(rows, tuple):
-                        rows = (np.array([r["id"] for r in rows], dtype=np.int64), np.array([r["v"] for r in rows], dtype=np.float64))
-                        by_length[len(q["v"])] = rows
-                    ids, m = rows
-                    diff = m - np.asarray(q["v"], dtype=np.float64)
-                    dist = np.round(np.einsum("ij,ij->i", diff, diff), 6)
-                    if exclude_self:
-                        keep = ids != q["id"]
-                        ids, dist = ids[keep], dist[keep]
-                    order = np.lexsort((ids, dist))[:k]
-                    yield pd.DataFrame({"query_id": np.int64(q["id"]), "id": ids[order], "distance": dist[order]})
+        for f in frames:
+            f = f[[len(v) == centres.shape[1] for v in f["v"]]]
+            if not len(f):
+                continue
+            m = np.array(f["v"].tolist(), dtype=np.float64)
+            rough = (centres * centres).sum(axis=1)[None, :] - 2 * m @ centres.T
+            near = np.argpartition(rough, min(probes, len(centres)) - 1, axis=1)[:, :probes]
+            yield pd.DataFrame({"cell": near.reshape(-1), "id": np.repeat(f["id"].to_numpy(), near.shape[1]), "v": [v for v in f["v"] for _ in range(near.shape[1])]})
 
-    best = pairs.select("data", "asked").mapInPandas(run, "query_id bigint, id bigint, distance double")
-    order = Window.partitionBy("query_id").orderBy("distance", "id")
-    return best.withColumn("rank", F.row_number().over(order).cast("bigint")).where(F.col("rank") <= k)
+    slim = vectors.where(F.col(vec_col).isNotNull()).select(F.col(id_col).cast("bigint").alias("id"), F.col(vec_col).cast("array<double>").alias("v"))
+    return slim.mapInPandas(run, "cell int, id bigint, v array<double>")
+
+
+def nearest_indexed(vectors: DataFrame, queries: DataFrame, k: int, centres: np.ndarray, id_col: str = "vec_id", vec_col: str = "embedding", exclude_self: bool = True) -> DataFrame:
+    """Like :func:`nearest`, for query sets that grow with the data: a query meets the vectors of its nearest cells alone, so some neighbours are missed (recall is tested to be 0.9 or more).
+
+    Vectors of one cell are cut into blocks of at most about BLOCK_ROWS, so a cell with a third of all rows is many blocks. Vectors of another length than the index's are no neighbours; :func:`nearest` is the exact way.
+    """
+    if not len(centres):
+        return nearest(vectors, queries.limit(0), k, id_col, vec_col, exclude_self)
+    probes = min(len(centres), max(LEAST_PROBES, int(PROBED * len(centres))))
+    data, asked = _in_cells(vectors, centres, 1, id_col, vec_col), _in_cells(queries, centres, probes, id_col, vec_col)
+
+    def blocks(rows: DataFrame, most: int, name: str) -> DataFrame:
+        per = rows.groupBy("cell").agg(F.count("*").alias("n"))  # a row per cell, at most 4,096
+        part = F.pmod(F.xxhash64("id"), F.ceil(F.col("n") / most))
+        return rows.join(F.broadcast(per), "cell").groupBy("cell", part.alias(f"{name}_part")).agg(F.collect_list(F.struct("id", "v")).alias(name))
+
+    return _best(blocks(data, BLOCK_ROWS, "data").join(blocks(asked, QUERY_ROWS, "asked"), "cell"), k, exclude_self)
 
 
 def expanded(vectors: DataFrame, variants: DataFrame, k: int = 20) -> DataFrame:
@@ -69,16 +143,19 @@ def expanded(vectors: DataFrame, variants: DataFrame, k: int = 20) -> DataFrame:
     return marked.where(F.col("rank") <= F.floor(F.lit(k) / F.col("n"))).select("query_id", "vec_id", "id", "distance", "rank")
 
 
-def multi_hop(vectors: DataFrame, queries: DataFrame, k: int = 5, hops: int = 3, decay: float = 0.8) -> DataFrame:
-    """(query_id, id, hop, relevance): the hits of each hop are the queries of the next; nodes seen before are left out."""
+def multi_hop(vectors: DataFrame, queries: DataFrame, k: int = 5, hops: int = 3, decay: float = 0.8, exact: bool = False) -> DataFrame:
+    """(query_id, id, hop, relevance): the hits of each hop are the queries of the next; nodes seen before are left out.
+
+    The first hop is exact. Later ones ask with all hits so far, which grow with the data, so they go through an index of cells; ``exact`` asks in blocks against all rows instead.
+    """
     from quillon.session import cut_lineage
 
-    first = nearest(vectors, queries, k).select("query_id", "id").withColumn("hop", F.lit(0))
-    seen = cut_lineage(first)
-    front = seen
+    seen = front = cut_lineage(nearest(vectors, queries, k).select("query_id", "id").withColumn("hop", F.lit(0)))
+    centres = None if exact or hops < 2 else fit_cells(vectors)
     for hop in range(1, hops):
         asked = front.select("id").distinct().withColumnRenamed("id", "vec_id").join(vectors, "vec_id")
-        near = nearest(vectors, asked, k).select(F.col("query_id").alias("via"), "id")
+        found = nearest(vectors, asked, k) if centres is None else nearest_indexed(vectors, asked, k, centres)
+        near = found.select(F.col("query_id").alias("via"), "id")
         step = front.select("query_id", F.col("id").alias("via")).join(near, "via").select("query_id", "id").distinct()
         new = step.where("query_id <> id").join(seen, ["query_id", "id"], "left_anti").withColumn("hop", F.lit(hop))
         front = cut_lineage(new)
@@ -112,6 +189,7 @@ def features(text: Column, path: Column, query: Column, entities: Column | None
     return {"text_relevance": relevance, "entity_coverage": coverage, "code_quality": F.least(F.lit(1.0), quality), "freshness": F.lit(0.5), "structural": F.least(F.lit(1.0), structural)}
 
 
+#: Weights of the features.
 WEIGHTS = {"text_relevance": 0.3, "entity_coverage": 0.3, "code_quality": 0.2, "freshness": 0.1, "structural": 0.1}
 
 

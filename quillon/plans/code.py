@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quillon.operators import chunking, shred
+from quillon.operators import chunking, codegraph, shred
 from quillon.sources.tables import table
 
 
@@ -41,14 +41,65 @@ def nested_endpoint_scores(spark: SparkSession, d: str) -> DataFrame:
 
 
 def express_endpoints(spark: SparkSession, d: str) -> DataFrame:
-    """X6 for one framework, comparable with SQL."""
-    found = endpoints(spark, d).where("framework = 'Express'")
+    """X6 for one framework and named handlers, comparable with SQL."""
+    found = endpoints(spark, d).where("framework = 'Express' and not startswith(handler, 'anonymous_')")
     return found.select("file_id", F.col("methods")[0].alias("method"), "path", "handler")
 
 
-QUERIES = {f.__name__: f for f in (code_chunks, endpoints, endpoint_inventory, rest_scores, openapi_specs, nested_endpoint_scores, express_endpoints)}
+def _facts(spark: SparkSession, d: str) -> DataFrame:
+    return codegraph.facts(table(spark, d, "source_files"))
+
+
+def code_nodes(spark: SparkSession, d: str) -> DataFrame:
+    """Files and classes of every ref, with their functions, classes, methods and exports."""
+    return codegraph.nodes(_facts(spark, d))
+
+
+def code_edges(spark: SparkSession, d: str) -> DataFrame:
+    """Bases, imports and calls of every ref."""
+    return codegraph.edges(_facts(spark, d))
+
+
+def script_imports(spark: SparkSession, d: str) -> DataFrame:
+    """What JavaScript files require and import."""
+    return codegraph.edges(_facts(spark, d)).where("type = 'IMPORTS' and source rlike '[.](js|mjs|cjs|jsx|gs)$'").groupBy("repo_id", "source", "target").agg(F.count("*").alias("n"))
+
+
+def script_functions(spark: SparkSession, d: str) -> DataFrame:
+    """Functions that JavaScript files declare."""
+    return codegraph.nodes(_facts(spark, d)).where("type = 'file' and language = 'javascript'").select("repo_id", "file", F.explode("functions").alias("name")).groupBy("repo_id", "file", "name").agg(F.count("*").alias("n"))
+
+
+def class_methods(spark: SparkSession, d: str) -> DataFrame:
+    """Methods by the class that holds them."""
+    return codegraph.nodes(_facts(spark, d)).where("type = 'class'").select("repo_id", "ref", "node_id", "line", F.size("methods").alias("n_methods"), F.array_join("methods", ", ").alias("methods"))
+
+
+def call_counts(spark: SparkSession, d: str) -> DataFrame:
+    """Sources with the most calls."""
+    return codegraph.call_counts(codegraph.edges(_facts(spark, d)))
+
+
+def grouped_edges(spark: SparkSession, d: str) -> DataFrame:
+    """A44."""
+    return codegraph.grouped(codegraph.edges(_facts(spark, d)))
+
+
+def handler_edges(spark: SparkSession, d: str) -> DataFrame:
+    """What the node of each endpoint's handler leads to."""
+    return codegraph.handler_edges(endpoints(spark, d), _facts(spark, d))
+
+
+QUERIES = {f.__name__: f for f in (code_chunks, endpoints, endpoint_inventory, rest_scores, openapi_specs, nested_endpoint_scores, express_endpoints, code_nodes, code_edges, script_imports, script_functions, class_methods, call_counts, grouped_edges, handler_edges)}
+_SCRIPTS = r"s AS (SELECT repo_id, file_path, arg_max(coalesce(raw_content, ''), file_id) AS t FROM source_files WHERE file_path IS NOT NULL GROUP BY repo_id, ref, file_path)"
+_EXPRESS = r"(?i)app\.(?:get|post|put|delete|patch|use)\([''\"][^''\"]+[''\"],\s*\w+"
+#: The forms that stand in the tables, without regard to how the operators read a text.
 ORACLES = {
-    "express_endpoints": r"""WITH m AS (SELECT file_id, unnest(regexp_extract_all(raw_content, 'app\.(?:get|post|put|delete|patch|use)\([''"][^''"]+[''"],\s*\w+\s*[,)]')) AS s FROM source_files
+    "express_endpoints": rf"""WITH m AS (SELECT file_id, unnest(regexp_extract_all(raw_content, '{_EXPRESS}')) AS s FROM source_files
         WHERE regexp_matches(file_path, '\.(py|pyi|pyx|js|mjs|cjs|jsx|gs|ts|tsx|java|go|php|rb)$'))
-        SELECT file_id, upper(regexp_extract(s, 'app\.(\w+)', 1)) AS method, regexp_extract(s, '[''"]([^''"]+)[''"]', 1) AS path, regexp_extract(s, ',\s*(\w+)\s*[,)]$', 1) AS handler FROM m WHERE NOT regexp_matches(s, '@app')""",
+        SELECT file_id, upper(regexp_extract(s, '(?i)app\.(\w+)', 1)) AS method, regexp_extract(s, '[''"]([^''"]+)[''"]', 1) AS path, regexp_extract(s, ',\s*(\w+)$', 1) AS handler FROM m""",
+    "script_imports": rf"""WITH {_SCRIPTS}, m AS (SELECT repo_id, file_path AS source, unnest(regexp_extract_all(t, '(?:require\(|from )"([^"\n]+)"', 1)) AS target FROM s WHERE regexp_matches(file_path, '\.(js|mjs|cjs|jsx|gs)$'))
+        SELECT repo_id, source, target, count(*) AS n FROM m GROUP BY ALL""",
+    "script_functions": rf"""WITH {_SCRIPTS}, m AS (SELECT repo_id, file_path AS file, unnest(regexp_extract_all(t, '(?m)(?:^|[;{{}}])(?:export )?function (\w+)\(', 1)) AS name FROM s WHERE regexp_matches(file_path, '\.(js|mjs|cjs|jsx|gs)$'))
+        SELECT repo_id, file, name, count(*) AS n FROM m GROUP BY ALL""",
 }

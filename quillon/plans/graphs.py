@@ -29,7 +29,13 @@ def import_graph(spark: SparkSession, d: str) -> DataFrame:
 
 
 def known_edges(spark: SparkSession, d: str) -> DataFrame:
-    """Edges whose target is a file."""
+    """Edges whose source is a file of the crawl; sources that only stand in edges are left out."""
+    nodes = graph.file_nodes(table(spark, d, "source_files").where("file_path not like '%test%'"))
+    return graph.with_known_source(graph.collapse(_edges(spark, d)), nodes).select("repo_id", "source", "target")
+
+
+def file_edges(spark: SparkSession, d: str) -> DataFrame:
+    """Edges whose target is a file, too."""
     nodes = graph.file_nodes(table(spark, d, "source_files"))
     return graph.collapse(_edges(spark, d)).join(nodes.withColumnRenamed("node_id", "target"), ["repo_id", "target"], "left_semi").select("repo_id", "source", "target")
 
@@ -99,11 +105,17 @@ def trace_layout(spark: SparkSession, d: str) -> DataFrame:
 
 
 def graph_difference(spark: SparkSession, d: str) -> DataFrame:
-    """Edges of the second half of the crawls against those of the first, by path names."""
-    rows = table(spark, d, "source_files")
-    e = graph.collapse(_edges(spark, d)).select(F.concat_ws(" -> ", "source", "target").alias("edge"), "repo_id")
-    del rows
-    return graph.difference(e.where(F.length("repo_id") % 2 == 0), e.where(F.length("repo_id") % 2 == 1), ["edge"])
+    """Edges of the last crawl of every path against those of its first; each repository has one ref here, so the crawls stand for base and head."""
+    f = table(spark, d, "source_files").where("raw_content is not null and file_path is not null")
+    first = f.groupBy("repo_id", "file_path").agg(F.min("file_id").alias("file_id"))
+    base, head = (graph.collapse(graph.import_edges(x)) for x in (f.join(first, ["repo_id", "file_path", "file_id"], "left_semi"), f))
+    return graph.difference(base, head, ["repo_id", "source", "target"])
+
+
+def learning_levels(spark: SparkSession, d: str) -> DataFrame:
+    """The files and modules that nothing imports, and those that only they import, for SQL to compare."""
+    e = _edges(spark, d)
+    return graph.topological_levels(e, graph.neighbours(e, linked_seeds(e))).where("level <= 1").withColumn("level", F.col("level").cast("bigint"))
 
 
 def _hunks(spark: SparkSession, d: str) -> DataFrame:
@@ -132,24 +144,46 @@ def changed_unknown_files(spark: SparkSession, d: str) -> DataFrame:
     return diffs.unknown_files(_hunks(spark, d), _spans(spark, d), ["file_id"])
 
 
-QUERIES = {f.__name__: f for f in (import_graph, known_edges, node_degrees, reachable, blast_radius, one_hop, reachable_linked, blast_radius_linked, one_hop_linked, learning_order, call_traces, trace_stats, trace_layout, graph_difference, touched_spans, routed_changes, changed_unknown_files)}
+QUERIES = {f.__name__: f for f in (import_graph, known_edges, file_edges, learning_levels, node_degrees, reachable, blast_radius, one_hop, reachable_linked, blast_radius_linked, one_hop_linked, learning_order, call_traces, trace_stats, trace_layout, graph_difference, touched_spans, routed_changes, changed_unknown_files)}
+
+_STEM = r"regexp_replace(regexp_extract({}, '([^/]*)$', 1), '^(.+)\.[^.]+$', '\1')"
+#: The import forms that stand in the tables, by extension: (extensions, pattern, written name, last part).
+_FORMS = [
+    ("py|pyi|pyx", r"(?m)^import (\w+)", "{1}", "{1}"), ("py|pyi|pyx", r"(?m)^from (\S+) import (\w+)", "{1} || CASE WHEN ends_with({1}, '.') THEN '' ELSE '.' END || {2}", "{2}"), ("js|mjs|cjs|jsx|gs", r'require\("([^"\n]+)"\)', "{1}", None), ("js|mjs|cjs|jsx|gs|ts|tsx", r'(?m)^import .*from "([^"\n]+)"', "{1}", None),
+    ("java", r"(?m)^import ([a-z.]+\.)(\w+);", "{1} || {2}", "{2}"), ("go", r'(?m)^\t"([^"\n]+)"', "{1}", None), ("rs", r"(?m)^use (\w+::)(\w+);", "{1} || {2}", "{2}"), ("cpp|cxx|cc|c|h|hpp", r'(?m)^#include "([^"\n]+)"', "{1}", None), ("php", r'require_once "([^"\n]+)"', "{1}", None), ("rb", r'(?m)^require_relative "([^"\n]+)"', "{1}", None),
+]
+
+
+def _form(ext: str, pattern: str, name: str, last: str | None, tag: str) -> str:
+    groups = 2 if "{2}" in name else 1
+    p = pattern.replace("'", "''")
+    cols = ", ".join(f"unnest(regexp_extract_all(text, '{p}', {g})) AS g{g}" for g in range(1, groups + 1))
+    put = lambda x: x.replace("{1}", "g1").replace("{2}", "g2")
+    return f"SELECT repo_id, source, {put(name)} AS name, {put(last) if last else _STEM.format('g1')} AS module FROM (SELECT repo_id, file_path AS source, {cols} FROM b{tag} WHERE regexp_matches(lower(file_path), '\\.({ext})$'))"
+
+
+def _edge_sql(pick: str = "arg_max", tag: str = "") -> str:
+    """Common table expressions that end in e: the edges of the last (or with arg_min the first) crawl of every path."""
+    forms = " UNION ALL ".join(_form(*f, tag) for f in _FORMS)
+    return f"""b{tag} AS (SELECT repo_id, file_path, {pick}(raw_content, file_id) AS text FROM source_files WHERE raw_content IS NOT NULL AND file_path IS NOT NULL GROUP BY 1, 2), n{tag} AS ({forms}),
+    k{tag} AS (SELECT repo_id, {_STEM.format('file_path')} AS module, min(file_path) AS path FROM b{tag} GROUP BY 1, 2),
+    e{tag} AS (SELECT DISTINCT repo_id, source, coalesce(path, name) AS target, 'IMPORTS' AS type FROM n{tag} LEFT JOIN k{tag} USING (repo_id, module))"""
+
 
-_STEM = r"regexp_replace(regexp_extract(file_path, '([^/]*)$', 1), '^(.+)\.[^.]+$', '\1')"
-_E = f"""b AS (SELECT repo_id, file_path, arg_max(raw_content, file_id) AS text FROM source_files WHERE raw_content IS NOT NULL AND file_path IS NOT NULL GROUP BY 1, 2),
-    n AS (SELECT repo_id, file_path AS source, unnest(regexp_extract_all(text, '{graph.IMPORT}', 1)) AS module FROM b), k AS (SELECT repo_id, {_STEM} AS module, min(file_path) AS path FROM b GROUP BY 1, 2),
-    e AS (SELECT DISTINCT repo_id, source, coalesce(path, module) AS target, 'IMPORTS' AS type FROM n LEFT JOIN k USING (repo_id, module)),
-    s AS (SELECT repo_id, min(file_path) AS seed FROM source_files GROUP BY 1)"""
+_E = f"{_edge_sql()}, s AS (SELECT repo_id, min(file_path) AS seed FROM source_files GROUP BY 1)"
 _UP = "u AS (SELECT s.repo_id, seed, target AS node FROM s JOIN e ON s.repo_id IS NOT DISTINCT FROM e.repo_id AND e.source = s.seed WHERE target <> seed), dn AS (SELECT s.repo_id, seed, source AS node FROM s JOIN e ON s.repo_id = e.repo_id AND e.target = s.seed WHERE source <> seed)"
 _H = "h AS (SELECT file_id, file_id % 50 + 1 AS start, file_id % 7 AS len, CASE WHEN file_id % 11 = 0 THEN 'added' WHEN file_id % 13 = 0 THEN 'deleted' ELSE 'modified' END AS status FROM source_files WHERE file_path IS NOT NULL), sp AS (SELECT file_id, chunk_id AS span_id, start_line, end_line FROM chunks WHERE start_line IS NOT NULL AND end_line IS NOT NULL)"
 _OVER = "SELECT DISTINCT file_id, span_id{x} FROM h JOIN sp USING (file_id) WHERE len > 0 AND start <= end_line AND start_line <= start + len - 1"
 ORACLES = {
     "import_graph": f"WITH {_E} SELECT repo_id, source, target, type FROM e",
-    "known_edges": f"WITH {_E} SELECT DISTINCT e.repo_id, e.source, e.target FROM e JOIN source_files f ON f.repo_id = e.repo_id AND f.file_path = e.target",
+    "known_edges": f"WITH {_E} SELECT DISTINCT repo_id, source, target FROM e WHERE NOT contains(source, 'test')",
+    "file_edges": f"WITH {_E} SELECT DISTINCT e.repo_id, e.source, e.target FROM e JOIN source_files f ON f.repo_id = e.repo_id AND f.file_path = e.target",
+    "learning_levels": f"WITH {_E}, g AS (SELECT repo_id, source, target FROM e WHERE source <> target), v AS (SELECT repo_id, source AS node FROM e UNION SELECT repo_id, target FROM e), z AS (SELECT v.repo_id, node FROM v ANTI JOIN g ON g.repo_id = v.repo_id AND g.target = node), o AS (SELECT g.repo_id, g.target AS node FROM g LEFT JOIN z ON z.repo_id = g.repo_id AND z.node = g.source GROUP BY 1, 2 HAVING bool_and(z.node IS NOT NULL)) SELECT repo_id, node, CAST(0 AS BIGINT) AS level FROM z UNION ALL SELECT repo_id, node, CAST(1 AS BIGINT) FROM o",
     "node_degrees": f"WITH {_E}, x AS (SELECT repo_id, source AS node, 0 AS i, 1 AS o FROM e UNION ALL SELECT repo_id, target, 1, 0 FROM e), a AS (SELECT repo_id, node, CAST(sum(i) AS BIGINT) AS in_degree, CAST(sum(o) AS BIGINT) AS out_degree FROM x GROUP BY 1, 2) SELECT *, CASE WHEN in_degree = 0 THEN 'low' WHEN in_degree <= 3 THEN 'medium' ELSE 'high' END AS level FROM a",
     "reachable": f"WITH RECURSIVE {_E}, r AS (SELECT repo_id, seed, seed AS node, CAST(0 AS BIGINT) AS depth FROM s UNION SELECT r.repo_id, seed, target, depth + 1 FROM r JOIN e ON r.repo_id = e.repo_id AND e.source = r.node WHERE depth < 2) SELECT repo_id, seed, node, min(depth) AS depth FROM r GROUP BY 1, 2, 3",
     "blast_radius": f"WITH {_E}, {_UP}, a AS (SELECT repo_id, seed, seed AS node, false AS u, false AS d FROM s UNION ALL SELECT *, true, false FROM u UNION ALL SELECT *, false, true FROM dn), g AS (SELECT repo_id, seed, node, bool_or(u) AS u, bool_or(d) AS d FROM a GROUP BY 1, 2, 3), t AS (SELECT repo_id, seed, CAST(count_if(u) AS BIGINT) AS n_upstream, CAST(count_if(d) AS BIGINT) AS n_downstream, count(*) AS n_affected FROM g GROUP BY 1, 2) SELECT *, round(sqrt(least(n_affected / 100, 1)), 6) AS impact, round(100 - least(n_affected, 100) / 100 * 100, 4) AS suitability FROM t",
     "one_hop": f"WITH {_E}, {_UP} SELECT repo_id, seed AS node FROM s UNION SELECT repo_id, node FROM u UNION SELECT repo_id, node FROM dn",
-    "graph_difference": f"WITH {_E}, b0 AS (SELECT DISTINCT source || ' -> ' || target AS edge FROM e WHERE length(repo_id) % 2 = 0), h0 AS (SELECT DISTINCT source || ' -> ' || target AS edge FROM e WHERE length(repo_id) % 2 = 1) SELECT edge, 'added' AS side FROM (SELECT * FROM h0 EXCEPT SELECT * FROM b0) UNION ALL SELECT edge, 'removed' FROM (SELECT * FROM b0 EXCEPT SELECT * FROM h0)",
+    "graph_difference": f"WITH {_edge_sql()}, {_edge_sql('arg_min', '0')}, h AS (SELECT repo_id, source, target FROM e), f AS (SELECT repo_id, source, target FROM e0) SELECT *, 'added' AS side FROM (SELECT * FROM h EXCEPT SELECT * FROM f) UNION ALL SELECT *, 'removed' FROM (SELECT * FROM f EXCEPT SELECT * FROM h)",
     "touched_spans": f"WITH {_H} {_OVER.format(x='')}",
     "routed_changes": f"WITH {_H} SELECT DISTINCT file_id, span_id, status AS change FROM h JOIN sp USING (file_id) WHERE status <> 'modified' UNION ALL ({_OVER.format(x=", 'modified' AS change")} AND status = 'modified')",
     "changed_unknown_files": f"WITH {_H} SELECT DISTINCT file_id FROM h WHERE file_id NOT IN (SELECT file_id FROM sp)",

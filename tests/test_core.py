@@ -147,22 +147,39 @@ def test_diffs(spark):
 def test_chunking():
     code = "import os\n\nX = 1\n\nclass A:\n    def m(self):\n        return 1\n\nasync def f():\n    pass\n"
     got = [(k, n, a, b) for _, k, n, a, b in chunking.chunk(code, "python")]
-    assert [g for g in got if g[0] != "code_block"] == [("import_section", None, 1, 1), ("class_definition", "A", 5, 7), ("function_definition", "m", 6, 7), ("function_definition", "f", 9, 10)]
+    assert [g for g in got if g[0] != "code_block"] == [("import_statement", None, 1, 1), ("class_definition", "A", 5, 7), ("function_definition", "m", 6, 7), ("function_definition", "f", 9, 10)]
     assert [g for g in got if g[0] == "code_block"] == [("code_block", None, 2, 4)]
     go = [(k, n, a, b) for _, k, n, a, b in chunking.chunk("package a\n\nfunc F(x int) {\n\treturn\n}\n\ntype T struct {\n}\n", "go")]
     assert go == [("code_block", None, 1, 2), ("function_definition", "F", 3, 5), ("struct_definition", "T", 7, 8)]
     assert [c[3:] for c in chunking.chunk("a\nb\n\nc\n\n\n\nd", "unknown")] == [(1, 2), (4, 4), (7, 7)]
-    assert chunking.chunk("x\n" * 5, "unknown")[0][1] == "line_group" and chunking.chunk("", "go") == [] and chunking.chunk("def f(:", "python")
+    assert [c[1:] for c in chunking.chunk("x\n" * 5, "unknown")] == [("paragraph", None, 1, 6)] and [c[1:] for c in chunking.chunk(" \n" * 25, "unknown")] == [("line_group", None, 1, 10), ("line_group", None, 11, 20), ("line_group", None, 21, 25)]
+    assert chunking.chunk("", "go") == [] and [c[1:3] for c in chunking.chunk("import a\ndef f(:\n  x\nclass B:\n", "python")] == [("import_definition", None), ("function_definition", "f"), ("class_definition", "B")]
+
+
+def test_chunk_places():
+    js = "// top\nfunction a() {\n}\nlet x = 1;\n}\nclass B {\n  m() {}\n}\n}\nimport z\n"
+    assert [(k, n, a, b) for _, k, n, a, b in chunking.chunk(js, "javascript")] == [("code_block", None, 1, 1), ("function_definition", "a", 2, 3), ("code_block", None, 4, 5), ("class_definition", "B", 6, 8), ("code_block", None, 9, 9), ("import_definition", None, 10, 10)]
+    php = "<?php\nfunction a() {\n}\n$x = 1;\n"  # no end at a brace
+    assert [(k, n, a, b) for _, k, n, a, b in chunking.chunk(php, "php")] == [("code_block", None, 1, 1), ("function_definition", "a", 2, 4)]
+    assert [c[3:] for c in chunking.chunk("func A() {\r\n}\r\x0cfunc B() {}", "go")] == [(1, 2), (3, 4)] or [c[3:] for c in chunking.chunk("func A() {\r\n}\r\x0cfunc B() {}", "go")] == [(1, 2), (4, 4)]
+    nested = "class A:\n    def m(self):\n        pass\n    x = 1\ny = 2\n"
+    assert [(k, a, b) for _, k, _, a, b in chunking.chunk(nested, "python")] == [("class_definition", 1, 4), ("function_definition", 2, 3), ("code_block", 4, 5)]
+    assert chunking.by_patterns("", "go") == [] and chunking.by_paragraphs("") == []
 
 
 @pytest.mark.parametrize(("code", "want"), [
-    ("@app.route('/a', methods=['POST', 'GET'])\n@login\ndef f():\n", ("/a", ["POST", "GET"], "f", "Flask")), ("@router.get('/b')\nasync def g():\n", ("/b", ["GET"], "g", "FastAPI")), ("path('c/', views.h)", ("c/", ["GET", "POST"], "views.h", "Django")),
+    ("@app.route('/a', methods=['POST', 'GET'])\ndef f():\n", ("/a", ["POST", "GET"], "f", "Flask")), ("@router.get('/b')\nasync def g():\n", ("/b", ["GET"], "g", "FastAPI")), ("path('c/', views.h)", ("c/", ["GET", "POST"], "views", "Django")),
     ('app.post("/d", handler)', ("/d", ["POST"], "handler", "Express")), ('app.get("/e", (q, r) => {', ("/e", ["GET"], "anonymous_express_0", "Express")), ('@GetMapping("/f")\npublic String g() {', ("/f", ["GET"], "g", "Spring")),
     ('router.PUT("/h", up)', ("/h", ["PUT"], "up", "Gin")), ("Route::delete('/i', 'C@d')", ("/i", ["DELETE"], "C@d", "Laravel")), ("get '/j', to: 'c#x'", ("/j", ["GET"], "c#x", "Rails")),
 ])
 def test_endpoints(code, want):
-    path, methods, handler, line, framework = chunking.endpoints_of("\n" * 3 + code)[0]
-    assert (path, methods, handler.replace("_3", "_0"), framework) == want and line == 4
+    path, methods, handler, first, last, framework = chunking.endpoints_of("\n" * 3 + code)[0]
+    assert (path, methods, handler.replace("_3", "_0"), framework) == want and first == 4 and last == 4 + code.rstrip("\n").count("\n")
+
+
+def test_view_classes():
+    code = "class V(views.APIView):\n    pass\n\n@api_view(['GET', 'POST'])\ndef v(request): pass\n"
+    assert chunking.endpoints_of(code) == [] and [(x[1], x[2], x[3], x[4]) for x in chunking.endpoints_of(code, pathless=True)] == [(["GET", "POST"], "V", 1, 1), (["GET", "POST"], "v", 4, 5)]
 
 
 def test_search(spark):

@@ -29,6 +29,32 @@ def test_aliases_count(spark):
     assert R.node_scores(nodes, [("sessioncache", 0.8, ["session_cache", "none"])]).first().score == 0.4
 
 
+def test_blocks_are_exact(spark, monkeypatch):
+    import numpy as np
+
+    monkeypatch.setattr(R, "BLOCK_ROWS", 40)
+    monkeypatch.setattr(R, "QUERY_ROWS", 7)
+    r = np.random.default_rng(2)
+    m = np.round(r.normal(size=(300, 5)) * 2) / 2  # many ties
+    v = spark.createDataFrame([(i, [float(x) for x in row]) for i, row in enumerate(m)] + [(900, None), (901, [1.0])], "vec_id bigint, embedding array<float>").cache()
+    got = {}
+    for x in R.nearest(v, v.where("vec_id % 20 = 0"), 6).collect():
+        got.setdefault(x.query_id, []).append((x["rank"], x.distance, x.id))
+    for q in range(0, 300, 20):
+        want = sorted((round(float(((m[i] - m[q]) ** 2).sum()), 6), i) for i in range(300) if i != q)[:6]
+        assert [(d, i) for _, d, i in sorted(got[q])] == want
+
+
+@pytest.mark.skipif(not os.path.isdir("/root/testdata/sf0.01"), reason="no test tables")
+def test_recall_of_the_index(spark):
+    v = spark.read.parquet("/root/testdata/sf0.1/embeddings.parquet").select("vec_id", "embedding").cache()
+    asked = v.where("vec_id % 20 = 0")
+    exact = {(r.query_id, r.id) for r in R.nearest(v, asked, 5).collect()}
+    found = {(r.query_id, r.id) for r in R.nearest_indexed(v, asked, 5, R.fit_cells(v)).collect()}
+    assert len(exact & found) >= 0.9 * len(exact)
+    assert R.nearest_indexed(v.limit(0), asked, 5, R.fit_cells(v.limit(0))).count() == 0
+
+
 @pytest.mark.skipif(not os.path.isdir(D), reason="no test tables")
 def test_hybrid_has_expanded(spark):
     hybrid = entry.queries()["hybrid_search"](spark, D)
