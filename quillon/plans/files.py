@@ -95,8 +95,9 @@ def safe_paths(spark: SparkSession, d: str) -> DataFrame:
 
 
 def point_lookup(spark: SparkSession, d: str) -> DataFrame:
-    """One file of one repository."""
-    return table(spark, d, _FILES).where("repo_id = 'brinewick_tide-compiler' and file_path = 'README.md'").select("file_id", "raw_content")
+    """One file of one repository, its first path."""
+    f = table(spark, d, _FILES).where("repo_id = 'brinewick_tide-compiler'")
+    return f.join(F.broadcast(f.agg(F.min("file_path").alias("file_path"))), "file_path").select("file_id", "raw_content")  # one row is broadcast
 
 
 def ast_summaries(spark: SparkSession, d: str) -> DataFrame:
@@ -216,7 +217,7 @@ ORACLES = {
     "files_by_pattern": "SELECT 'dir' AS pattern, file_id FROM source_files WHERE prefix(file_path, 'src/') OR contains(file_path, '/src/') UNION ALL SELECT 'ext', file_id FROM source_files WHERE suffix(file_path, '.go') UNION ALL SELECT 'glob', file_id FROM source_files WHERE regexp_full_match(file_path, 'lib/.*_[a-m].*\\.py')",
     "find_by_name": f"WITH h AS (SELECT DISTINCT repo_id, file_path FROM source_files WHERE {_NAME} = 'index.js') SELECT repo_id, CASE WHEN count(*) = 1 OR bool_or(NOT contains(file_path, '/')) THEN 'found' ELSE 'ambiguous' END AS status, CASE WHEN count(*) = 1 THEN max(file_path) ELSE max(CASE WHEN NOT contains(file_path, '/') THEN file_path END) END AS file_path, count(*) AS n_options FROM h GROUP BY repo_id",
     "safe_paths": r"SELECT file_id, NOT (contains(file_path, '..') OR prefix(file_path, '/') OR contains(file_path, '\')) AS is_safe FROM source_files",
-    "point_lookup": "SELECT file_id, raw_content FROM source_files WHERE repo_id = 'brinewick_tide-compiler' AND file_path = 'README.md'",
+    "point_lookup": "SELECT file_id, raw_content FROM source_files WHERE repo_id = 'brinewick_tide-compiler' AND file_path = (SELECT min(file_path) FROM source_files WHERE repo_id = 'brinewick_tide-compiler')",
     "ast_summaries": "SELECT file_id, count(*) AS total_chunks, count(name) AS n_named FROM chunks GROUP BY file_id",
     **stats.oracles(_LANG, _SHOW, _CATEGORY, _EXT, _LINES, _NAME, _any_sql),
 }

@@ -105,10 +105,11 @@ def trace_layout(spark: SparkSession, d: str) -> DataFrame:
 
 
 def graph_difference(spark: SparkSession, d: str) -> DataFrame:
-    """Edges of the last crawl of every path against those of its first; each repository has one ref here, so the crawls stand for base and head."""
-    f = table(spark, d, "source_files").where("raw_content is not null and file_path is not null")
-    first = f.groupBy("repo_id", "file_path").agg(F.min("file_id").alias("file_id"))
-    base, head = (graph.collapse(graph.import_edges(x)) for x in (f.join(first, ["repo_id", "file_path", "file_id"], "left_semi"), f))
+    """Edges of the files crawled in the second half of a repository's crawls against those of the first half; each repository has one ref here, so the halves stand for base and head."""
+    f = table(spark, d, "source_files").where("raw_content is not null and file_path is not null and repo_id is not null").withColumn("us", F.unix_micros("crawled_at"))
+    cut = f.groupBy("repo_id").agg(((F.min("us") + F.max("us")) / 2).alias("cut"))
+    both = f.join(cut, "repo_id")
+    base, head = (graph.collapse(graph.import_edges(both.where(half))) for half in ("us <= cut", "us > cut"))
     return graph.difference(base, head, ["repo_id", "source", "target"])
 
 
@@ -162,14 +163,15 @@ def _form(ext: str, pattern: str, name: str, last: str | None, tag: str) -> str:
     return f"SELECT repo_id, source, {put(name)} AS name, {put(last) if last else _STEM.format('g1')} AS module FROM (SELECT repo_id, file_path AS source, {cols} FROM b{tag} WHERE regexp_matches(lower(file_path), '\\.({ext})$'))"
 
 
-def _edge_sql(pick: str = "arg_max", tag: str = "") -> str:
-    """Common table expressions that end in e: the edges of the last (or with arg_min the first) crawl of every path."""
+def _edge_sql(where: str = "true", tag: str = "") -> str:
+    """Common table expressions that end in e: the edges of the last crawl of every path, of the files that ``where`` admits."""
     forms = " UNION ALL ".join(_form(*f, tag) for f in _FORMS)
-    return f"""b{tag} AS (SELECT repo_id, file_path, {pick}(raw_content, file_id) AS text FROM source_files WHERE raw_content IS NOT NULL AND file_path IS NOT NULL GROUP BY 1, 2), n{tag} AS ({forms}),
+    return f"""b{tag} AS (SELECT repo_id, file_path, arg_max(raw_content, file_id) AS text FROM source_files WHERE raw_content IS NOT NULL AND file_path IS NOT NULL AND {where} GROUP BY 1, 2), n{tag} AS ({forms}),
     k{tag} AS (SELECT repo_id, {_STEM.format('file_path')} AS module, min(file_path) AS path FROM b{tag} GROUP BY 1, 2),
     e{tag} AS (SELECT DISTINCT repo_id, source, coalesce(path, name) AS target, 'IMPORTS' AS type FROM n{tag} LEFT JOIN k{tag} USING (repo_id, module))"""
 
 
+_HALF = "epoch_us(crawled_at) {} (SELECT cut FROM c WHERE c.repo_id = source_files.repo_id)"
 _E = f"{_edge_sql()}, s AS (SELECT repo_id, min(file_path) AS seed FROM source_files GROUP BY 1)"
 _UP = "u AS (SELECT s.repo_id, seed, target AS node FROM s JOIN e ON s.repo_id IS NOT DISTINCT FROM e.repo_id AND e.source = s.seed WHERE target <> seed), dn AS (SELECT s.repo_id, seed, source AS node FROM s JOIN e ON s.repo_id = e.repo_id AND e.target = s.seed WHERE source <> seed)"
 _H = "h AS (SELECT file_id, file_id % 50 + 1 AS start, file_id % 7 AS len, CASE WHEN file_id % 11 = 0 THEN 'added' WHEN file_id % 13 = 0 THEN 'deleted' ELSE 'modified' END AS status FROM source_files WHERE file_path IS NOT NULL), sp AS (SELECT file_id, chunk_id AS span_id, start_line, end_line FROM chunks WHERE start_line IS NOT NULL AND end_line IS NOT NULL)"
@@ -183,7 +185,7 @@ ORACLES = {
     "reachable": f"WITH RECURSIVE {_E}, r AS (SELECT repo_id, seed, seed AS node, CAST(0 AS BIGINT) AS depth FROM s UNION SELECT r.repo_id, seed, target, depth + 1 FROM r JOIN e ON r.repo_id = e.repo_id AND e.source = r.node WHERE depth < 2) SELECT repo_id, seed, node, min(depth) AS depth FROM r GROUP BY 1, 2, 3",
     "blast_radius": f"WITH {_E}, {_UP}, a AS (SELECT repo_id, seed, seed AS node, false AS u, false AS d FROM s UNION ALL SELECT *, true, false FROM u UNION ALL SELECT *, false, true FROM dn), g AS (SELECT repo_id, seed, node, bool_or(u) AS u, bool_or(d) AS d FROM a GROUP BY 1, 2, 3), t AS (SELECT repo_id, seed, CAST(count_if(u) AS BIGINT) AS n_upstream, CAST(count_if(d) AS BIGINT) AS n_downstream, count(*) AS n_affected FROM g GROUP BY 1, 2) SELECT *, round(sqrt(least(n_affected / 100, 1)), 6) AS impact, round(100 - least(n_affected, 100) / 100 * 100, 4) AS suitability FROM t",
     "one_hop": f"WITH {_E}, {_UP} SELECT repo_id, seed AS node FROM s UNION SELECT repo_id, node FROM u UNION SELECT repo_id, node FROM dn",
-    "graph_difference": f"WITH {_edge_sql()}, {_edge_sql('arg_min', '0')}, h AS (SELECT repo_id, source, target FROM e), f AS (SELECT repo_id, source, target FROM e0) SELECT *, 'added' AS side FROM (SELECT * FROM h EXCEPT SELECT * FROM f) UNION ALL SELECT *, 'removed' FROM (SELECT * FROM f EXCEPT SELECT * FROM h)",
+    "graph_difference": f"WITH c AS (SELECT repo_id, (min(epoch_us(crawled_at)) + max(epoch_us(crawled_at))) / 2 AS cut FROM source_files WHERE raw_content IS NOT NULL AND file_path IS NOT NULL GROUP BY 1), {_edge_sql(_HALF.format('>'))}, {_edge_sql(_HALF.format('<='), '0')}, h AS (SELECT repo_id, source, target FROM e), f AS (SELECT repo_id, source, target FROM e0) SELECT *, 'added' AS side FROM (SELECT * FROM h EXCEPT SELECT * FROM f) UNION ALL SELECT *, 'removed' FROM (SELECT * FROM f EXCEPT SELECT * FROM h)",
     "touched_spans": f"WITH {_H} {_OVER.format(x='')}",
     "routed_changes": f"WITH {_H} SELECT DISTINCT file_id, span_id, status AS change FROM h JOIN sp USING (file_id) WHERE status <> 'modified' UNION ALL ({_OVER.format(x=", 'modified' AS change")} AND status = 'modified')",
     "changed_unknown_files": f"WITH {_H} SELECT DISTINCT file_id FROM h WHERE file_id NOT IN (SELECT file_id FROM sp)",

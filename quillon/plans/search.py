@@ -71,8 +71,9 @@ def entities(spark: SparkSession, d: str) -> DataFrame:
 
 
 def entity_aliases(spark: SparkSession, d: str) -> DataFrame:
-    """R14, J14, P16."""
-    return R.aliases(R.entities(table(spark, d, "documents"), "doc_id", F.col("text")), "doc_id")
+    """Names in files that are another name's lower-case or snake-case form; files are read beside their lower-case form, as a question may be."""
+    f = table(spark, d, "source_files").where("file_path like '%.java' or file_path like '%.ts'")
+    return R.aliases(R.entities(f, "file_id", F.concat_ws("\n", "raw_content", F.lower("raw_content"))), "file_id")
 
 
 def routed_questions(spark: SparkSession, d: str) -> DataFrame:
@@ -143,8 +144,9 @@ QUERIES = {f.__name__: f for f in (nearest_vectors, expanded_search, multi_hop_s
 
 _KNN = "v AS (SELECT vec_id, list_transform(embedding, lambda x: CAST(x AS DOUBLE)) AS e FROM embeddings WHERE embedding IS NOT NULL), k AS (SELECT q.vec_id AS query_id, v.vec_id AS id, round(list_sum(list_transform(list_zip(q.e, v.e), lambda z: (z[1] - z[2]) * (z[1] - z[2]))), 6) AS distance FROM v q JOIN v ON q.vec_id % 20 = 0 AND q.vec_id <> v.vec_id AND len(q.e) = len(v.e)), r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY distance, id) AS rank FROM k)"
 _TOK = "list_distinct(list_filter(regexp_split_to_array(lower({}), '[\\t-\\r ]+'), lambda t: t <> ''))"
-_ENT = " UNION ALL ".join(f"SELECT doc_id, '{k}' AS type, unnest(regexp_extract_all(text, '{p.replace(chr(39), chr(39) * 2)}', 1)) AS text FROM documents" for k, p in R.ENTITY_PATTERNS.items())
-_ENTS = f"en AS (SELECT doc_id, type, text, count(*) AS n FROM ({_ENT}) GROUP BY ALL)"
+_ent = lambda key, text, of: " UNION ALL ".join(f"SELECT {key}, '{k}' AS type, unnest(regexp_extract_all({text}, '{p.replace(chr(39), chr(39) * 2)}', 1)) AS text FROM {of}" for k, p in R.ENTITY_PATTERNS.items())
+_ENTS = f"en AS (SELECT doc_id, type, text, count(*) AS n FROM ({_ent('doc_id', 'text', 'documents')}) GROUP BY ALL)"
+_FILE_ENTS = f"en AS (SELECT DISTINCT file_id, text FROM ({_ent('file_id', 'raw_content || chr(10) || lower(raw_content)', 'source_files')}) JOIN source_files USING (file_id) WHERE file_path LIKE '%.java' OR file_path LIKE '%.ts')"
 _SNAKE = "lower(regexp_replace(regexp_replace(text, '(.)([A-Z][a-z]+)', '\\1_\\2', 'g'), '([a-z0-9])([A-Z])', '\\1_\\2', 'g'))"
 _has = lambda p, w: f"CASE WHEN regexp_matches(lower(chunk_text), '{p}') THEN {w} ELSE 0 END"
 _FEATURES = f"""f AS (SELECT file_id, pos, least(1, len(list_intersect({_TOK.format("'" + QUESTION + "'")}, {_TOK.format('chunk_text')})) / len({_TOK.format("'" + QUESTION + "'")}) + CASE WHEN contains(lower(chunk_text), '{QUESTION}') THEN 0.5 ELSE 0 END) AS a,
@@ -162,7 +164,7 @@ ORACLES = {
     "chunk_features": f"WITH {_FEATURES} SELECT file_id, pos, round(CAST(a AS DOUBLE), 6) AS text_relevance, CAST(0.5 AS DOUBLE) AS entity_coverage, round(CAST(c AS DOUBLE), 6) AS code_quality, CAST(0.5 AS DOUBLE) AS freshness, round(CAST(s AS DOUBLE), 6) AS structural, round(CAST(0.3 * a + 0.15 + 0.2 * c + 0.05 + 0.1 * s AS DOUBLE), 6) AS final_score FROM f",
     "unique_chunks": "WITH c AS (SELECT *, row_number() OVER (PARTITION BY file_path, chunk_text[:200] ORDER BY chunk_id, file_id, pos) AS n FROM chunks WHERE chunk_text IS NOT NULL) SELECT file_path, md5(chunk_text) AS digest FROM c WHERE n = 1",
     "entities": f"WITH {_ENTS} SELECT * FROM en",
-    "entity_aliases": f"WITH {_ENTS}, a AS (SELECT doc_id, text AS a, unnest(list_distinct([lower(text), {_SNAKE}])) AS form FROM en), o AS (SELECT doc_id, lower(text) AS form, text AS b FROM en) SELECT DISTINCT doc_id, a AS text, b AS alias FROM a JOIN o USING (doc_id, form) WHERE a <> b",
+    "entity_aliases": f"WITH {_FILE_ENTS}, a AS (SELECT file_id, text AS a, unnest(list_distinct([lower(text), {_SNAKE}])) AS form FROM en), o AS (SELECT file_id, lower(text) AS form, text AS b FROM en) SELECT DISTINCT file_id, a AS text, b AS alias FROM a JOIN o USING (file_id, form) WHERE a <> b",
     "routed_questions": r"SELECT CASE WHEN regexp_matches(lower(text), 'how does|workflow|process|trace') THEN 'multi_hop' WHEN regexp_matches(lower(text), 'impact|depends|affects|uses') THEN 'graph_guided' WHEN len(list_filter(regexp_split_to_array(text, '[\t-\r ]+'), lambda w: w <> '')) > 15 THEN 'hybrid' ELSE 'expanded' END AS strategy, count(*) AS n, CAST(sum(len(list_filter(regexp_split_to_array(text, '[\t-\r \x{85}\x{A0}\x{1680}\x{2000}-\x{200A}\x{2028}\x{2029}\x{202F}\x{205F}\x{3000}]+'), lambda x: x <> ''))) AS BIGINT) AS n_tokens FROM documents WHERE text IS NOT NULL GROUP BY 1",
     "question_variants": f"WITH {_ENTS}, n AS (SELECT doc_id, list_sort(list(DISTINCT text)) AS names FROM en WHERE type = 'functions' GROUP BY 1), x AS (SELECT doc_id, list_concat(['{QUESTION}'], flatten(list_transform(names[1:2], lambda z: [z || ' implementation', 'usage of ' || z])))[1:5] AS v FROM n) SELECT doc_id, unnest(range(len(v))) AS place, unnest(v) AS variant FROM x",
 }

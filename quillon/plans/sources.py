@@ -26,7 +26,12 @@ def docker_images(spark: SparkSession, d: str) -> DataFrame:
 
 def context_sizes(spark: SparkSession, d: str) -> DataFrame:
     """Files and length of each repository's concatenation."""
-    return tree.concatenated(table(spark, d, "source_files")).select("repo_id", "n_files", F.length("context").cast("bigint").alias("n_chars"))
+    return tree.context_sizes(table(spark, d, "source_files"))
+
+
+def context_parts(spark: SparkSession, d: str) -> DataFrame:
+    """The parts of each repository's concatenation, by the digest of their text."""
+    return tree.concatenated(table(spark, d, "source_files")).select("repo_id", "file_path", "file_id", F.md5("text").alias("digest"))
 
 
 def extension_histogram(spark: SparkSession, d: str) -> DataFrame:
@@ -43,7 +48,7 @@ def crawl_times(spark: SparkSession, d: str) -> DataFrame:
     return stores.last_crawl(table(spark, d, "repos")).select("repo_id", F.unix_micros("crawled_at").cast("string").alias("crawled_us"), "has_zone")
 
 
-QUERIES = {f.__name__: f for f in (manifest_dependencies, package_json_dependencies, docker_images, context_sizes, extension_histogram, complete_repositories, crawl_times)}
+QUERIES = {f.__name__: f for f in (manifest_dependencies, package_json_dependencies, docker_images, context_sizes, context_parts, extension_histogram, complete_repositories, crawl_times)}
 _BASE = "regexp_extract(file_path, '([^/]*)$', 1)"
 ORACLES = {
     "package_json_dependencies": " UNION ".join(
@@ -52,6 +57,7 @@ ORACLES = {
     ),
     "docker_images": f"WITH i AS (SELECT repo_id, unnest(regexp_extract_all(raw_content, '(?mi)^FROM\\s+(\\S+)', 1)) AS image FROM source_files WHERE regexp_matches({_BASE}, '(?i)^dockerfile|\\.dockerfile$')), n AS (SELECT repo_id, split_part(image, ':', 1) AS name, CASE WHEN contains(image, ':') THEN split_part(image, ':', 2) ELSE 'latest' END AS version FROM i) SELECT repo_id, name, version, 'application' AS service_type FROM n WHERE NOT regexp_matches(name, '^[A-Za-z]+$')",
     "context_sizes": "SELECT repo_id, count(*) AS n_files, CAST(sum(length('=== ' || file_path || ' ===' || chr(10) || raw_content)) + count(*) - 1 AS BIGINT) AS n_chars FROM source_files WHERE strlen(raw_content) <= 262144 GROUP BY 1",
+    "context_parts": "SELECT repo_id, file_path, file_id, md5('=== ' || file_path || ' ===' || chr(10) || raw_content) AS digest FROM source_files WHERE strlen(raw_content) <= 262144",
     "extension_histogram": r"SELECT lower(regexp_extract(file_path, '[^/.][^/]*(\.[^./]+)$', 1)) AS ext, count(*) AS n FROM source_files GROUP BY 1",
     "complete_repositories": "SELECT DISTINCT repo_id FROM source_files WHERE repo_id IN (SELECT repo_id FROM blame) AND repo_id IN (SELECT repo_id FROM dependencies)",
     "crawl_times": "SELECT repo_id, CAST(epoch_us(try_cast(last_crawled_utc AS TIMESTAMPTZ)) AS VARCHAR) AS crawled_us, coalesce(regexp_matches(trim(last_crawled_utc), '(Z|[+-]\\d{2}:?\\d{2})$'), false) AS has_zone FROM repos",

@@ -125,10 +125,20 @@ def archive_id(path: str) -> str:
 
 
 def concatenated(files: DataFrame, most_bytes: int = 256 * 1024) -> DataFrame:
-    """One text per repository of its files within the size limit, in order of their paths, each under a heading."""
+    """(repo_id, file_path, file_id, text): the parts of every repository's context, files within the size limit in order of their paths, each under a heading.
+
+    Parts are range-partitioned and sorted, so written files hold them in order, and a repository of any size is many parts and never one row.
+    """
     part = F.concat(F.lit("=== "), "file_path", F.lit(" ===\n"), "raw_content")
     small = files.where((F.octet_length("raw_content") <= most_bytes) & F.col("raw_content").isNotNull())
-    return small.groupBy("repo_id").agg(F.count("*").alias("n_files"), F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("file_path", "file_id", part.alias("t")))), lambda s: s["t"]), "\n").alias("context"))
+    return small.select("repo_id", "file_path", "file_id", part.alias("text")).repartitionByRange("repo_id", "file_path", "file_id").sortWithinPartitions("repo_id", "file_path", "file_id")
+
+
+def context_sizes(files: DataFrame, most_bytes: int = 256 * 1024) -> DataFrame:
+    """(repo_id, n_files, n_chars): length of every repository's context with a line end between its parts; no text is moved."""
+    small = files.where((F.octet_length("raw_content") <= most_bytes) & F.col("raw_content").isNotNull())
+    heading = F.length("file_path") + F.lit(len("===  ===\n"))
+    return small.groupBy("repo_id").agg(F.count("*").alias("n_files"), (F.sum(heading + F.length("raw_content")) + F.count("*") - 1).cast("bigint").alias("n_chars"))
 
 
 def extension_histogram(files: DataFrame) -> DataFrame:

@@ -11,6 +11,8 @@ import __spark_entry__ as entry
 
 D = "/root/testdata/sf0.001"
 pytestmark = pytest.mark.skipif(not os.path.isdir(D), reason="no test tables")
+#: Queries that find nothing in the smallest tables.
+EMPTY_HERE = {"docker_images"}
 QUERIES, ORACLES = entry.queries(), entry.oracle_sql()
 
 
@@ -41,6 +43,7 @@ def _rows(frame, columns):
 def test_same_as_sql(spark, duck, name):
     got, want = QUERIES[name](spark, D).toPandas(), duck.sql(ORACLES[name]).df()
     assert sorted(got.columns) == sorted(want.columns)
+    assert len(want) or name in EMPTY_HERE, "a twin without a row compares nothing"
     assert _rows(got, sorted(got.columns)) == _rows(want, sorted(got.columns))
 
 
