@@ -75,23 +75,25 @@ def _norm(token: str) -> str:
 
 _MASKED, _UNSURE = 1 << 33, 1 << 34  # marks of a word's code: letters masked; put together from single letters
 _START, _END, _ANY_MASKED = (zlib.crc32(x) | 1 << 32 for x in (b"^", b"$", b"~masked"))
-_codes: dict[str, int] = {}
 
 
-def _code(token: str) -> int:
-    """A word's integer, with its marks; 0 for what normalises to nothing."""
-    code = _codes.get(token)
-    if code is None:
+class _Codes(dict):
+    """Token -> its word's integer with its marks, 0 for what normalises to nothing; filled as tokens are met."""
+
+    def __missing__(self, token: str) -> int:
         word, marks = _norm(token), 1 << 32
         if word and word[0] == _JOINED:
             word, marks = word[1:] or "_", marks | _UNSURE
         elif word and word[0] == "~":
             marks |= _MASKED
         code = zlib.crc32(word.encode("utf-8", "replace")) | marks if word else 0
-        if len(_codes) > 300_000:
-            _codes.clear()
-        _codes[token] = code
-    return code
+        if len(self) > 300_000:
+            self.clear()
+        self[token] = code
+        return code
+
+
+_code = _Codes().__getitem__
 
 
 def _units(text: str) -> list[tuple[list[int], list[str]]]:
@@ -106,7 +108,7 @@ def _units(text: str) -> list[tuple[list[int], list[str]]]:
         if len(s) < 3:
             continue
         tokens = _WORD.findall(s)
-        codes = [c for c in map(_code, tokens) if c]
+        codes = list(filter(None, map(_code, tokens)))
         unsure = [_norm(t)[1:] for t in tokens if t[0] == _JOINED] if _JOINED in s else []
         if len(codes) <= WINDOW:
             out.append((codes, unsure))
