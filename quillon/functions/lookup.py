@@ -24,18 +24,11 @@ DISPLAY_BY_EXTENSION = {
 }
 
 CATEGORY_BY_EXTENSION = {
-    **dict.fromkeys([".py", ".rb", ".java", ".go", ".php", ".cs", ".cpp", ".c", ".rs", ".kt"], "backend"),
-    **dict.fromkeys([".js", ".ts", ".jsx", ".tsx", ".html", ".htm", ".vue", ".svelte"], "frontend"),
-    **dict.fromkeys([".css", ".scss", ".sass", ".less", ".styl"], "styling"),
-    **dict.fromkeys([".json", ".yaml", ".yml", ".toml", ".ini", ".conf", ".env", ".properties"], "config"),
-    **dict.fromkeys([".md", ".rst", ".txt", ".adoc"], "docs"),
-    **dict.fromkeys([".sql", ".graphql", ".gql"], "database"),
-    **dict.fromkeys([".tf", ".hcl", ".sh", ".bash", ".ps1", ".bat"], "infrastructure"),
-}
+    ".py": "backend", ".rb": "backend", ".java": "backend", ".go": "backend", ".php": "backend", ".cs": "backend", ".cpp": "backend", ".c": "backend", ".rs": "backend", ".kt": "backend", ".js": "frontend", ".ts": "frontend", ".jsx": "frontend", ".tsx": "frontend", ".html": "frontend", ".htm": "frontend", ".vue": "frontend", ".svelte": "frontend", ".css": "styling", ".scss": "styling", ".sass": "styling", ".less": "styling", ".styl": "styling", ".json": "config", ".yaml": "config", ".yml": "config", ".toml": "config", ".ini": "config", ".conf": "config", ".env": "config", ".properties": "config", ".md": "docs", ".rst": "docs", ".txt": "docs", ".adoc": "docs", ".sql": "database", ".graphql": "database", ".gql": "database", ".tf": "infrastructure", ".hcl": "infrastructure", ".sh": "infrastructure", ".bash": "infrastructure", ".ps1": "infrastructure", ".bat": "infrastructure",
+}
 CATEGORY_BY_NAME = {
-    **dict.fromkeys(["dockerfile", "dockerfile.dev", "dockerfile.prod"], "infrastructure"),
-    **dict.fromkeys(["requirements.txt", "package.json", "package-lock.json", "yarn.lock", "pipfile", "pipfile.lock", "gemfile", "gemfile.lock", "composer.json", "composer.lock", "pom.xml", "build.gradle", "cargo.toml", "cargo.lock", "makefile", "cmake.txt"], "build"),
-}
+    "dockerfile": "infrastructure", "dockerfile.dev": "infrastructure", "dockerfile.prod": "infrastructure", "requirements.txt": "build", "package.json": "build", "package-lock.json": "build", "yarn.lock": "build", "pipfile": "build", "pipfile.lock": "build", "gemfile": "build", "gemfile.lock": "build", "composer.json": "build", "composer.lock": "build", "pom.xml": "build", "build.gradle": "build", "cargo.toml": "build", "cargo.lock": "build", "makefile": "build", "cmake.txt": "build",
+}
 TEST_MARKS = [".test.", ".spec.", "_test.", "/test/", "/tests/", "__test__", "__tests__"]
 
 FRAMEWORK_MARKS = {
@@ -56,27 +49,49 @@ FRAMEWORK_INDICATORS = {
     "spring": ["@SpringBootApplication", "@RestController", "@Service"], "laravel": ["<?php", "Illuminate\\", "artisan"],
 }
 SECURITY_WORDS = ["password", "secret", "api_key", "private_key", "token", "todo", "fixme", "hack", "xxx"]
-EXCLUDED_DIRECTORIES = (
-    ".git __pycache__ venv node_modules .vscode .idea dist build .pytest_cache .mypy_cache .tox target bin obj out .gradle .mvn vendor deps _build .stack-work .cabal-sandbox elm-stuff .pub-cache .dart_tool"
-).split()
+EXCLUDED_DIRECTORIES = [
+    ".git", "__pycache__", "venv", "node_modules", ".vscode", ".idea", "dist", "build", ".pytest_cache", ".mypy_cache", ".tox", "target", "bin", "obj", "out", ".gradle", ".mvn", "vendor", "deps", "_build", ".stack-work", ".cabal-sandbox", "elm-stuff", ".pub-cache", ".dart_tool",
+]
 SERVICE_TYPES = {
     "postgres": "database", "mysql": "database", "mongodb": "database", "redis": "cache", "memcached": "cache", "nginx": "web_server", "apache": "web_server", "rabbitmq": "message_queue", "kafka": "message_queue",
     "elasticsearch": "search", "solr": "search", "prometheus": "monitoring", "grafana": "monitoring", "jaeger": "tracing", "zipkin": "tracing",
 }
 ADVISORY_ECOSYSTEMS = {"python": "PyPI", "javascript": "npm", "java": "Maven", "go": "Go", "rust": "crates.io", "php": "Packagist", "ruby": "RubyGems", "nuget": "NuGet"}
 LICENSE_POLICY = {
-    **dict.fromkeys(["MIT", "Apache-2.0", "BSD-3-Clause", "BSD-2-Clause", "ISC"], "allow"),
-    **dict.fromkeys(["GPL-3.0", "AGPL-3.0", "SSPL-1.0"], "deny"),
-    **dict.fromkeys(["GPL-2.0", "LGPL-3.0"], "restrict"),
+    "MIT": "allow",
+    "Apache-2.0": "allow",
+    "BSD-3-Clause": "allow",
+    "BSD-2-Clause": "allow",
+    "ISC": "allow",
+    "GPL-3.0": "deny",
+    "AGPL-3.0": "deny",
+    "SSPL-1.0": "deny",
+    "GPL-2.0": "restrict",
+    "LGPL-3.0": "restrict",
 }
 LANGUAGE_WEIGHTS = {
     "python": 10, "javascript": 9, "typescript": 9, "java": 8, "csharp": 8, "go": 7, "rust": 7, "swift": 6, "cpp": 6, "ruby": 5, "php": 5, "dart": 4, "kotlin": 4, "haskell": 3, "elixir": 3, "clojure": 3,
 }
-ECOSYSTEM_FILES = {
-    "python": ["requirements.txt", "pyproject.toml", "setup.py", "Pipfile", "poetry.lock", "conda.yml", "environment.yml", "setup.cfg"], "node": ["package.json"], "java": ["pom.xml", "build.gradle", "build.gradle.kts", "gradle.properties"],
-    "go": ["go.mod", "go.sum"], "rust": ["Cargo.toml", "Cargo.lock"],
-}
-ECOSYSTEM_EXTENSIONS = {"python": [".py"], "node": [".js", ".ts", ".jsx", ".tsx"], "java": [".java"], "dotnet": [".cs", ".vb", ".fs"], "go": [".go"], "rust": [".rs"]}
+#: Ecosystems in the order in which they are tried: files at the root, extensions anywhere, build tools.
+ECOSYSTEMS = {
+    "python": (["requirements.txt", "pyproject.toml", "setup.py", "Pipfile", "poetry.lock", "conda.yml", "environment.yml", "setup.cfg"], [".py"], ["pip", "poetry", "pipenv", "conda"]),
+    "node": (["package.json"], [".js", ".ts", ".jsx", ".tsx"], ["npm", "yarn", "pnpm"]),
+    "java": (["pom.xml", "build.gradle", "build.gradle.kts", "gradle.properties"], [".java"], ["maven", "gradle"]),
+    "dotnet": (["*.csproj", "*.vbproj", "*.fsproj", "*.sln", "global.json"], [".cs", ".vb", ".fs"], ["dotnet"]),
+    "go": (["go.mod", "go.sum"], [".go"], ["go"]),
+    "rust": (["Cargo.toml", "Cargo.lock"], [".rs"], ["cargo"]),
+    "cpp": (["CMakeLists.txt", "Makefile", "makefile", "meson.build", "conanfile.txt"], [".c", ".cpp", ".cxx", ".cc", ".h", ".hpp"], ["cmake", "make", "meson", "conan"]),
+    "swift": (["Package.swift", "*.xcodeproj", "*.xcworkspace"], [".swift"], ["swift", "xcodebuild"]),
+    "ruby": (["Gemfile", "Gemfile.lock", "Rakefile", "*.gemspec"], [".rb"], ["bundler", "rake", "gem"]),
+    "php": (["composer.json", "composer.lock"], [".php"], ["composer"]),
+    "dart": (["pubspec.yaml", "pubspec.lock"], [".dart"], ["pub", "flutter"]),
+    "kotlin": (["build.gradle.kts"], [".kt", ".kts"], ["gradle"]),
+    "scala": (["build.sbt", "project/build.properties"], [".scala"], ["sbt"]),
+    "clojure": (["project.clj", "deps.edn", "build.boot"], [".clj", ".cljs", ".cljc"], ["leiningen", "clojure"]),
+    "haskell": (["*.cabal", "stack.yaml", "cabal.project"], [".hs", ".lhs"], ["cabal", "stack"]),
+    "elixir": (["mix.exs", "mix.lock"], [".ex", ".exs"], ["mix"]),
+    "r": (["DESCRIPTION", "renv.lock", ".Rprofile"], [".r", ".R"], ["R"]),
+}
 ECOSYSTEM_PRIORITY = ["python", "node", "java", "dotnet", "go", "rust", "cpp", "swift"]
 CONFIG_PATTERNS = {
     "package_managers": ["package.json", "pyproject.toml", "Cargo.toml", "pom.xml"], "docker": ["Dockerfile*", "docker-compose*.yml", "docker-compose*.yaml"], "ci_cd": [".github/workflows/*.yml", ".gitlab-ci.yml", "Jenkinsfile"],

@@ -128,20 +128,23 @@ def primary_by_weight(files: DataFrame) -> DataFrame:
     return best.select("repo_id", "b.language", "b.files", "b.score")
 
 
+def _glob(name: str) -> str:
+    return "^" + name.replace(".", r"\.").replace("*", "[^/]*") + "$"
+
+
 def ecosystems(files: DataFrame) -> DataFrame:
-    """(repo_id, primary_type, n_detected): by files at the root, else by extensions anywhere, then by priority."""
-    names = sorted(set(lookup.ECOSYSTEM_FILES) | set(lookup.ECOSYSTEM_EXTENSIONS))
-    by_file = [F.bool_or(_p().isin(lookup.ECOSYSTEM_FILES.get(n, [""]))).alias(f"f_{n}") for n in names]
-    by_ext = [F.bool_or(paths.suffix(_p()).isin(lookup.ECOSYSTEM_EXTENSIONS.get(n, ["-"]))).alias(f"e_{n}") for n in names]
+    """(repo_id, primary_type, n_detected, build_tools): by files at the root, else by extensions anywhere; the primary one by priority, else the first of the table."""
+    names = list(lookup.ECOSYSTEMS)
+    path = _p()
+    by_file = [F.bool_or(path.isin([x for x in roots if "*" not in x]) | (path.rlike("|".join(_glob(x) for x in roots if "*" in x) or "^$"))).alias(f"f_{n}") for n, (roots, _, _) in lookup.ECOSYSTEMS.items()]
+    by_ext = [F.bool_or(path.rlike("(" + "|".join(x.replace(".", r"\.") for x in exts) + ")$")).alias(f"e_{n}") for n, (_, exts, _) in lookup.ECOSYSTEMS.items()]
     wide = files.groupBy("repo_id").agg(*by_file, *by_ext)
-    any_file = F.lit(False)
-    for n in names:
-        any_file = any_file | F.col(f"f_{n}")
-    hit = {n: F.when(any_file, F.col(f"f_{n}")).otherwise(F.col(f"e_{n}")) for n in names}
-    chain = F.lit(None).cast("string")
-    for n in reversed([x for x in lookup.ECOSYSTEM_PRIORITY if x in names]):
-        chain = F.when(hit[n], F.lit(n)).otherwise(chain)
-    return wide.select("repo_id", F.coalesce(chain, F.lit("unknown")).alias("primary_type"), sum(hit[n].cast("int") for n in names).cast("bigint").alias("n_detected"))
+    any_file = F.greatest(*[F.coalesce(F.col(f"f_{n}"), F.lit(False)) for n in names])
+    hit = {n: F.coalesce(F.when(any_file, F.col(f"f_{n}")).otherwise(F.col(f"e_{n}")), F.lit(False)) for n in names}
+    order = [*lookup.ECOSYSTEM_PRIORITY, *(n for n in names if n not in lookup.ECOSYSTEM_PRIORITY)]
+    primary = F.coalesce(*[F.when(hit[n], F.lit(n)) for n in order], F.lit("unknown"))
+    tools = F.array_join(F.array_compact(F.array(*[F.when(hit[n], F.lit(",".join(lookup.ECOSYSTEMS[n][2]))) for n in names])), ",")
+    return wide.select("repo_id", primary.alias("primary_type"), sum(hit[n].cast("int") for n in names).cast("bigint").alias("n_detected"), tools.alias("build_tools"))
 
 
 def relationships(files: DataFrame) -> DataFrame:
@@ -198,8 +201,10 @@ def oracles(lang: str, show: str, category: str, ext: str, lines: str, name: str
         f"SELECT repo_id, '{k}' AS kind, CAST(sum({' + '.join(('CAST(regexp_matches(file_path, ' + lit('(^|/)' + p.replace('.', chr(92) + '.').replace('*', '[^/]*') + '$') + ') AS INT)') if '*' in p else f'CAST(file_path = {lit(p)} AS INT)' for p in ps)}) AS BIGINT) AS n FROM source_files GROUP BY 1"
         for k, ps in lookup.CONFIG_PATTERNS.items()
     )
-    eco = sorted(set(lookup.ECOSYSTEM_FILES) | set(lookup.ECOSYSTEM_EXTENSIONS))
-    flags = ", ".join(f"bool_or(file_path IN ({', '.join(lit(x) for x in lookup.ECOSYSTEM_FILES.get(n, ['']))})) AS f_{n}, bool_or({ext} IN ({', '.join(lit(x) for x in lookup.ECOSYSTEM_EXTENSIONS.get(n, ['-']))})) AS e_{n}" for n in eco)
+    eco = list(lookup.ECOSYSTEMS)
+    root = lambda x: f"regexp_matches(file_path, {lit(_glob(x))})" if "*" in x else f"file_path = {lit(x)}"
+    flags = ", ".join(f"bool_or({' OR '.join(root(x) for x in roots)}) AS f_{n}, bool_or({' OR '.join(f'ends_with(file_path, {lit(x)})' for x in exts)}) AS e_{n}" for n, (roots, exts, _) in lookup.ECOSYSTEMS.items())
+    ranked = [*lookup.ECOSYSTEM_PRIORITY, *(n for n in eco if n not in lookup.ECOSYSTEM_PRIORITY)]
     any_file = " OR ".join(f"f_{n}" for n in eco)
     hit = {n: f"(CASE WHEN {any_file} THEN f_{n} ELSE e_{n} END)" for n in eco}
     stem = "regexp_replace(regexp_extract(file_path, '([^/]*)$', 1), '^(.+)\\.[^.]+$', '\\1')"
@@ -219,7 +224,7 @@ def oracles(lang: str, show: str, category: str, ext: str, lines: str, name: str
         "top_modules": "WITH m AS (SELECT repo_id, unnest(regexp_extract_all(raw_content, '(?:from|import)\\s+([a-zA-Z_][\\w\\.]*)', 1)) AS module FROM source_files), c AS (SELECT repo_id, module, count(*) AS n FROM m GROUP BY 1, 2) SELECT repo_id, module, n, row_number() OVER (PARTITION BY repo_id ORDER BY n DESC, module) AS rank FROM c QUALIFY rank <= 10",
         "testing_patterns": f"SELECT repo_id, count(*) AS n_test_files, count(DISTINCT regexp_extract(file_path, '^(.*)/[^/]*$', 1)) AS n_test_directories, CAST(count_if(contains(raw_content, 'pytest')) AS BIGINT) AS n_pytest, CAST(count_if(contains(raw_content, 'unittest')) AS BIGINT) AS n_unittest, CAST(count_if(contains(raw_content, 'describe(')) AS BIGINT) AS n_jest FROM source_files WHERE {test} GROUP BY 1",
         "polyglot_priority": f"WITH c AS (SELECT repo_id, {lang} AS language, count(*) AS files FROM source_files GROUP BY 1, 2), s AS (SELECT *, files * CASE language {weights} ELSE 1 END AS score FROM c WHERE language <> 'unknown') SELECT repo_id, language, files, score FROM s QUALIFY row_number() OVER (PARTITION BY repo_id ORDER BY score DESC, language) = 1",
-        "ecosystems": f"WITH w AS (SELECT repo_id, {flags} FROM source_files GROUP BY 1) SELECT repo_id, CASE {' '.join(f'WHEN {hit[n]} THEN {lit(n)}' for n in lookup.ECOSYSTEM_PRIORITY if n in eco)} ELSE 'unknown' END AS primary_type, CAST({' + '.join(f'CAST({hit[n]} AS INT)' for n in eco)} AS BIGINT) AS n_detected FROM w",
+        "ecosystems": f"WITH w AS (SELECT repo_id, {flags} FROM source_files GROUP BY 1) SELECT repo_id, CASE {' '.join(f'WHEN {hit[n]} THEN {lit(n)}' for n in ranked)} ELSE 'unknown' END AS primary_type, CAST({' + '.join(f'CAST({hit[n]} AS INT)' for n in eco)} AS BIGINT) AS n_detected, array_to_string(list_filter([{', '.join(f'CASE WHEN {hit[n]} THEN {lit(chr(44).join(lookup.ECOSYSTEMS[n][2]))} END' for n in eco)}], lambda x: x IS NOT NULL), ',') AS build_tools FROM w",
         "file_relationships": f"""WITH d AS (SELECT DISTINCT repo_id, file_path FROM source_files), c AS (SELECT repo_id, {category} AS category, count(*) AS n FROM d GROUP BY 1, 2), r AS (SELECT *, row_number() OVER (PARTITION BY repo_id ORDER BY n DESC, category) AS r FROM c),
             a AS (SELECT repo_id, CAST(sum(n) AS BIGINT) AS n_files, count(*) AS n_categories, max(CASE WHEN r = 1 THEN category END) AS primary_category, coalesce(string_agg(CASE WHEN r BETWEEN 2 AND 4 AND n > 1 THEN category END, ',' ORDER BY r), '') AS secondary FROM r GROUP BY 1)
             SELECT *, n_categories > 2 AS cross_layer, CASE WHEN n_categories > 2 AND n_files > 15 THEN 'very_high' WHEN n_files > 12 OR (n_categories > 2 AND n_categories > 4) THEN 'high' WHEN n_files > 6 OR n_categories > 3 THEN 'medium' ELSE 'low' END AS complexity FROM a""",

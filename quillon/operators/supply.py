@@ -16,13 +16,15 @@ def clean(dependencies: DataFrame) -> DataFrame:
     })
 
 
-def filtered(dependencies: DataFrame, ecosystem: str | None = None, category: str | None = None, deprecated: bool | None = None) -> DataFrame:
-    """All given conditions hold."""
+def filtered(dependencies: DataFrame, ecosystem: str | None = None, category: str | None = None, deprecated: bool | None = None, risk: str | None = None, found: DataFrame | None = None) -> DataFrame:
+    """All given conditions hold. ``risk`` is a severity that one of the advisories ``found`` for the dependency has."""
     out = clean(dependencies)
     if ecosystem is not None:
         out = out.where(F.col("ecosystem") == ecosystem.lower())
     if category is not None:
         out = out.where(F.col("dependency_type") == category)
+    if risk is not None and found is not None:
+        out = out.join(found.where(F.col("severity") == risk).select("repo_id", "ecosystem", "name", "version").distinct(), ["repo_id", "ecosystem", "name", "version"], "left_semi")
     return out if deprecated is None else out.where(F.col("deprecated") == deprecated)
 
 
@@ -74,10 +76,8 @@ def advisories(raw: DataFrame) -> DataFrame:
     cvss = F.get(F.filter("doc.severity", lambda s: s["type"] == "CVSS_V3"), F.lit(0))["score"]
     named = F.lower(F.coalesce("doc.database_specific.severity", F.lit("medium")))
     severity = F.when(cvss >= 9, "critical").when(cvss >= 7, "high").when(cvss >= 4, "medium").when(cvss.isNotNull(), "low").when(named.isin("critical", "high", "medium", "low"), named).otherwise("medium")
-    affected = F.coalesce("doc.affected", F.array())
     versions = F.flatten(F.transform("doc.affected", lambda a: F.coalesce(a["versions"], F.array().cast("array<string>"))))
     fixed = F.flatten(F.transform("doc.affected", lambda a: F.flatten(F.transform(F.coalesce(a["ranges"], F.array().cast("array<struct<events:array<struct<introduced:string,fixed:string>>>>")), lambda r: F.array_compact(F.transform(r["events"], lambda e: e["fixed"]))))))
-    del affected
     return raw.withColumn("doc", doc).select("ecosystem", "name", "advisory_id", severity.alias("severity"), versions.alias("affected_versions"), fixed.alias("fixed_versions"))
 
 
@@ -115,6 +115,70 @@ def metadata(repos: DataFrame, dependencies: DataFrame, files: DataFrame) -> Dat
     return out.withColumn("has_dependencies", F.col("n_dependencies") > 0).withColumn("version", F.lit("1.0.0"))
 
 
+#: Fixed value: how fresh dependencies are taken to be, as nothing tells their age.
+FRESHNESS = 85.0
+
+
+def health_color(score: Column) -> Column:
+    return F.when(score >= 80, "green").when(score >= 60, "yellow").otherwise("red")
+
+
+def health_status(score: Column) -> Column:
+    return F.when(score >= 80, "Healthy").when(score >= 60, "Needs Attention").otherwise("Critical Issues")
+
+
+def dashboard(repos: DataFrame, found: DataFrame, broken: DataFrame, dependencies: DataFrame) -> DataFrame:
+    """One row per repository: the three scores, the overall one (the least of them) with colour and status, the four risks (100 less a score) and the counts behind them.
+
+    ``found`` are vulnerable dependencies, ``broken`` license violations. Both are counted per repository before anything is joined.
+    """
+    grave = found.groupBy("repo_id").agg(F.count_if(F.col("severity") == "critical").alias("critical"), F.count_if(F.col("severity") == "high").alias("high"), F.count("*").alias("vulnerabilities"))
+    denied = broken.groupBy("repo_id").agg(F.count_if(F.col("violation_type") == "denied").alias("denied"))
+    base = repos.select("repo_id").distinct().join(security_health(found).select("repo_id", "security_health"), "repo_id", "left").join(license_health(broken, repos), "repo_id", "left")
+    all_ = base.join(grave, "repo_id", "left").join(denied, "repo_id", "left").join(summary(dependencies).select("repo_id", F.col("total").alias("dependencies"), "ecosystems"), "repo_id", "left")
+    zero = lambda c: F.coalesce(c, F.lit(0)).cast("bigint").alias(c)
+    security, license_, fresh = F.coalesce("security_health", F.lit(100)).cast("double"), F.coalesce("license_health", F.lit(100)).cast("double"), F.lit(FRESHNESS)
+    overall = F.least(security, license_, fresh)
+    return all_.select(
+        "repo_id", overall.alias("overall"), health_color(overall).alias("color"), health_status(overall).alias("status"), security.alias("security"), license_.alias("license"), fresh.alias("freshness"),
+        (100 - overall).alias("overall_risk"), (100 - security).alias("security_risk"), (100 - license_).alias("compliance_risk"), (100 - fresh).alias("operational_risk"),
+        zero("critical"), zero("high"), zero("vulnerabilities"), zero("n_violations"), zero("denied"), zero("dependencies"), F.coalesce("ecosystems", F.lit("")).alias("ecosystems"),
+    )
+
+
+def advice(board: DataFrame) -> DataFrame:
+    """(repo_id, topic, n): what a repository's dashboard asks to be done, and how often."""
+    topics = F.array(*[F.struct(F.lit(t).alias("topic"), F.col(c).alias("n")) for t, c in (("critical_vulnerabilities", "critical"), ("high_vulnerabilities", "high"), ("denied_licenses", "denied"))])
+    return board.select("repo_id", F.explode(F.filter(topics, lambda x: x["n"] > 0)).alias("x")).select("repo_id", "x.topic", "x.n")
+
+
+def compatibility(tests_run: Column, tests_failed: Column, n_breaking: Column) -> Column:
+    """100 less 50 times the share of failed tests and 10 per breaking change, held between 0 and 100."""
+    rate = F.when(tests_failed > 0, tests_failed / F.greatest(tests_run, F.lit(1))).otherwise(0.0)
+    return F.greatest(F.lit(0.0), F.least(F.lit(100.0), 100 - rate * 50 - n_breaking * 10))
+
+
+def services_of_type(services: DataFrame, kind: str) -> DataFrame:
+    return services.where(F.col("service_type") == kind)
+
+
+def architecture(services: DataFrame) -> DataFrame:
+    """(repo_id, pattern): what the kinds of a repository's services show."""
+    of = lambda k: F.count_if(F.col("service_type") == k)
+    agg = services.groupBy("repo_id").agg(of("database").alias("d"), of("cache").alias("c"), of("message_queue").alias("q"), F.count("*").alias("n"))
+    rules = F.array(
+        F.when((F.col("d") > 0) & (F.col("c") > 0), "Caching Layer"), F.when(F.col("q") > 0, "Message-Driven Architecture"), F.when(F.col("d") > 1, "Polyglot Persistence"), F.when(F.col("n") > 3, "Microservices Architecture")
+    )
+    return agg.select("repo_id", F.explode(F.array_compact(rules)).alias("pattern"))
+
+
+def modernisation(dependencies: DataFrame, files: DataFrame) -> DataFrame:
+    """(repo_id, suggestion): an outdated framework, no container description."""
+    old = clean(dependencies).where((F.col("ecosystem") == "python") & (F.col("name") == "Django") & F.col("version").startswith("2.")).select("repo_id", F.lit("framework_upgrade").alias("suggestion")).distinct()
+    bare = files.groupBy("repo_id").agg(F.bool_or(F.lower("file_path").rlike(r"(^|/)(dockerfile|docker-compose\.ya?ml)")).alias("boxed")).where("not coalesce(boxed, false)").select("repo_id", F.lit("containerization").alias("suggestion"))
+    return old.unionByName(bare)
+
+
 def service_type(image: Column) -> Column:
     """Kind of a service by the first known name in its image; ``application`` else."""
     out = F.lit("application")

@@ -19,6 +19,11 @@ def endpoints(spark: SparkSession, d: str) -> DataFrame:
     return chunking.endpoints(table(spark, d, "source_files"))
 
 
+def declared_endpoints(spark: SparkSession, d: str) -> DataFrame:
+    """X6 without places, comparable with SQL."""
+    return endpoints(spark, d).select("file_id", "framework", "path", F.array_join("methods", ",").alias("methods"), "handler", (F.col("end_line") - F.col("start_line")).cast("bigint").alias("span"))
+
+
 def endpoint_inventory(spark: SparkSession, d: str) -> DataFrame:
     """A18."""
     return chunking.inventory(endpoints(spark, d))
@@ -90,7 +95,7 @@ def handler_edges(spark: SparkSession, d: str) -> DataFrame:
     return codegraph.handler_edges(endpoints(spark, d), _facts(spark, d))
 
 
-QUERIES = {f.__name__: f for f in (code_chunks, endpoints, endpoint_inventory, rest_scores, openapi_specs, nested_endpoint_scores, express_endpoints, code_nodes, code_edges, script_imports, script_functions, class_methods, call_counts, grouped_edges, handler_edges)}
+QUERIES = {f.__name__: f for f in (code_chunks, endpoints, declared_endpoints, endpoint_inventory, rest_scores, openapi_specs, nested_endpoint_scores, express_endpoints, code_nodes, code_edges, script_imports, script_functions, class_methods, call_counts, grouped_edges, handler_edges)}
 _SCRIPTS = r"s AS (SELECT repo_id, file_path, arg_max(coalesce(raw_content, ''), file_id) AS t FROM source_files WHERE file_path IS NOT NULL GROUP BY repo_id, ref, file_path)"
 _EXPRESS = r"(?i)app\.(?:get|post|put|delete|patch|use)\([''\"][^''\"]+[''\"],\s*\w+"
 #: The forms that stand in the tables, without regard to how the operators read a text.
@@ -103,3 +108,25 @@ ORACLES = {
     "script_functions": rf"""WITH {_SCRIPTS}, m AS (SELECT repo_id, file_path AS file, unnest(regexp_extract_all(t, '(?m)(?:^|[;{{}}])(?:export )?function (\w+)\(', 1)) AS name FROM s WHERE regexp_matches(file_path, '\.(js|mjs|cjs|jsx|gs)$'))
         SELECT repo_id, file, name, count(*) AS n FROM m GROUP BY ALL""",
 }
+_WEB = r"regexp_matches(lower(file_path), '\.(py|pyi|pyx|js|mjs|cjs|jsx|gs|ts|tsx|java|go|php|rb)$')"
+
+
+def _routes(framework: str, whole: str, path: str, methods: str, handler: str) -> str:
+    """Endpoints of one framework in the forms that stand in the tables; ``methods`` is an expression over s."""
+    return f"SELECT file_id, '{framework}' AS framework, regexp_extract(s, '{path}', 1) AS path, {methods} AS methods, regexp_extract(s, '{handler}', 1) AS handler, length(s) - length(replace(s, chr(10), '')) AS span FROM (SELECT file_id, unnest(regexp_extract_all(raw_content, '{whole}')) AS s FROM source_files WHERE {_WEB})"
+
+
+_VERB = lambda before: f"upper(regexp_extract(s, '{before}(get|post|put|delete|patch|use|GET|POST|PUT|DELETE|PATCH)', 1))"
+EP = "ep AS (" + " UNION ALL ".join([
+    _routes("Flask", r"""(?s)@[\w.]*\.route\("[^"]+".*?\)\s*\ndef\s+\w+""", r'route\("([^"]+)"', r"coalesce(nullif(replace(replace(upper(regexp_extract(s, 'methods=\[([^\]]+)\]\)\s*\ndef', 1)), chr(34), ''), ' ', ''), ''), 'GET')", r"def\s+(\w+)$"),
+    _routes("FastAPI", r"""(?s)@[\w.]*\.(?:get|post|put|delete|patch)\("[^"]+".*?\)\s*\n(?:async\s+)?def\s+\w+""", r'\("([^"]+)"', _VERB(r"@[\w.]*\."), r"def\s+(\w+)$"),
+    _routes("Express", r"""app\.(?:get|post|put|delete|patch|use)\("[^"]+",\s*\w+""", r'\("([^"]+)"', _VERB(r"app\."), r",\s*(\w+)$"),
+    _routes("Gin", r"""(?:router|engine)\.(?:GET|POST|PUT|DELETE|PATCH)\("[^"]+",\s*\w+""", r'\("([^"]+)"', _VERB(r"^\w+\."), r",\s*(\w+)$"),
+    _routes("Laravel", r"""Route::(?:get|post|put|delete|patch)\("[^"]+",\s*"[^"]+\"""", r'\("([^"]+)"', _VERB("Route::"), r',\s*"([^"]+)"$'),
+]) + ")"
+_POINTS = r"CASE WHEN contains(path, '/{') OR contains(path, '/id') OR regexp_matches(path, '/\d+') THEN 1.0 ELSE 0 END + CASE WHEN length(path) - length(replace(path, '/', '')) >= 2 THEN 0.5 ELSE 0 END + CASE WHEN regexp_matches(lower(path), 'create|update|delete|get|list') THEN 0 ELSE 0.5 END"
+ORACLES |= {
+    "declared_endpoints": f"WITH {EP} SELECT * FROM ep",
+    "endpoint_inventory": f"WITH {EP} SELECT framework, method, count(*) AS n, count(DISTINCT file_id) AS n_files FROM (SELECT file_id, framework, unnest(string_split(methods, ',')) AS method FROM ep) GROUP BY ALL",
+    "rest_scores": f"WITH {EP} SELECT framework, count(*) AS n, round(CAST(least(1, avg({_POINTS})) AS DOUBLE), 6) AS rest_score FROM ep GROUP BY 1",
+}

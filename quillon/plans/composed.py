@@ -65,9 +65,16 @@ def doc_coverage(spark: SparkSession, d: str) -> DataFrame:
 
 QUERIES = {f.__name__: f for f in (span_map, graph_context, guided_steps, handler_targets, change_locus, code_complexity, config_files, project_warnings, doc_coverage)}
 
+from quillon.plans.code import EP as _EP  # noqa: E402
+from quillon.plans.files import _LANG, _LINES  # noqa: E402
+from quillon.plans.graphs import _E as _EDGES  # noqa: E402
+
 _KINDS = " ".join(f"WHEN '{k}' THEN '{v}'" for k, v in compose.CONFIG_FILES.items())
 _EXT = r"lower(regexp_extract(file_path, '[^/.][^/]*(\.[^./]+)$', 1))"
 ORACLES = {
+    "code_complexity": f"SELECT repo_id, {_LANG} AS language, count(*) AS n_files, CAST(sum({_LINES}) AS BIGINT) AS n_lines, round(avg({_LINES}), 4) AS mean_lines, CAST(max({_LINES}) AS BIGINT) AS largest FROM source_files GROUP BY 1, 2",
+    "graph_context": f"WITH {_EDGES}, g AS (SELECT repo_id, count(*) AS n_edges FROM (SELECT DISTINCT repo_id, source, target FROM e) GROUP BY 1), f AS (SELECT DISTINCT repo_id, file_path FROM source_files WHERE file_path IS NOT NULL) SELECT repo_id, count(*) AS n_nodes, coalesce(any_value(n_edges), 0) AS n_edges, array_to_string(list_sort(list(file_path))[1:5], ', ') AS sample FROM f LEFT JOIN g USING (repo_id) GROUP BY 1",
+    "handler_targets": f"WITH {_EDGES}, {_EP}, g AS (SELECT repo_id, source AS file_path, count(DISTINCT target) AS n_targets FROM e GROUP BY 1, 2) SELECT ep.file_id, handler, path, coalesce(n_targets, 0) AS n_targets FROM ep JOIN source_files f ON f.file_id = ep.file_id LEFT JOIN g ON g.repo_id = f.repo_id AND g.file_path = f.file_path",
     "span_map": "SELECT file_id, count(*) AS n_spans, min(start_line) AS first_line, max(end_line) AS last_line FROM (SELECT DISTINCT file_id, chunk_id, start_line, end_line FROM chunks WHERE start_line IS NOT NULL AND end_line IS NOT NULL) GROUP BY 1",
     "change_locus": "WITH v AS (SELECT vec_id, list_transform(embedding, lambda x: CAST(x AS DOUBLE)) AS e FROM embeddings WHERE embedding IS NOT NULL), k AS (SELECT q.vec_id AS query_id, v.vec_id AS id, round(list_sum(list_transform(list_zip(q.e, v.e), lambda z: (z[1] - z[2]) * (z[1] - z[2]))), 6) AS distance FROM v q JOIN v ON q.vec_id % 20 = 0 AND q.vec_id <> v.vec_id AND len(q.e) = len(v.e)), r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY distance, id) AS rank FROM k QUALIFY rank <= 5), f AS (SELECT query_id, coalesce(source, 'unknown') AS path, min(rank) AS best FROM r JOIN documents ON doc_id = id GROUP BY 1, 2) SELECT query_id, path, row_number() OVER (PARTITION BY query_id ORDER BY best, path) AS place FROM f QUALIFY place <= 3",
     "config_files": f"SELECT DISTINCT repo_id, file_path, CASE regexp_extract(file_path, '([^/]*)$', 1) {_KINDS} END AS kind FROM source_files WHERE kind IS NOT NULL",

@@ -170,3 +170,7 @@ ORACLES = {
 }
 _CLASS, _ROUTE = r"(?s)class\s+(\w+).*?def\s+([a-zA-Z_]\w*)", r"""(?s)@app\.route\([''"]([^''"]+)[''"].*?\ndef\s+([a-zA-Z_]\w*)"""
 ORACLES["all_function_names"] = f"{ORACLES['function_names']} UNION SELECT file_id, c || '.' || m FROM (SELECT file_id, unnest(regexp_extract_all(raw_content, '{_CLASS}', 1)) AS c, unnest(regexp_extract_all(raw_content, '{_CLASS}', 2)) AS m FROM source_files) UNION SELECT file_id, unnest(regexp_extract_all(raw_content, '{_ROUTE}', 2)) FROM source_files"
+ORACLES["search_readiness"] = "WITH v AS (SELECT DISTINCT repo_id FROM chunks), e AS (SELECT DISTINCT repo_id FROM source_files WHERE file_path IS NOT NULL AND regexp_matches(lower(file_path), '\\.(py|pyi|js|mjs|cjs|jsx|ts|tsx|java|go|rs|cpp|cc|h|php|rb)$') AND regexp_matches(raw_content, '(?m)^(import |from \\S+ import |use \\w+::|#include \"|require_once \"|require_relative \"|const \\w+ = require|\\t?\"app/)')) SELECT DISTINCT r.repo_id, CASE WHEN v.repo_id IS NOT NULL AND e.repo_id IS NOT NULL THEN 'excellent' WHEN v.repo_id IS NOT NULL OR e.repo_id IS NOT NULL THEN 'good' ELSE 'poor' END AS status FROM repos r LEFT JOIN v USING (repo_id) LEFT JOIN e USING (repo_id)"
+_Q = f"'{QUESTION}'"
+ORACLES["ranked_variants"] = f"WITH q AS ({ORACLES['question_variants']}), s AS (SELECT *, round(len(list_intersect({_TOK.format('variant')}, {_TOK.format(_Q)})) / len(list_distinct(list_concat({_TOK.format('variant')}, {_TOK.format(_Q)}))), 6) AS score FROM q) SELECT doc_id, row_number() OVER (PARTITION BY doc_id ORDER BY score DESC, place) - 1 AS place, variant, score FROM s"
+ORACLES["start_nodes"] = f"WITH {_HITS}, n AS (SELECT query_id, h.path, h.id, score, rank, name FROM h JOIN (SELECT doc_id, name FROM ({ORACLES['all_function_names'].replace('file_id', 'doc_id').replace('raw_content', 'text').replace('source_files', 'documents')})) x ON x.doc_id = h.id WHERE rank <= 10) SELECT query_id, name AS node, path, id, score AS confidence FROM n QUALIFY row_number() OVER (PARTITION BY query_id ORDER BY score DESC, id, name) = 1"

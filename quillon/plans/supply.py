@@ -32,12 +32,12 @@ def license_violations(spark: SparkSession, d: str) -> DataFrame:
 
 
 def license_health(spark: SparkSession, d: str) -> DataFrame:
-    """A21, A22."""
+    """A21."""
     return supply.license_health(license_violations(spark, d), table(spark, d, "repos"))
 
 
 def dependency_compare(spark: SparkSession, d: str) -> DataFrame:
-    """Common and unique packages of the first two repositories by name."""
+    """Common and unique packages of the first two repositories by name (a choice of two names, which are constants of the plan)."""
     a, b = (r.repo_id for r in table(spark, d, "dependencies").select("repo_id").distinct().orderBy("repo_id").limit(2).collect())
     return supply.compare(table(spark, d, "dependencies"), a, b)
 
@@ -85,7 +85,57 @@ def repository_metadata(spark: SparkSession, d: str) -> DataFrame:
     return supply.metadata(table(spark, d, "repos"), table(spark, d, "dependencies"), table(spark, d, "source_files"))
 
 
-QUERIES = {f.__name__: f for f in (dependency_summary, dependency_stats, dependency_filter, license_violations, license_health, dependency_compare, popular_dependencies, version_cores, advisory_ecosystems, vulnerable_dependencies, security_health, repository_metadata)}
+def risky_dependencies(spark: SparkSession, d: str) -> DataFrame:
+    """F2 with a risk: npm packages with an advisory of high severity."""
+    return supply.filtered(table(spark, d, "dependencies"), "npm", risk="high", found=vulnerable_dependencies(spark, d)).select("repo_id", "name", "version").distinct()
+
+
+def health_dashboard(spark: SparkSession, d: str) -> DataFrame:
+    """A22, P20."""
+    return supply.dashboard(table(spark, d, "repos"), vulnerable_dependencies(spark, d), license_violations(spark, d), table(spark, d, "dependencies"))
+
+
+def dashboard_advice(spark: SparkSession, d: str) -> DataFrame:
+    """M3, without its constant lines."""
+    return supply.advice(health_dashboard(spark, d))
+
+
+def compatibility_scores(spark: SparkSession, d: str) -> DataFrame:
+    """The formula, on test files as runs and dirt counts of the files as stand-ins for results."""
+    f = table(spark, d, "source_files").groupBy("repo_id").agg(F.count("*").alias("run"), F.count_if(F.col("detected_language").isNull()).alias("failed"), F.count_if(F.col("file_size_kb").isNull()).alias("breaking"))
+    return f.select("repo_id", F.round(supply.compatibility(F.col("run"), F.col("failed"), F.col("breaking")), 6).alias("score"))
+
+
+def _services(spark: SparkSession, d: str) -> DataFrame:
+    """Services of every record's document, one row each."""
+    from quillon.operators import shred
+
+    return shred.entity_table(shred.stored(table(spark, d, "cortex_raw")), "service").where("parent_key is not null").select(F.col("parent_key").alias("repo_id"), "name", "version", "service_type").distinct()
+
+
+def database_services(spark: SparkSession, d: str) -> DataFrame:
+    """services of one type."""
+    return supply.services_of_type(_services(spark, d), "database")
+
+
+def architecture_patterns(spark: SparkSession, d: str) -> DataFrame:
+    """A15 on the services of nested records."""
+    return supply.architecture(_services(spark, d))
+
+
+def image_architecture(spark: SparkSession, d: str) -> DataFrame:
+    """A15 on the base images of Dockerfiles, comparable with SQL."""
+    from quillon.plans.sources import docker_images
+
+    return supply.architecture(docker_images(spark, d))
+
+
+def modernisation(spark: SparkSession, d: str) -> DataFrame:
+    """A16."""
+    return supply.modernisation(table(spark, d, "dependencies"), table(spark, d, "source_files"))
+
+
+QUERIES = {f.__name__: f for f in (risky_dependencies, health_dashboard, dashboard_advice, compatibility_scores, database_services, architecture_patterns, image_architecture, modernisation, dependency_summary, dependency_stats, dependency_filter, license_violations, license_health, dependency_compare, popular_dependencies, version_cores, advisory_ecosystems, vulnerable_dependencies, security_health, repository_metadata)}
 
 _DEPS = "d AS (SELECT DISTINCT repo_id, name, coalesce(nullif(trim(version), ''), 'any') AS version, dependency_type, lower(ecosystem) AS ecosystem, nullif(trim(license), '') AS license, coalesce(deprecated, false) AS deprecated, version AS v0, ecosystem AS e0, license AS l0, deprecated AS d0 FROM dependencies)"
 _POLICY = "p(license, r) AS (VALUES " + ", ".join(f"('{k}', {dict(allow=1, restrict=2, deny=3)[v]})" for k, v in lookup.LICENSE_POLICY.items()) + ")"
@@ -107,3 +157,17 @@ ORACLES = {
     "security_health": f"{_VULN} SELECT repo_id, count(*) AS n, CAST(100 - least(100, sum(CASE severity WHEN 'critical' THEN 40 WHEN 'high' THEN 20 WHEN 'medium' THEN 5 ELSE 1 END)) AS BIGINT) AS security_health FROM x GROUP BY 1",
     "repository_metadata": f"WITH {_DEPS}, n AS (SELECT repo_id, count(*) AS n_dependencies FROM d GROUP BY 1), f AS (SELECT repo_id, count(*) AS n_files FROM source_files GROUP BY 1) SELECT repo_id, coalesce(n_dependencies, 0) AS n_dependencies, coalesce(n_files, 0) AS n_files, coalesce(n_dependencies, 0) > 0 AS has_dependencies, '1.0.0' AS version FROM repos LEFT JOIN n USING (repo_id) LEFT JOIN f USING (repo_id)",
 }
+_BOARD = f"""{_VULN}, {_POLICY}, v AS (SELECT repo_id, CASE WHEN license IS NULL THEN 'unknown' WHEN r = 3 THEN 'denied' WHEN r = 2 THEN 'restricted' WHEN r IS NULL THEN 'not_allowed' END AS t FROM d LEFT JOIN p USING (license)),
+    s AS (SELECT repo_id, count(*) AS n, count_if(severity = 'critical') AS c, count_if(severity = 'high') AS h, sum(CASE severity WHEN 'critical' THEN 40 WHEN 'high' THEN 20 WHEN 'medium' THEN 5 ELSE 1 END) AS w FROM x GROUP BY 1),
+    l AS (SELECT repo_id, count(*) AS n, count_if(t = 'denied') AS k, sum(CASE t WHEN 'denied' THEN 50 WHEN 'restricted' THEN 20 ELSE 10 END) AS w FROM v WHERE t IS NOT NULL GROUP BY 1),
+    t AS (SELECT repo_id, count(*) AS n, array_to_string(list_sort(list(DISTINCT ecosystem)), ',') AS e FROM d GROUP BY 1),
+    g AS (SELECT r.repo_id, CAST(100 - least(100, coalesce(s.w, 0)) AS DOUBLE) AS security, CAST(greatest(0, 100 - coalesce(l.w, 0)) AS DOUBLE) AS license, CAST(85 AS DOUBLE) AS freshness, CAST(coalesce(c, 0) AS BIGINT) AS critical, CAST(coalesce(h, 0) AS BIGINT) AS high, coalesce(s.n, 0) AS vulnerabilities, coalesce(l.n, 0) AS n_violations, CAST(coalesce(k, 0) AS BIGINT) AS denied, coalesce(t.n, 0) AS dependencies, coalesce(e, '') AS ecosystems
+        FROM (SELECT DISTINCT repo_id FROM repos) r LEFT JOIN s USING (repo_id) LEFT JOIN l USING (repo_id) LEFT JOIN t USING (repo_id)),
+    o AS (SELECT *, least(security, license, freshness) AS overall FROM g), b AS (SELECT *, CASE WHEN overall >= 80 THEN 'green' WHEN overall >= 60 THEN 'yellow' ELSE 'red' END AS color, CASE WHEN overall >= 80 THEN 'Healthy' WHEN overall >= 60 THEN 'Needs Attention' ELSE 'Critical Issues' END AS status, 100 - overall AS overall_risk, 100 - security AS security_risk, 100 - license AS compliance_risk, 100 - freshness AS operational_risk FROM o)"""
+ORACLES |= {
+    "risky_dependencies": f"{_VULN} SELECT DISTINCT repo_id, name, version FROM x WHERE ecosystem = 'npm' AND severity = 'high'",
+    "health_dashboard": f"{_BOARD} SELECT * FROM b",
+    "dashboard_advice": f"{_BOARD} SELECT repo_id, 'critical_vulnerabilities' AS topic, critical AS n FROM b WHERE critical > 0 UNION ALL SELECT repo_id, 'high_vulnerabilities', high FROM b WHERE high > 0 UNION ALL SELECT repo_id, 'denied_licenses', denied FROM b WHERE denied > 0",
+    "compatibility_scores": "SELECT repo_id, round(greatest(0, least(100, 100 - count_if(detected_language IS NULL) / count(*) * 50 - count_if(file_size_kb IS NULL) * 10)), 6) AS score FROM source_files GROUP BY 1",
+    "modernisation": f"WITH {_DEPS} SELECT DISTINCT repo_id, 'framework_upgrade' AS suggestion FROM d WHERE ecosystem = 'python' AND name = 'Django' AND version LIKE '2.%' UNION ALL SELECT repo_id, 'containerization' FROM source_files GROUP BY 1 HAVING NOT coalesce(bool_or(regexp_matches(lower(file_path), '(^|/)(dockerfile|docker-compose\\.ya?ml)')), false)",
+}
