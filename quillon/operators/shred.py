@@ -132,7 +132,7 @@ def objects(nodes: DataFrame, labels: list[str]) -> DataFrame:
     """
     own = F.col("kind") == "object"
     rows = nodes.where(own | (F.col("scalar").isNotNull() & F.col("label").isin(labels)))
-    up = ["label", "parent", "p_label", "p_kind", "grand", "g_label", "p_keyed", "p_named"]
+    up = ["label", "parent", "p_label", (F.col("p_kind") == "array").alias("in_array"), "grand", (F.col("g_label") == "dependencies").alias("in_dependencies"), "p_keyed", "p_named"]
     slim = rows.select("record_id", F.when(own, F.col("node")).otherwise(F.col("parent")).alias("node"), own.alias("own"), F.when(own, F.struct(*up)).alias("at"), F.when(~own, F.col("label")).alias("l"), "scalar")
     pivot = [F.max(F.when(F.col("l") == x, F.col("scalar"))).alias(f"c_{x}") for x in labels]
     # Scalars of a member that is no object's (an array's "[]") have no row of their own kind and fall out here.
@@ -149,16 +149,16 @@ def entity_nodes(pivoted: DataFrame) -> DataFrame:
     for name, (_, key) in COLLECTIONS.items():
         own_key = F.when(F.col("label") == name, F.col(f"c_{key}")).otherwise(own_key)
     inner = pivoted.withColumn("own_key", own_key)
-    in_array, known = F.coalesce(F.col("p_kind") == "array", F.lit(False)), list(COLLECTIONS)
-    label, plabel, glabel = F.col("label"), F.coalesce("p_label", F.lit("")), F.coalesce("g_label", F.lit(""))
+    in_array, deep, known = F.coalesce("in_array", F.lit(False)), F.coalesce("in_dependencies", F.lit(False)), list(COLLECTIONS)
+    label, plabel = F.col("label"), F.coalesce("p_label", F.lit(""))
     kind_of = F.create_map(*[x for k, v in COLLECTIONS.items() for x in (F.lit(k), F.lit(v[0]))])
     listed = in_array & plabel.isin(known)
     mapped = ~in_array & plabel.isin(known) & ~F.coalesce("p_keyed", F.lit(False))
     single = ~in_array & ~mapped & label.isin(known) & F.col("own_key").isNotNull()
     dep_flat = in_array & (plabel == "dependencies")
-    dep_listed = in_array & (glabel == "dependencies")
+    dep_listed = in_array & deep
     dep_single = ~in_array & (plabel == "dependencies") & F.col("c_name").isNotNull()
-    dep_keyed = ~in_array & (glabel == "dependencies") & ~F.coalesce("p_named", F.lit(False))
+    dep_keyed = ~in_array & deep & ~F.coalesce("p_named", F.lit(False))
     kind = (
         F.when(listed | mapped, kind_of[plabel])
         .when(single, kind_of[label])
