@@ -84,3 +84,9 @@ def totals(changes: DataFrame) -> DataFrame:
 def checked_spans(spans: DataFrame) -> DataFrame:
     """Spans whose start is after their end stop the query."""
     return spans.withColumn("start_line", F.when(F.col("start_line") > F.col("end_line"), F.raise_error(F.lit("span starts after its end"))).otherwise(F.col("start_line")))
+
+
+def span_problems(spans: DataFrame) -> DataFrame:
+    """Spans whose place is missing or runs backwards, with the problem."""
+    problem = F.when(F.col("start_line").isNull() | F.col("end_line").isNull(), "missing").when(F.col("start_line") > F.col("end_line"), "backwards")
+    return spans.withColumn("problem", problem).where("problem is not null")

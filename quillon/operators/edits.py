@@ -135,3 +135,46 @@ def doc_coverage(files: DataFrame) -> DataFrame:
     c = files.where((paths.language(F.col("file_path")) == "python") & F.col("raw_content").isNotNull()).select("repo_id", count("raw_content").alias("c"))
     agg = c.groupBy("repo_id").agg(F.sum("c.n").alias("n_definitions"), F.sum("c.d").alias("n_documented"))
     return agg.withColumn("coverage", F.round(F.when(F.col("n_definitions") > 0, F.col("n_documented") / F.col("n_definitions")).otherwise(0.0), 4))
+
+
+# What stands between the parts that are kept of a text.
+_AFTER_IMPORTS, _BETWEEN = "\n... # (Code imports)\n", "\n\n... # (Code omitted for brevity)\n\n"
+
+
+def relevant_code(text: str | None, keywords: list[str] | None, path: str | None) -> str:
+    """The part of a text that a report's keywords name: in Python its imports and the functions and classes of those names, elsewhere the lines that hold one. The whole text where nothing is named or it does not parse."""
+    text, wanted = text or "", set(keywords or ())
+    if not text or not wanted:
+        return text
+    if not (path or "").endswith(".py"):
+        return "\n".join(x for x in text.splitlines() if any(k in x for k in wanted)) or text
+    try:
+        nodes = list(ast.walk(ast.parse(text)))
+    except (SyntaxError, ValueError, RecursionError, MemoryError):
+        return text
+    cut = lambda n: ast.get_source_segment(text, n) or ""
+    named = sorted((n for n in nodes if isinstance(n, (ast.FunctionDef, ast.AsyncFunctionDef, ast.ClassDef)) and n.name in wanted), key=lambda n: n.lineno)
+    if not named:
+        return text
+    imports = [cut(n) for n in nodes if isinstance(n, (ast.Import, ast.ImportFrom))]
+    parts = [*imports, *([_AFTER_IMPORTS] if imports else []), *dict.fromkeys(map(cut, named))]
+    return _BETWEEN.join(filter(None, parts))
+
+
+def compressed(files: DataFrame, keywords: list[str]) -> DataFrame:
+    """Adds relevant, the part of raw_content that the keywords of one report name."""
+
+    @F.pandas_udf("string")
+    def keep(texts: pd.Series, where: pd.Series) -> pd.Series:
+        return pd.Series([relevant_code(t, keywords, p) for t, p in zip(texts, where)], dtype=object)
+
+    return files.withColumn("relevant", keep("raw_content", "file_path"))
+
+
+def with_docstring(code, docstring):
+    """Column: the code with a docstring behind the first line that opens a function or class; unchanged without one. The docstring is set in by four more blanks than that line."""
+    head = r"(?m)^(\s*)(?:def|class)\s+\w+"
+    opener, indent = F.regexp_extract(code, head, 0), F.regexp_extract(code, head, 1)
+    put = F.concat(opener, F.lit("\n"), indent, F.lit('    \"\"\"'), docstring, F.lit('\"\"\"'))
+    at = F.instr(code, opener) if isinstance(opener, str) else F.call_function("instr", code, opener)
+    return F.when(opener == "", code).otherwise(F.concat(F.substring(code, F.lit(1), at - 1), put, F.substring(code, at + F.length(opener), F.length(code))))

@@ -95,3 +95,19 @@ def find_by_name(files: DataFrame, name: str) -> DataFrame:
         "repo_id", F.when(one | F.col("root").isNotNull(), "found").otherwise("ambiguous").alias("status"),
         F.when(one, F.element_at("options", 1)).otherwise(F.col("root")).alias("file_path"), F.size("options").alias("n_options"),
     )
+
+
+MAX_PROFILES = 10_000
+
+
+def language_profiles(files: DataFrame, profiles: DataFrame) -> DataFrame:
+    """Left join of files with a table of languages by extension (P4, M15: names, families, paradigms, features, practices, as the caller keeps them); a file of an unknown extension gets the profile of ``*``, if there is one.
+
+    The table is kept by hand; it is broadcast after a check of its number of rows.
+    """
+    n = profiles.limit(MAX_PROFILES + 1).count()
+    if n > MAX_PROFILES:
+        raise ValueError(f"more than {MAX_PROFILES} language profiles")
+    known = F.broadcast(profiles.select("ext").distinct().withColumn("_known", F.lit(True)))
+    marked = files.withColumn("ext", paths.suffix(F.col("file_path"))).join(known, "ext", "left").withColumn("_key", F.when(F.col("_known"), F.col("ext")).otherwise("*"))
+    return marked.drop("_known").join(F.broadcast(profiles.withColumnRenamed("ext", "_key")), "_key", "left").drop("_key")

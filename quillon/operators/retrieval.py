@@ -325,9 +325,71 @@ def context(hits: DataFrame, per_file: int = 5) -> DataFrame:
     return files.groupBy("query_id").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct((-F.col("best")).alias("b"), "path", block.alias("t")))), lambda s: s["t"]), "\n\n").alias("context"))
 
 
+def concepts(question: Column, most: int = 3) -> Column:
+    """The first concepts of a question: each word of more than four characters, before it with its neighbour if that has more than three."""
+    words = F.filter(F.split(F.lower(question), r"\s+"), lambda w: w != "")
+
+    def found(ws: Column) -> Column:
+        pair = lambda w, i: F.when((F.length(w) > 4) & (F.length(F.get(ws, i + 1)) > 3), F.concat(w, F.lit(" "), F.get(ws, i + 1)))
+        both = F.transform(ws, lambda w, i: F.array(pair(w, i), F.when(F.length(w) > 4, w)))
+        return F.slice(F.array_compact(F.flatten(both)), 1, most)
+
+    return F.transform(F.array(words), found)[0]  # the words are split once
+
+
+#: What is asked for besides, where a question has a word.
+CODE_WORDS = {"api": ["API routes", "endpoint definitions", "REST endpoints"], "database": ["schema", "models", "queries"], "test": ["unit tests", "test cases", "test fixtures"]}
+#: What the hops of a search ask about a name.
+HOP_FORMS = [["implementation of {}", "{} definition"], ["calls to {}", "{} dependencies"], ["related to {}"]]
+
+
+def wide_expansions(question: Column, names: Column, most: int = 5) -> Column:
+    """Variants of a question by its names, its concepts and its words on code, ranked by the share of words that they have in common with it; ties keep their order, at most twice ``most``."""
+    about = F.flatten(F.transform(concepts(question), lambda c: F.array(F.concat(F.lit("examples of "), c), F.concat(c, F.lit(" pattern")), F.concat(F.lit("best practices for "), c))))
+    code = F.flatten(F.array(*[F.when(F.lower(question).contains(w), F.array(*[F.lit(x) for x in xs])).otherwise(F.array().cast("array<string>")) for w, xs in CODE_WORDS.items()]))
+    every = F.concat(expansions(question, names, most), about, code)
+    own = token_set(question)
+    scored = F.transform(every, lambda v, i: F.struct((-F.size(F.array_intersect(token_set(v), own)) / F.greatest(F.size(F.array_union(token_set(v), own)), F.lit(1))).alias("s"), i.alias("i"), v.alias("v")))
+    return F.slice(F.transform(F.array_sort(scored), lambda x: x["v"]), 1, 2 * most)
+
+
+def hop_questions(question: Column, names: Column, hop: int, most: int = 5) -> Column:
+    """What a hop of a search asks: the question itself, then forms of its first names (three in the second hop, else two)."""
+    if hop == 0:
+        return F.array(question)
+    forms = HOP_FORMS[min(hop, 3) - 1]
+    made = F.transform(F.slice(names, 1, 3 if hop == 1 else 2), lambda n: F.array(*[F.concat(F.lit(f.split("{}")[0]), n, F.lit(f.split("{}")[1])) for f in forms]))
+    return F.slice(F.flatten(made), 1, most)
+
+
+def embed(texts: DataFrame, model, id_col: str = "id", text_col: str = "text") -> DataFrame:
+    """(id, embedding) by a model of the caller's, a function from a list of texts to rows of numbers; it is called once per batch of rows on the workers. Null texts are embedded as empty ones."""
+    import pyarrow as pa
+
+    kind = dict(texts.dtypes)[id_col]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            made = model([t or "" for t in b.column(1).to_pylist()]) if b.num_rows else []
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array([[float(x) for x in v] for v in made], pa.list_(pa.float32()))], [id_col, "embedding"])
+
+    return texts.select(id_col, text_col).mapInArrow(run, f"{id_col} {kind}, embedding array<float>")
+
+
 # ---------------------------------------------------------------- strategies put together
 
 
+def graph_guided(scored: DataFrame, question: str, vectors: DataFrame, model, k: int = 5) -> DataFrame:
+    """(repo_id, node_id, id, distance, rank): the nodes that a question points at, each asked for together with the question, and the k nearest texts of each.
+
+    ``scored`` are the few nodes of :func:`node_scores`, so the question set is a top-k report; ``model`` embeds the questions like the ``vectors`` were.
+    """
+    asked = scored.select("repo_id", "node_id").distinct().withColumn("id", F.xxhash64("repo_id", "node_id")).withColumn("text", F.concat(F.regexp_extract("node_id", r"([^/]*)$", 1), F.lit(" in "), F.col("node_id"), F.lit(" " + question)))
+    questions = embed(asked, model).withColumnRenamed("id", "vec_id")
+    hits = nearest(vectors, questions, k, exclude_self=False)
+    return hits.join(asked.select(F.col("id").alias("query_id"), "repo_id", "node_id"), "query_id").select("repo_id", "node_id", "id", "distance", "rank")
+
+
 def node_scores(nodes: DataFrame, names: list[tuple], most: int = 10) -> DataFrame:
     """(repo_id, node_id, score, rank): how much of a question's named elements a node's id and name contain; zero scores are left out.
 

@@ -139,7 +139,43 @@ def start_nodes(spark: SparkSession, d: str) -> DataFrame:
     return R.start_nodes(_hits(spark, d).where("rank <= 10"))
 
 
-_MORE = (ranked_variants, node_matches, hybrid_search, style_exemplars, answer_confidence, search_readiness, function_names, all_function_names, start_nodes)
+def question_concepts(spark: SparkSession, d: str) -> DataFrame:
+    """Concepts of the documents as questions."""
+    docs = table(spark, d, "documents").where("text is not null")
+    return docs.select("doc_id", F.posexplode(R.concepts(F.col("text"))).alias("place", "concept")).withColumn("place", F.col("place").cast("bigint"))
+
+
+def wide_variants(spark: SparkSession, d: str) -> DataFrame:
+    """Variants of a question by names, concepts and code words, by their likeness to it."""
+    names = R.entities(table(spark, d, "documents"), "doc_id", F.col("text")).where("type = 'functions'").groupBy("doc_id").agg(F.array_sort(F.collect_set("text")).alias("names"))
+    return names.select("doc_id", F.posexplode(R.wide_expansions(F.lit(QUESTION + " in an api test"), F.col("names"))).alias("place", "variant"))
+
+
+def hop_questions(spark: SparkSession, d: str) -> DataFrame:
+    """What each hop asks."""
+    names = R.entities(table(spark, d, "documents"), "doc_id", F.col("text")).where("type = 'functions'").groupBy("doc_id").agg(F.array_sort(F.collect_set("text")).alias("names"))
+    hops = F.array(*[F.struct(F.lit(h).cast("bigint").alias("hop"), F.array_join(R.hop_questions(F.lit(QUESTION), F.col("names"), h), " | ").alias("asked")) for h in range(4)])
+    return names.select("doc_id", F.explode(hops).alias("x")).select("doc_id", "x.hop", "x.asked")
+
+
+def _letters(texts: list[str]) -> list:
+    """A stand-in for an embedding model: shares of letters by place in the alphabet, 64 numbers; models are the caller's."""
+    out = []
+    for t in texts:
+        v = [0.0] * 64
+        for c in t:
+            v[ord(c) % 64] += 1 / max(1, len(t))
+        out.append(v)
+    return out
+
+
+def graph_guided_search(spark: SparkSession, d: str) -> DataFrame:
+    """The documents nearest to the nodes that a question points at."""
+    docs = R.embed(table(spark, d, "documents").select(F.col("doc_id").alias("vec_id"), "text"), _letters, "vec_id")
+    return R.graph_guided(node_matches(spark, d).where("rank <= 2 and repo_id like '%a%'"), QUESTION, docs, _letters)
+
+
+_MORE = (question_concepts, wide_variants, hop_questions, graph_guided_search, ranked_variants, node_matches, hybrid_search, style_exemplars, answer_confidence, search_readiness, function_names, all_function_names, start_nodes)
 QUERIES = {f.__name__: f for f in (nearest_vectors, expanded_search, multi_hop_search, chunk_features, unique_chunks, selected_hits, search_context, entities, entity_aliases, routed_questions, question_variants, *_MORE)}
 
 _KNN = "v AS (SELECT vec_id, list_transform(embedding, lambda x: CAST(x AS DOUBLE)) AS e FROM embeddings WHERE embedding IS NOT NULL), k AS (SELECT q.vec_id AS query_id, v.vec_id AS id, round(list_sum(list_transform(list_zip(q.e, v.e), lambda z: (z[1] - z[2]) * (z[1] - z[2]))), 6) AS distance FROM v q JOIN v ON q.vec_id % 20 = 0 AND q.vec_id <> v.vec_id AND len(q.e) = len(v.e)), r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY distance, id) AS rank FROM k)"
@@ -174,3 +210,4 @@ ORACLES["search_readiness"] = "WITH v AS (SELECT DISTINCT repo_id FROM chunks),
 _Q = f"'{QUESTION}'"
 ORACLES["ranked_variants"] = f"WITH q AS ({ORACLES['question_variants']}), s AS (SELECT *, round(len(list_intersect({_TOK.format('variant')}, {_TOK.format(_Q)})) / len(list_distinct(list_concat({_TOK.format('variant')}, {_TOK.format(_Q)}))), 6) AS score FROM q) SELECT doc_id, row_number() OVER (PARTITION BY doc_id ORDER BY score DESC, place) - 1 AS place, variant, score FROM s"
 ORACLES["start_nodes"] = f"WITH {_HITS}, n AS (SELECT query_id, h.path, h.id, score, rank, name FROM h JOIN (SELECT doc_id, name FROM ({ORACLES['all_function_names'].replace('file_id', 'doc_id').replace('raw_content', 'text').replace('source_files', 'documents')})) x ON x.doc_id = h.id WHERE rank <= 10) SELECT query_id, name AS node, path, id, score AS confidence FROM n QUALIFY row_number() OVER (PARTITION BY query_id ORDER BY score DESC, id, name) = 1"
+ORACLES["question_concepts"] = "WITH w AS (SELECT doc_id, list_filter(regexp_split_to_array(lower(text), '[\\t-\\r ]+'), lambda t: t <> '') AS ws FROM documents WHERE text IS NOT NULL), p AS (SELECT doc_id, ws, unnest(range(1, len(ws) + 1)) AS i FROM w), c AS (SELECT doc_id, i, 0 AS k, CASE WHEN length(ws[i]) > 4 AND length(ws[i + 1]) > 3 THEN ws[i] || ' ' || ws[i + 1] END AS concept FROM p UNION ALL SELECT doc_id, i, 1, CASE WHEN length(ws[i]) > 4 THEN ws[i] END FROM p) SELECT doc_id, row_number() OVER (PARTITION BY doc_id ORDER BY i, k) - 1 AS place, concept FROM c WHERE concept IS NOT NULL QUALIFY place < 3"

@@ -1,3 +1,5 @@
+from pyspark.sql import functions as F
+
 from quillon.operators import compose, edits
 
 PY = "import a\n\n@d\ndef f():\n    return 1\n\nclass C:\n    pass\n"
@@ -38,3 +40,18 @@ def test_joins(spark):
     plan = spark.createDataFrame([("r", "x.py"), ("r", "new.py")], "repo_id string, file_path string")
     files = spark.createDataFrame([("r", "x.py", 1, "old"), ("r", "x.py", 2, "text")], "repo_id string, file_path string, file_id bigint, raw_content string")
     assert {r.file_path: r.raw_content for r in compose.plan_files(plan, files).collect()} == {"x.py": "text", "new.py": ""}
+
+
+def test_relevant_code():
+    py = "import os\nfrom a import b\n\nclass A:\n    def m(self):\n        return 1\n\ndef f():\n    return A()\n\ndef g(): pass\n"
+    got = edits.relevant_code(py, ["f", "m"], "x.py")
+    assert got.startswith("import os") and "def m(self)" in got and "def f()" in got and "class A" not in got and "def g" not in got
+    assert edits.relevant_code(py, ["none"], "x.py") == py and edits.relevant_code("def f(:", ["f"], "x.py") == "def f(:" and edits.relevant_code(None, ["f"], None) == ""
+    assert edits.relevant_code("a f\nb\nf c", ["f"], "x.js") == "a f\nf c" and edits.relevant_code("a", ["q"], None) == "a"
+
+
+def test_compressed_and_docstrings(spark):
+    df = spark.createDataFrame([("x.py", "x = 1\n  def f(a):\n    pass\n"), ("y.js", "keep f\ndrop"), (None, None)], "file_path string, raw_content string")
+    assert [r.relevant for r in edits.compressed(df, ["f"]).orderBy("file_path").collect()] == ["", "x = 1\n  def f(a):\n    pass\n", "keep f"]
+    done = [r[0] for r in df.select(edits.with_docstring(F.col("raw_content"), F.lit("Adds."))).collect()]
+    assert done[0] == 'x = 1\n  def f\n      """Adds."""(a):\n    pass\n' and done[1] == "keep f\ndrop" and done[2] is None

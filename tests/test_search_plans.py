@@ -62,3 +62,20 @@ def test_hybrid_has_expanded(spark):
     have = {(r.query_id, r.id): r.strategies.split(",") for r in hybrid.collect()}
     asked = {(r.query_id, r.id) for r in own.collect() if r.query_id != r.id}
     assert asked and all("expanded" in have[k] for k in asked)
+
+
+def test_wide_expansions_and_hops(spark):
+    df = spark.createDataFrame([(1, "retry the session cache of the api test", ["load", "save"]), (2, "a b", []), (3, "", [])], "doc_id bigint, q string, names array<string>")
+    rows = {r.doc_id: r for r in df.select("doc_id", R.concepts(F.col("q")).alias("c"), R.wide_expansions(F.col("q"), F.col("names")).alias("w"), R.hop_questions(F.col("q"), F.col("names"), 1).alias("h1"), R.hop_questions(F.col("q"), F.col("names"), 3).alias("h3")).collect()}
+    assert rows[1].c == ["retry", "session cache", "session"] and rows[2].c == [] and rows[3].w == []
+    assert rows[1].w[0] == "retry the session cache of the api test" and len(rows[1].w) == 10 and "examples of session cache" in rows[1].w
+    assert rows[1].h1 == ["implementation of load", "load definition", "implementation of save", "save definition"] and rows[1].h3 == ["related to load", "related to save"]
+
+
+def test_graph_guided(spark):
+    model = lambda texts: [[float(t.count("a")), float(t.count("b"))] for t in texts]
+    docs = R.embed(spark.createDataFrame([(1, "aaa"), (2, "bbb"), (3, None)], "vec_id bigint, text string"), model, "vec_id")
+    assert [list(r.embedding) for r in docs.orderBy("vec_id").collect()] == [[3.0, 0.0], [0.0, 3.0], [0.0, 0.0]]
+    nodes = spark.createDataFrame([("r", "x/aa", 1.0)], "repo_id string, node_id string, score double")
+    got = R.graph_guided(nodes, "q", docs, model, 2).orderBy("rank").collect()
+    assert [(r.node_id, r.id) for r in got] == [("x/aa", 1), ("x/aa", 3)]
