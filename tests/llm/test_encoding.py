@@ -39,6 +39,14 @@ def test_twice_garbled():
     assert encoding.restore(bad)[0] == FR
 
 
+@pytest.mark.parametrize("layers", [3, 4, 6])
+def test_many_layers(layers):
+    bad = FR
+    for _ in range(layers):
+        bad = read_as(bad, "utf-8", "cp1252")
+    assert encoding.restore(bad)[0] == FR
+
+
 @pytest.mark.parametrize("text", [FR, RU, PL, ZH, KO, JA, "SEÇÃO DE CONFIGURAÇÃO: NÃO", "«РС» и «СССР»", "m³, x¹, ¿es?", "┌┬┐│└┴┘ ├──┤", '"Ã©": "é", "â€™": "’"', "cœur “fold” — 57 € § 4"])
 def test_right_text_is_untouched(text):
     assert encoding.restore(text) == (text, 0, None, False)
