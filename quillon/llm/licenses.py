@@ -18,6 +18,7 @@ split by adaptive skew handling. ``license_refs`` is a fixed table of wordings,
 
 from __future__ import annotations
 
+import functools
 import json
 import re
 from collections.abc import Callable, Iterator
@@ -29,6 +30,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from quillon.session import cut_lineage
+
 MAX_REFS = 2_000
 CLAUSES = 2
 
@@ -169,7 +172,7 @@ def statements(lines: list[str], match: Callable[[str], tuple[str | None, bool]]
 
 
 _MARK = re.compile(r"^\s*(?:(?://+[!]?|/?\*+/?|#+(?!include|!)|--|;+|<!--|\"\"\"|'''|=begin)\s?|(?=__license__))(.*?)\s*(?:\*/|-->|\"\"\"|''')?\s*$")
-_HINT = re.compile(r"(?i)licen[cs]|lizenz|spdx|govern|terms of|released under|licensed under|distributed under|under the")
+_HINT = re.compile(r"(?i)licen[cs]|lizenz|spdx|govern|terms|under|released|published|distributed|available|provided|offered|subject to")
 _WORD = re.compile(r"[^\W_]+")
 
 
@@ -209,7 +212,7 @@ class Wordings:
         self.titles = {words(title): i for i, title, _ in refs if title}
         self.clauses: dict[str, list[re.Pattern]] = {}
         self.grammars: list[tuple[str, re.Pattern]] = []
-        starts = set()
+        starts, self.telling = set(), set()
         for i, title, text in refs:
             parts = [x for x in _SENTENCE.split(text or "") if words(x)]
             if not parts:
@@ -218,6 +221,7 @@ class Wordings:
             self.clauses[i] = [re.compile(f" {c} ") for c in made]
             name = re.escape(words(title)) + " " if title else ""
             self.grammars.append((i, re.compile(f"(?:{name})?((?:(?:{'|'.join(sorted(made, key=len, reverse=True))})(?: |$))+)")))
+            self.telling |= {max(w, key=lambda x: (len(x), x)) for x in parts if (w := words(re.sub(r"<[^<>]*>|\[[^\[\]]*\]", " ", x)).split())}
             starts |= {tuple(words(re.split(r"[<\[]", x)[0]).split()[:2]) for x in parts} - {()}
         self.starts = {" ".join(x) for x in starts}
         self.started = re.compile("|".join(rf"\b{re.escape(x)}\b" for x in sorted(self.starts)) or r"(?!)")
@@ -228,9 +232,9 @@ class Wordings:
         out = [re.escape(words(p)) if k % 2 == 0 else r"\w+(?: \w+)*?" for k, p in enumerate(re.split(r"(<[^<>]+>|\[[^\[\]]+\])", text))]
         return " ".join(filter(None, out))
 
-    def hint(self) -> str:
-        """A pattern that any text with a clause matches, for a filter."""
-        return "|".join(sorted(x.replace(" ", r"\W+") for x in self.starts)) or r"\A\z"
+    def hints(self) -> list[str]:
+        """Words of which every text with a clause holds one, for a filter: the longest word of each clause."""
+        return sorted(self.telling)
 
     def comment(self, lines: list[str]) -> str | None:
         """The one license of which a paragraph holds nothing but clauses."""
@@ -343,18 +347,33 @@ _PLAIN = (".md", ".rst", ".txt", ".json", ".csv", ".html")
 _STATED = "file_id bigint, repo_id string, dir string, is_license boolean, is_root_statement boolean, stated array<string>"
 
 
+#: Lower-case words of which every statement by a template holds one.
+HINTS = ["licen", "lizenz", "spdx", "governed", "terms", "copyright", "under", "released", "published", "distributed", "available", "provided", "offered", "subject to"]
+
+
+def _finder(marks: list[str]):
+    """A test whether a text holds one of the marks without regard to case, in one pass."""
+    import ahocorasick
+
+    automaton = ahocorasick.Automaton()
+    for m in marks:
+        automaton.add_word(m, True)
+    automaton.make_automaton()
+    return lambda text: next(automaton.iter(text.lower()), None) is not None
+
+
 def stated(files: DataFrame, refs: DataFrame) -> DataFrame:
     """What every file states: file_id, repo_id, dir (null: unknown, '': root), is_license, is_root_statement, stated.
 
-    Files without any licensing word are settled in the JVM and get an empty array.
+    Files without any licensing word or word of a clause are settled by one pass of an automaton over their text.
     """
     rows = refs.select("license_id", "title", "reference_text").limit(MAX_REFS + 1).collect()
     if len(rows) > MAX_REFS:
         raise ValueError(f"license_refs has more than {MAX_REFS} rows")
-    known = sorted((r.license_id, r.title, r.reference_text) for r in rows if r.license_id)
-    hint = Wordings(known).hint()
+    known = sorted(((r.license_id, r.title, r.reference_text) for r in rows if r.license_id), key=lambda r: tuple(x or "" for x in r))
+    hints = [*HINTS, *Wordings(known).hints()]
 
-    def look(path: str | None, text: str | None, wordings: Wordings) -> tuple[bool, bool, list[str]]:
+    def look(path: str | None, text: str | None, wordings: Wordings, holds: Callable[[str], bool]) -> tuple[bool, bool, list[str]]:
         name = (path or "").rsplit("/", 1)[-1]
         low = name.lower()
         root = path is not None and "/" not in path
@@ -367,21 +386,22 @@ def stated(files: DataFrame, refs: DataFrame) -> DataFrame:
             return False, True, sorted(readme_license(text))
         if low.endswith(_PLAIN) or low.startswith("readme"):
             return False, False, []
-        return False, False, sorted(comment_licenses(text, wordings))
+        return False, False, sorted(comment_licenses(text, wordings)) if holds(text) else []
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        wordings = Wordings(known)
+        wordings, holds = Wordings(known), _finder(hints)
         for b in batches:
-            got = [look(p, t, wordings) for p, t in zip(b.column(3).to_pylist(), b.column(4).to_pylist())]
+            got = [look(p, t, wordings, holds) for p, t in zip(b.column(3).to_pylist(), b.column(4).to_pylist())]
             yield pa.RecordBatch.from_arrays(
                 [b.column(0), b.column(1), b.column(2), pa.array([g[0] for g in got], pa.bool_()), pa.array([g[1] for g in got], pa.bool_()), pa.array([g[2] for g in got], pa.list_(pa.string()))],
                 ["file_id", "repo_id", "dir", "is_license", "is_root_statement", "stated"],
             )
 
-    path, text = F.col("file_path"), F.col("raw_content")
+    path = F.col("file_path")
     base = files.select(
         F.col("file_id").cast("bigint").alias("file_id"), "repo_id", F.regexp_extract(path, r"^(.*)/[^/]*$", 1).alias("dir"), "file_path",
-        F.when(F.lower(path).rlike(r"(^|/)(un)?(licen[cs]e|copying)|(^|/)readme|\.(json|toml)$") | text.rlike(r"(?i)licen[cs]|lizenz|spdx|governed|terms|copyright|released under|" + hint), text).alias("raw_content"),
+        # Plain texts that are no license, manifest or readme state nothing, so theirs stay in the JVM.
+        F.when(F.lower(path).rlike(r"(^|/)(un)?(licen[cs]e|copying)|(^|/)readme|(^|/)(package\.json|pyproject\.toml|cargo\.toml)$") | ~F.lower(F.coalesce(path, F.lit(""))).rlike(r"\.(md|rst|txt|json|csv|html)$"), F.col("raw_content")).alias("raw_content"),
     )
     touched = base.where(F.col("raw_content").isNotNull()).mapInArrow(run, _STATED)
     rest = base.where(F.col("raw_content").isNull()).select(
@@ -397,7 +417,7 @@ def _settle(sets) -> F.Column:
 
 def resolve(files: DataFrame, repos: DataFrame, refs: DataFrame) -> DataFrame:
     """(scope, item, license) for every repository of repos and every row of files."""
-    facts = stated(files, refs).persist()
+    facts = cut_lineage(stated(files, refs))  # small rows, read several times
     per_repo = facts.where("is_root_statement").select("repo_id", F.explode("stated").alias("l")).distinct()
     repo_result = per_repo.groupBy("repo_id").agg(_settle(F.collect_set("l")).alias("repo_license"))
     repo_rows = repos.select("repo_id").distinct().join(repo_result, "repo_id", "left")
