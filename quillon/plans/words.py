@@ -67,13 +67,16 @@ def learning_objectives(spark: SparkSession, d: str) -> DataFrame:
     return f.groupBy(words.learning_objective(F.col("file_path"), F.col("file_path")).alias("objective")).agg(F.count("*").alias("n_files"))
 
 
+#: What somebody may have typed.
+TYPED = ["plumge", "tinfrme", "mosgrid", "orery", "fathom-lib"]
+
+
 def close_names(spark: SparkSession, d: str) -> DataFrame:
-    """T5: for every dependency the five closest names of its own repository above 30, a top-k report within a repository's few names."""
-    names = table(spark, d, "dependencies").where("repo_id is not null and name is not null").select("repo_id", "name").distinct()
-    pairs = names.alias("a").join(names.alias("b"), "repo_id").where("a.name <> b.name and substring(a.name, 1, 1) = substring(b.name, 1, 1)")
-    scored = pairs.select("repo_id", F.col("a.name").alias("name"), F.col("b.name").alias("other"), words.closeness(F.col("a.name"), F.col("b.name")).alias("score")).where("score > 30")
-    order = Window.partitionBy("repo_id", "name").orderBy(F.desc("score"), "other")
-    return scored.withColumn("rank", F.row_number().over(order).cast("bigint")).where("rank <= 5")
+    """T5: for each of a few typed words the five closest dependency names above 30, a top-k report; the words are constants, so every name is compared with each where it is."""
+    names = table(spark, d, "dependencies").where("name is not null").select("name").distinct()
+    scored = names.withColumn("typed", F.explode(F.array(*[F.lit(t) for t in TYPED]))).withColumn("score", words.closeness(F.col("typed"), F.col("name"))).where("score > 30")
+    order = Window.partitionBy("typed").orderBy(F.desc("score"), "name")
+    return scored.withColumn("rank", F.row_number().over(order).cast("bigint")).where("rank <= 5").select("typed", "name", "score", "rank")
 
 
 def recent_mentions(spark: SparkSession, d: str) -> DataFrame:
@@ -145,7 +148,7 @@ ORACLES = {
     "chunk_paths": "SELECT DISTINCT repo_id || '_' || file_path || '_' || pos AS id, file_path AS path FROM chunks WHERE repo_id IS NOT NULL AND file_path IS NOT NULL",
     "stored_repo_ids": "SELECT record_id, repo_id AS found FROM cortex_raw WHERE repo_id IS NOT NULL",
     "learning_objectives": "SELECT CASE WHEN regexp_matches(lower(file_path), 'service') THEN 'service' WHEN contains(lower(file_path), 'model') THEN 'model' WHEN regexp_matches(lower(file_path), 'controller|view') THEN 'handling' WHEN regexp_matches(lower(file_path), 'util|helper') THEN 'helpers' ELSE 'purpose' END AS objective, count(*) AS n_files FROM source_files WHERE file_path IS NOT NULL GROUP BY 1",
-    "close_names": "WITH n AS (SELECT DISTINCT repo_id, name FROM dependencies WHERE repo_id IS NOT NULL AND name IS NOT NULL), s AS (SELECT a.repo_id, a.name, b.name AS other, round(100 * (1 - levenshtein(a.name, b.name) / greatest(length(a.name), length(b.name))), 4) AS score FROM n a JOIN n b ON a.repo_id = b.repo_id AND a.name <> b.name AND a.name[1] = b.name[1]) SELECT *, row_number() OVER (PARTITION BY repo_id, name ORDER BY score DESC, other) AS rank FROM s WHERE score > 30 QUALIFY rank <= 5",
+    "close_names": f"WITH n AS (SELECT DISTINCT name FROM dependencies WHERE name IS NOT NULL), s AS (SELECT typed, name, round(100 * (1 - levenshtein(typed, name) / greatest(length(typed), length(name))), 4) AS score FROM n, (SELECT unnest([{', '.join(_q(t) for t in TYPED)}]) AS typed)) SELECT *, row_number() OVER (PARTITION BY typed ORDER BY score DESC, name) AS rank FROM s WHERE score > 30 QUALIFY rank <= 5",
     "recent_mentions": "SELECT source, row_number() OVER (PARTITION BY source ORDER BY created_at DESC, doc_id) AS rank, doc_id FROM documents WHERE created_at IS NOT NULL AND contains(lower(text), 'cache') QUALIFY rank <= 10",
     "merged_entities": r"WITH h AS (SELECT DISTINCT repo_id, name AS text FROM chunks WHERE name IS NOT NULL), m AS (SELECT DISTINCT repo_id, unnest(regexp_extract_all(raw_content, 'class\s+([A-Z]\w*)', 1)) AS text FROM source_files), a AS (SELECT repo_id, text, 'chunk' AS origin FROM h UNION ALL SELECT repo_id, text, 'text' FROM m WHERE NOT EXISTS (SELECT 1 FROM h WHERE h.repo_id = m.repo_id AND lower(h.text) = lower(m.text))) SELECT repo_id, origin, count(*) AS n, min(text) AS first, max(text) AS last FROM a GROUP BY 1, 2",
     "category_context": f"WITH {_HITS}, c AS (SELECT query_id, id, score, CASE WHEN id % 3 = 0 THEN 'docs' WHEN id % 3 = 1 THEN 'backend' ELSE 'styling' END AS category FROM h), n AS (SELECT query_id, category, count(*) AS n FROM c GROUP BY 1, 2), t AS (SELECT query_id, category, string_agg(CAST(id AS VARCHAR), ' ' ORDER BY score DESC, id) AS ids FROM (SELECT * FROM c QUALIFY row_number() OVER (PARTITION BY query_id, category ORDER BY score DESC, id) <= 10) GROUP BY 1, 2) SELECT n.query_id, row_number() OVER (PARTITION BY n.query_id ORDER BY n DESC, n.category) AS place, n.category, n, ids FROM n JOIN t ON t.query_id = n.query_id AND t.category = n.category",
