@@ -211,3 +211,7 @@ _Q = f"'{QUESTION}'"
 ORACLES["ranked_variants"] = f"WITH q AS ({ORACLES['question_variants']}), s AS (SELECT *, round(len(list_intersect({_TOK.format('variant')}, {_TOK.format(_Q)})) / len(list_distinct(list_concat({_TOK.format('variant')}, {_TOK.format(_Q)}))), 6) AS score FROM q) SELECT doc_id, row_number() OVER (PARTITION BY doc_id ORDER BY score DESC, place) - 1 AS place, variant, score FROM s"
 ORACLES["start_nodes"] = f"WITH {_HITS}, n AS (SELECT query_id, h.path, h.id, score, rank, name FROM h JOIN (SELECT doc_id, name FROM ({ORACLES['all_function_names'].replace('file_id', 'doc_id').replace('raw_content', 'text').replace('source_files', 'documents')})) x ON x.doc_id = h.id WHERE rank <= 10) SELECT query_id, name AS node, path, id, score AS confidence FROM n QUALIFY row_number() OVER (PARTITION BY query_id ORDER BY score DESC, id, name) = 1"
 ORACLES["question_concepts"] = "WITH w AS (SELECT doc_id, list_filter(regexp_split_to_array(lower(text), '[\\t-\\r ]+'), lambda t: t <> '') AS ws FROM documents WHERE text IS NOT NULL), p AS (SELECT doc_id, ws, unnest(range(1, len(ws) + 1)) AS i FROM w), c AS (SELECT doc_id, i, 0 AS k, CASE WHEN length(ws[i]) > 4 AND length(ws[i + 1]) > 3 THEN ws[i] || ' ' || ws[i + 1] END AS concept FROM p UNION ALL SELECT doc_id, i, 1, CASE WHEN length(ws[i]) > 4 THEN ws[i] END FROM p) SELECT doc_id, row_number() OVER (PARTITION BY doc_id ORDER BY i, k) - 1 AS place, concept FROM c WHERE concept IS NOT NULL QUALIFY place < 3"
+_NAMES = f"{_ENTS}, n AS (SELECT doc_id, list_sort(list(DISTINCT text)) AS names FROM en WHERE type = 'functions' GROUP BY 1)"
+_FORMS = [(1, 3, ["'implementation of ' || z", "z || ' definition'"]), (2, 2, ["'calls to ' || z", "z || ' dependencies'"]), (3, 2, ["'related to ' || z"])]
+ORACLES["hop_questions"] = f"WITH {_NAMES} SELECT doc_id, CAST(0 AS BIGINT) AS hop, '{QUESTION}' AS asked FROM n" + "".join(f" UNION ALL SELECT doc_id, {h}, array_to_string(flatten(list_transform(names[1:{m}], lambda z: [{', '.join(fs)}]))[1:5], ' | ') FROM n" for h, m, fs in _FORMS)
+ORACLES["search_context"] = f"WITH {_HITS}, t AS (SELECT h.*, coalesce(text, '') AS text FROM h JOIN documents ON doc_id = h.id), f AS (SELECT query_id, path, max(score) AS best, string_agg(text, chr(10) ORDER BY score DESC, id) AS body FROM (SELECT * FROM t QUALIFY row_number() OVER (PARTITION BY query_id, path ORDER BY score DESC, id) <= 5) GROUP BY 1, 2) SELECT query_id, string_agg('## ' || path || chr(10) || body, chr(10) || chr(10) ORDER BY best DESC, path) AS context FROM f GROUP BY 1"

@@ -62,3 +62,7 @@ ORACLES = {
     "complete_repositories": "SELECT DISTINCT repo_id FROM source_files WHERE repo_id IN (SELECT repo_id FROM blame) AND repo_id IN (SELECT repo_id FROM dependencies)",
     "crawl_times": "SELECT repo_id, CAST(epoch_us(try_cast(last_crawled_utc AS TIMESTAMPTZ)) AS VARCHAR) AS crawled_us, coalesce(regexp_matches(trim(last_crawled_utc), '(Z|[+-]\\d{2}:?\\d{2})$'), false) AS has_zone FROM repos",
 }
+_PYPROJECT = f"SELECT DISTINCT repo_id, regexp_extract(x, '^[A-Za-z0-9][A-Za-z0-9_.-]*') AS name, coalesce(nullif(regexp_extract(x, '[<>=!~^].*$'), ''), 'any') AS version, 'application' AS dependency_type, 'python' AS ecosystem FROM (SELECT repo_id, unnest(regexp_extract_all(regexp_extract(raw_content, '(?m)^dependencies = \\[([^\\]]*)\\]', 1), '\"([^\"]+)\"', 1)) AS x FROM source_files WHERE {_BASE} = 'pyproject.toml')"
+_SECTION = "regexp_extract(replace(raw_content, chr(13), ''), '(?s)\\[dependencies\\]\\n(.*)$', 1)"
+_CARGO = f"SELECT DISTINCT repo_id, name, version, 'application' AS dependency_type, 'rust' AS ecosystem FROM (SELECT repo_id, unnest(regexp_extract_all({_SECTION}, '(?m)^([A-Za-z0-9_-]+) = \"([^\"]*)\"', 1)) AS name, unnest(regexp_extract_all({_SECTION}, '(?m)^([A-Za-z0-9_-]+) = \"([^\"]*)\"', 2)) AS version FROM source_files WHERE {_BASE} = 'Cargo.toml')"
+ORACLES["manifest_dependencies"] = f"SELECT DISTINCT * FROM ({ORACLES['package_json_dependencies']} UNION ALL {_PYPROJECT} UNION ALL {_CARGO})"
