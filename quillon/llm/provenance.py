@@ -37,7 +37,7 @@ MADE_ROWS, MADE_EACH, MADE_LEAST = 3_000, 8, 300
 TREES, DEPTH, SEED = 24, 7, 7
 THRESHOLD, NOTICE = 0.5, 0.95
 #: Weight of a noticed body against an unlabelled one, weight of all made examples against all unlabelled bodies in the first and the second forest.
-KNOWN, MADE_PARTS, DOUBTFUL = 4.0, (6.0, 1.5), 0.5
+KNOWN, MADE_PARTS, DOUBTFUL = 5.0, (6.0, 1.5), 0.5
 #: Least rows of a leaf in either forest: a number, and a share of the unlabelled bodies.
 COARSE, FINE = (20, 0.01), (5, 0.0002)
 LEAST_BODIES = 10
@@ -137,19 +137,23 @@ def _minified(body: str, r: random.Random) -> str:
         return names[word]
 
     lines = [x.strip() for x in body.split("\n") if not _COMMENT_LINES.match(x)]
-    text = re.sub(r"\s*([^\w\s])\s*", r"\1", " ".join(filter(None, lines))) * r.choice([1, 1, 2, 4, 8])
+    text = re.sub(r"\s*([^\w\s])\s*", r"\1", " ".join(filter(None, lines)))
     if r.random() < 0.8:
         text = _WORDS.sub(short, text)
     # Bundles also hold constants: strings, numbers and small objects between the statements.
-    pieces = re.split(r"(?<=[;}])", text)
-    share = r.choice([0, 0.1, 0.3, 0.6])
+    pieces = re.split(r"(?<=[;}])", text) * r.choice([1, 1, 2, 4, 8])
+    share, shorts = r.choice([0, 0.1, 0.3, 0.6]), list(names.values()) or ["x"]
     for i in range(len(pieces)):
         if r.random() < share:
-            k = "".join(r.choice(letters) for _ in range(r.randint(1, 3)))
-            pieces[i] += r.choice([
-                f"var {k}={{{k}:\"{base64.b64encode(r.randbytes(r.randint(3, 30))).decode()}\",n:{r.randint(0, 999)}}};", f"var {k}=[{','.join(str(r.randint(0, 9999)) for _ in range(r.randint(2, 12)))}];",
-                f"function {k}(a,b){{return a*{r.randint(1, 99)}+b>{r.randint(1, 999)}?a:b}}", f"var {k}=function(o){{return o?o.{r.choice(list(names) or ['x'])}:null}};",
-            ])
+            k, kind = r.choice(shorts), r.randrange(4)
+            if kind == 0:
+                pieces[i] += f"var {k}={{{k}:\"{base64.b64encode(r.randbytes(r.randint(3, 30))).decode()}\",n:{r.randint(0, 999)}}};"
+            elif kind == 1:
+                pieces[i] += f"var {k}=[{','.join(map(str, r.choices(range(10_000), k=r.randint(2, 12))))}];"
+            elif kind == 2:
+                pieces[i] += f"function {k}(a,b){{return a*{r.randint(1, 99)}+b>{r.randint(1, 999)}?a:b}}"
+            else:
+                pieces[i] += f"var {k}=function(o){{return o?o.{r.choice(shorts)}:null}};"
     text = "".join(pieces)
     if r.random() < 0.25:
         width = r.choice([500, 1000, 4000])
@@ -298,14 +302,14 @@ def classify(files: DataFrame) -> DataFrame:
         train = bodies.where(F.col("made") | drawn)
         share_n = F.when(F.col("copied"), 1 / share[True]).otherwise(1 / share[False]) * F.col("n")
         weighted = lambda rows, part: rows.withColumn("w", F.when(F.col("made"), float(part * n_free / max(1, total("made", "bodies")))).when(F.col("label") > 0, KNOWN * share_n).otherwise(share_n))
-        forest = lambda depth, least: RandomForestClassifier(featuresCol="x", labelCol="label", weightCol="w", numTrees=TREES, maxDepth=depth, maxBins=64, minInstancesPerNode=max(least[0], int(least[1] * total('unlabelled', 'bodies') * share[False])), seed=SEED, featureSubsetStrategy="0.5", subsamplingRate=0.8)
+        forest = lambda depth, least, some: RandomForestClassifier(featuresCol="x", labelCol="label", weightCol="w", numTrees=TREES, maxDepth=depth, maxBins=64, minInstancesPerNode=max(least[0], int(least[1] * total('unlabelled', 'bodies') * share[False])), seed=SEED, featureSubsetStrategy=some, subsamplingRate=0.8)
         # The first forest is coarse, so that it cannot learn the single unlabelled cases by heart, and sees made cases only, which are never like hand-written bodies.
-        first = forest(4, COARSE).fit(weighted(train.where("made or label = 0"), MADE_PARTS[0]))
+        first = forest(4, COARSE, "0.5").fit(weighted(train.where("made or label = 0"), MADE_PARTS[0]))
         chance = vector_to_array("probability")[1]
         # Of bodies smaller than any made example the first forest knows nothing.
         small = vector_to_array("x")[FEATURES.index("log_size")] < math.log10(MADE_LEAST)
         sure = first.transform(train).where((F.col("label") > 0) | (chance < DOUBTFUL) | small).select("x", "label", "made", "n", "copied")
-        model = forest(DEPTH, FINE).fit(weighted(sure, MADE_PARTS[1]))
+        model = forest(DEPTH, FINE, "0.5").fit(weighted(sure, MADE_PARTS[1]))
         scored = model.transform(slim).select("file_id", "noticed", chance.alias("forest_score"))
     bodies.unpersist()
     rest = rows.where("not judged").select("file_id", "noticed", F.lit(0.0).alias("forest_score"))
