@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from quillon.operators import chunking, compose, edits, graph, retrieval
 from quillon.plans.graphs import linked_seeds
+from quillon.session import cut_lineage
 from quillon.sources.tables import table
 
 
@@ -26,7 +27,7 @@ def graph_context(spark: SparkSession, d: str) -> DataFrame:
 
 def guided_steps(spark: SparkSession, d: str) -> DataFrame:
     """Learning steps with the leading author of each file."""
-    e = _edges(spark, d)
+    e = cut_lineage(_edges(spark, d))
     return compose.steps_with_experts(graph.topological_levels(e, graph.neighbours(e, linked_seeds(e))), table(spark, d, "blame"))
 
 

@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quillon.operators import diffs, graph
+from quillon.session import cut_lineage
 from quillon.sources.tables import table
 
 
@@ -13,6 +14,11 @@ def _edges(spark: SparkSession, d: str) -> DataFrame:
     return graph.import_edges(table(spark, d, "source_files"))
 
 
+def _stored(spark: SparkSession, d: str) -> DataFrame:
+    """The edges, materialised for queries that read them several times, so that texts are read once."""
+    return cut_lineage(_edges(spark, d))
+
+
 def _seeds(spark: SparkSession, d: str) -> DataFrame:
     """The first path of every repository."""
     return table(spark, d, "source_files").groupBy("repo_id").agg(F.min("file_path").alias("seed"))
@@ -64,13 +70,13 @@ def one_hop(spark: SparkSession, d: str) -> DataFrame:
 
 def reachable_linked(spark: SparkSession, d: str) -> DataFrame:
     """Nodes within two edges of every file with imports."""
-    e = _edges(spark, d)
+    e = _stored(spark, d)
     return graph.reach(e, linked_seeds(e), 2, inclusive=True).withColumn("depth", F.col("depth").cast("bigint"))
 
 
 def blast_radius_linked(spark: SparkSession, d: str) -> DataFrame:
     """G5, G6, G7, U3 for every file with imports."""
-    e = _edges(spark, d)
+    e = _stored(spark, d)
     r = graph.blast_radius(e, linked_seeds(e))
     n = F.col("n_affected")
     return r.withColumn("impact", F.round(graph.impact_score(n), 6)).withColumn("suitability", F.round(graph.suitability(n), 4))
@@ -78,19 +84,19 @@ def blast_radius_linked(spark: SparkSession, d: str) -> DataFrame:
 
 def one_hop_linked(spark: SparkSession, d: str) -> DataFrame:
     """J12 around every file with imports."""
-    e = _edges(spark, d)
+    e = _stored(spark, d)
     return graph.neighbours(e, linked_seeds(e))
 
 
 def learning_order(spark: SparkSession, d: str) -> DataFrame:
     """Levels of the files with imports and their neighbourhood; cycles get none."""
-    e = _edges(spark, d)
+    e = _stored(spark, d)
     return graph.topological_levels(e, graph.neighbours(e, linked_seeds(e)))
 
 
 def call_traces(spark: SparkSession, d: str) -> DataFrame:
     """Walks from every file with imports, to the operator's own depth."""
-    e = _edges(spark, d)
+    e = _stored(spark, d)
     return graph.trace(e, linked_seeds(e))
 
 
@@ -115,7 +121,7 @@ def graph_difference(spark: SparkSession, d: str) -> DataFrame:
 
 def learning_levels(spark: SparkSession, d: str) -> DataFrame:
     """The files and modules that nothing imports, and those that only they import, for SQL to compare."""
-    e = _edges(spark, d)
+    e = _stored(spark, d)
     return graph.topological_levels(e, graph.neighbours(e, linked_seeds(e))).where("level <= 1").withColumn("level", F.col("level").cast("bigint"))
 
 
