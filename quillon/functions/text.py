@@ -68,12 +68,12 @@ def strip_fences(text: Column) -> Column:
     return F.trim(F.regexp_replace(F.regexp_replace(F.trim(text), r"^```[\w]*\s*\n?", ""), r"\n?```$", ""))
 
 
-def context_window(text: Column, needle: Column, around: int = 50) -> Column:
+def context_window(text: Column, needle: Column | str, around: int = 50) -> Column:
     """Text around the first occurrence; empty if there is none."""
-    at = F.instr(text, needle) if isinstance(needle, str) else F.expr("0")
-    at = F.locate(needle, text) if isinstance(needle, str) else F.call_function("locate", needle, text)
+    what = F.lit(needle) if isinstance(needle, str) else needle
+    at = F.call_function("locate", what, text)
     start = F.greatest(at - around, F.lit(1))
-    return F.when(at > 0, F.substring(text, start, at - start + F.length(needle) + around)).otherwise("")
+    return F.when(at > 0, F.substring(text, start, at - start + F.length(what) + around)).otherwise("")
 
 
 def version_core(version: Column) -> Column:

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -73,8 +74,6 @@ def planned_files(spark: SparkSession, d: str) -> DataFrame:
 
 def valid_tests(spark: SparkSession, d: str) -> DataFrame:
     """How many Python files would do as a test, per repository; they are parsed and never run."""
-    import pandas as pd
-
     @F.pandas_udf("boolean")
     def valid(texts: pd.Series) -> pd.Series:
         return texts.map(lambda t: edits.valid_test(t if isinstance(t, str) else ""))

@@ -123,19 +123,12 @@ def architecture_patterns(spark: SparkSession, d: str) -> DataFrame:
     return supply.architecture(_services(spark, d))
 
 
-def image_architecture(spark: SparkSession, d: str) -> DataFrame:
-    """A15 on the base images of Dockerfiles, comparable with SQL."""
-    from quillon.plans.sources import docker_images
-
-    return supply.architecture(docker_images(spark, d))
-
-
 def modernisation(spark: SparkSession, d: str) -> DataFrame:
     """A16."""
     return supply.modernisation(table(spark, d, "dependencies"), table(spark, d, "source_files"))
 
 
-QUERIES = {f.__name__: f for f in (risky_dependencies, health_dashboard, dashboard_advice, compatibility_scores, database_services, architecture_patterns, image_architecture, modernisation, dependency_summary, dependency_stats, dependency_filter, license_violations, license_health, dependency_compare, popular_dependencies, version_cores, advisory_ecosystems, vulnerable_dependencies, security_health, repository_metadata)}
+QUERIES = {f.__name__: f for f in (risky_dependencies, health_dashboard, dashboard_advice, compatibility_scores, database_services, architecture_patterns, modernisation, dependency_summary, dependency_stats, dependency_filter, license_violations, license_health, dependency_compare, popular_dependencies, version_cores, advisory_ecosystems, vulnerable_dependencies, security_health, repository_metadata)}
 
 _DEPS = "d AS (SELECT DISTINCT repo_id, name, coalesce(nullif(trim(version), ''), 'any') AS version, dependency_type, lower(ecosystem) AS ecosystem, nullif(trim(license), '') AS license, coalesce(deprecated, false) AS deprecated, version AS v0, ecosystem AS e0, license AS l0, deprecated AS d0 FROM dependencies)"
 _POLICY = "p(license, r) AS (VALUES " + ", ".join(f"('{k}', {dict(allow=1, restrict=2, deny=3)[v]})" for k, v in lookup.LICENSE_POLICY.items()) + ")"
