@@ -155,3 +155,5 @@ ORACLES = {
     "issue_radius": f"WITH {_E}, i AS (SELECT doc_id, repo_id, text FROM documents WHERE repo_id IS NOT NULL AND text IS NOT NULL), w AS (SELECT DISTINCT doc_id, repo_id, unnest(regexp_extract_all(lower(text), '([a-z]{{4,}})', 1)) AS stem FROM i), f AS (SELECT DISTINCT repo_id, file_path, lower({_STEM}) AS stem FROM source_files WHERE file_path IS NOT NULL), z AS (SELECT DISTINCT doc_id, repo_id, file_path FROM w JOIN f USING (repo_id, stem) QUALIFY dense_rank() OVER (PARTITION BY doc_id ORDER BY file_path) <= 3), r AS (SELECT doc_id, target AS node FROM z JOIN e ON e.repo_id = z.repo_id AND e.source = z.file_path UNION SELECT doc_id, source FROM z JOIN e ON e.repo_id = z.repo_id AND e.target = z.file_path UNION SELECT doc_id, file_path FROM z), y AS (SELECT doc_id, count(*) AS n FROM r GROUP BY 1) SELECT i.doc_id, coalesce(n, 1) AS radius, round(CASE WHEN n IS NULL THEN 95 ELSE 100 - least(n, 100) / 100 * 100 END, 4) AS suitability, CASE WHEN n IS NULL THEN true ELSE 100 - least(n, 100) > 70 END AS suits FROM i LEFT JOIN y ON y.doc_id = i.doc_id",
     "sources_by_language": "SELECT lang, count(*) AS n, array_to_string(list_sort(list(source)), ', ') AS sources FROM (SELECT DISTINCT lang, source FROM documents WHERE lang IS NOT NULL AND source IS NOT NULL) GROUP BY 1",
 }
+_CAMEL = "array_to_string(list_transform(string_split(stem, '_'), lambda x: upper(x[1]) || lower(x[2:])), '')"
+ORACLES["text_forms"] = rf"WITH f AS (SELECT DISTINCT file_path, {_STEM} AS stem, strpos(file_path, '/') AS p FROM source_files WHERE file_path IS NOT NULL), c AS (SELECT *, {_CAMEL} AS camel FROM f) SELECT file_path, camel, lower(regexp_replace(regexp_replace(camel, '(.)([A-Z][a-z]+)', '\1_\2', 'g'), '([a-z0-9])([A-Z])', '\1_\2', 'g')) AS snake, regexp_replace(trim(regexp_replace(lower(file_path), '[^a-z0-9\s-]', '', 'g')), '\s+', '-', 'g')[1:60] AS branch, '/' || stem || CASE WHEN regexp_matches(stem, '^\w+$') THEN '/{{' || stem || '}}' ELSE '/<str:' || stem || '>' END || '/{{id}}' AS template, CASE WHEN p > 0 THEN file_path[greatest(p - 5, 1):p + 5] ELSE '' END AS around FROM c"
