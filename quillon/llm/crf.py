@@ -1,7 +1,7 @@
 """A small linear-chain conditional random field on hashed features, in numpy.
 
 Every token has a fixed number K of feature slots. Training maximises the regularised log-likelihood with AdaGrad, the whole
-training set at once (sequences padded to one length); decoding is Viterbi. Training is deterministic.
+training set at once (all sequences' tokens of one place together); decoding is Viterbi. Training is deterministic.
 """
 
 import zlib
@@ -26,39 +26,36 @@ class Chain:
         self.start = np.zeros(labels) if start is None else start
 
     def fit(self, sequences: list[np.ndarray], targets: list[np.ndarray], rounds: int = 70, rate: float = 0.35, ridge: float = 1e-3) -> "Chain":
-        n, length, k = len(sequences), max(map(len, sequences)), sequences[0].shape[1]
-        x = np.zeros((n, length, k), dtype=np.int64)
-        y = np.zeros((n, length), dtype=np.int64)
-        mask = np.zeros((n, length), dtype=bool)
-        for i, (s, t) in enumerate(zip(sequences, targets)):
-            x[i, : len(s)], y[i, : len(t)], mask[i, : len(s)] = s, t, True
-        L = self.labels
-        real = x[mask]  # slots of real tokens only; padding costs nothing
+        n, L, k = len(sequences), self.labels, sequences[0].shape[1]
+        order = sorted(range(n), key=lambda i: -len(sequences[i]))
+        lengths = np.array([len(sequences[i]) for i in order])
+        active = [int((lengths > t).sum()) for t in range(lengths[0])]  # long sequences first: those that have a token t are a prefix
+        at = np.concatenate([[0], np.cumsum(active)])
+        blocks = [slice(at[t], at[t + 1]) for t in range(len(active))]
+        real = np.concatenate([np.stack([sequences[i][t] for i in order[:m]]) for t, m in enumerate(active)])  # tokens by their place in the sequence
+        y = np.concatenate([np.array([targets[i][t] for i in order[:m]]) for t, m in enumerate(active)])
         flat = real.reshape(-1)
+        gold = np.eye(L)[y].T
+        ends = at[lengths - 1] + np.arange(n)
+        owner = np.concatenate([np.arange(m) for m in active])
+        after = np.arange(active[0], len(y))  # every token but the first of its sequence, and the one before it
+        before = np.concatenate([np.arange(m) + at[t] for t, m in enumerate(active[1:])]) if len(after) else after
+        gold_move = gold[:, before] @ gold[:, after].T
         sums = [np.zeros_like(self.emit), np.zeros_like(self.move), np.zeros_like(self.start)]
-        gold = np.eye(L)[y] * mask[..., None]
         for _ in range(rounds):
-            score = np.zeros((n, length, L))
-            score[mask] = self.emit[real].sum(axis=1)
-            alpha = np.zeros((n, length, L))
-            beta = np.zeros((n, length, L))
-            alpha[:, 0] = self.start + score[:, 0]
-            for t in range(1, length):
-                step = _lse(alpha[:, t - 1, :, None] + self.move) + score[:, t]
-                alpha[:, t] = np.where(mask[:, t, None], step, alpha[:, t - 1])
-            for t in range(length - 2, -1, -1):
-                step = _lse((score[:, t + 1] + beta[:, t + 1])[:, :, None] + self.move.T)
-                beta[:, t] = np.where(mask[:, t + 1, None], step, 0)
-            total = _lse(alpha[:, -1][:, :, None])[:, 0]
-            node = np.exp(np.clip(alpha + beta - total[:, None, None], -50, 0)) * mask[..., None]
-            diff = gold - node
-            seen = diff[mask]
-            g_emit = np.stack([np.bincount(flat, weights=np.repeat(seen[:, c], k), minlength=DIM) for c in range(L)], axis=1)
-            both = mask[:, 1:]
-            pair = alpha[:, :-1, :, None] + self.move + (score + beta)[:, 1:, None, :] - total[:, None, None, None]
-            pair = np.exp(np.clip(pair, -50, 0)) * both[..., None, None]
-            g_move = np.einsum("nti,ntj->ij", gold[:, :-1] * both[..., None], gold[:, 1:]) - pair.sum(axis=(0, 1))
-            g_start = diff[:, 0].sum(axis=0)
+            score = np.ascontiguousarray(self.emit[real].sum(axis=1).T)
+            alpha, beta = score.copy(), np.zeros_like(score)
+            alpha[:, blocks[0]] += self.start[:, None]
+            for prev, block, m in zip(blocks, blocks[1:], active[1:]):
+                alpha[:, block] += _lse(alpha[:, prev][:, None, :m] + self.move[:, :, None])
+            for prev, block, m in reversed(list(zip(blocks, blocks[1:], active[1:]))):
+                beta[:, prev][:, :m] = _lse((score[:, block] + beta[:, block])[:, None] + self.move.T[:, :, None])
+            total = _lse(alpha[:, ends])[owner]
+            diff = gold - np.exp(np.clip(alpha + beta - total, -50, 0))
+            g_emit = np.stack([np.bincount(flat, weights=np.repeat(d, k), minlength=DIM) for d in diff], axis=1)
+            pair = alpha[:, None, before] + self.move[:, :, None] + (score + beta)[None, :, after] - total[after]
+            g_move = gold_move - np.exp(np.clip(pair, -50, 0)).sum(axis=2)
+            g_start = diff[:, blocks[0]].sum(axis=1)
             g_emit[0] = 0
             for w, g, s in zip((self.emit, self.move, self.start), (g_emit, g_move, g_start), sums):
                 g = g - ridge * n * w
@@ -85,6 +82,6 @@ class Chain:
 
 
 def _lse(a: np.ndarray) -> np.ndarray:
-    """log-sum-exp over axis 1 of (n, i, j)."""
-    top = a.max(axis=1)
-    return top + np.log(np.exp(a - top[:, None, :]).sum(axis=1))
+    """log-sum-exp over axis 0."""
+    top = a.max(axis=0)
+    return top + np.log(np.exp(a - top).sum(axis=0))

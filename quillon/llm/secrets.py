@@ -1,20 +1,22 @@
 """Credentials embedded in source code (problem 6).
 
-Method: lines that may hold a credential are cut into lexical tokens; a linear-chain conditional random field with shape and context
+Method: every line is cut into lexical tokens; a linear-chain conditional random field with shape and context
 features labels them O, B (a credential's value starts) or I (it goes on), and the Viterbi spans decide which literal characters are
 masked. The field is trained here on lines written by a generator (:func:`training_lines`), of a fixed number. An exact check then drops
-placeholders and references. A key block or certificate is one token of the field, from its BEGIN to its END. Lines of any length are decoded whole.
+placeholders and references. No line is left out before the field. A key block or certificate is one token of the field, from its BEGIN to its END. Lines of any length are decoded whole.
 
 Defined results: null and empty texts have none; lines end at ``\\n`` alone and count from 1; a key block counts at its first line; a value divided over
 several literals counts where it starts. Masking keeps the length, quotes and separators of every literal (a key block keeps its BEGIN and END
 lines), so the code around still parses. Texts are searched whole. Each row stands by itself, so repeated rows repeat their result;
 :func:`find` gives distinct (id, line) rows; extra columns are ignored.
 
-Scale: no shuffle but the distinct of the small result. Texts without a hint of a credential are left after one pass of an automaton. The model is a few hundred KB
+Scale: no shuffle but the distinct of the small result. Lines are scored many at once (:class:`Field`). The model is a few hundred KB
 of non-zero weights, fixed in size, sent with the closure.
 """
 
 import base64
+import hashlib
+import itertools
 import random
 import re
 from collections.abc import Iterator
@@ -28,7 +30,7 @@ from pyspark.sql import functions as F
 from quillon.llm.crf import Chain, slot
 
 K = 16
-N_TRAIN, SEED = 3_000, 11
+N_TRAIN, N_PLAIN, SEED = 7_000, 3_000, 11
 O, B, I = 0, 1, 2  # noqa: E741
 
 #: A key block or certificate from BEGIN to END, and a private key whose END is missing, up to its last line of text; either is one token.
@@ -37,47 +39,33 @@ _BLOCK = re.compile(
 )
 _PRIVATE = re.compile(r"-----BEGIN [A-Z0-9 ]*PRIVATE KEY(?: BLOCK)?-----")
 _FILLED = re.compile(r"-----BEGIN [A-Z0-9 ]+-----(?:\\n|[\s\"'+\\.])*[A-Za-z0-9+/=]{16}")
+#: Marks and short words stand first only because they are most of the tokens; no later alternative could begin there.
 _TOKEN = re.compile(
-    _BLOCK.pattern + r"|-----(?:BEGIN|END) [A-Z0-9 ]+-----|[A-Za-z][A-Za-z0-9+.-]*://|\$\{[^}\s]*\}|\$\([^)\s]*\)|\{\{[^}]*\}\}|<[^<>\s][^<>]{0,40}>|%\([^)]*\)s|(?:[A-Za-z0-9+/_-]{16,}={1,2}(?![\w=]))|[\w.+!$%^&*~/-]*\w[\w.+!$%^&*~/-]*[!*$%^&~]?|\S"
+    r"[()\[\];,=:\"'`}>|]|\w{1,15}+(?![\w.+!$%^&*~/-]|://)|"
+    + _BLOCK.pattern
+    + r"|-----(?:BEGIN|END) [A-Z0-9 ]+-----|[A-Za-z][A-Za-z0-9+.-]*+://|\$\{[^}\s]*\}|\$\([^)\s]*\)|\{\{[^}]*\}\}|<[^<>\s][^<>]{0,40}>|%\([^)]*\)s|(?:[A-Za-z0-9+/_-]{16,}+={1,2}(?![\w=]))|[.+!$%^&*~/-]*+\w[\w.+!$%^&*~/-]*+|\S"
 )
 #: Words that tell a credential's name, and words that tell that it is none (fixed values).
 SECRET_WORDS = set("password passwd pwd pass passphrase passcode pw secret token key apikey auth authtoken credential credentials cred creds pin kennwort passwort contrasena contraseña clave senha motdepasse passe mot signing private access bearer login authorization basic client dsn conn sshpass".split())
 DENY_WORDS = set("label field name names ref sha sha1 sha256 sha384 sha512 md5 hash digest checksum commit uuid guid integrity docs url public pub verify msg text mode id build version revision rule marks banner fingerprint path title hint message placeholder example endpoint host port user path header_name".split())
-_HINT_WORDS = "pass pwd secret token key cred auth bearer basic kennwort contrase senha clave pin _pw login account :// akia eyj".split()
-_LONG_LITERAL = re.compile(r"[\"'`][\w.+/=-]{20,}[\"'`]")
-
-
-@lru_cache(maxsize=1)
-def _hints():
-    import ahocorasick
-
-    auto = ahocorasick.Automaton()
-    for w in _HINT_WORDS:
-        auto.add_word(w, len(w))
-    auto.make_automaton()
-    return auto
-
-
-def _hint_spans(text: str) -> list[tuple[int, int]]:
-    """Places worth a look, in order: hint words in any case, and long literals."""
-    low = text.lower()
-    if len(low) != len(text):
-        low = "".join(c.lower() if len(c.lower()) == 1 else c for c in text)
-    out = [(end - n + 1, end + 1) for end, n in _hints().iter(low)]
-    out += [m.span() for m in _LONG_LITERAL.finditer(text)]
-    return sorted(out)
-
-
-#: A line is looked at if it also has a value: a quoted literal with a digit, a value after = or : or a word, with letters and digits.
-_QUOTED = re.compile(r"[\"'`](?=[^\"'`\n]{6,})[^\"'`\n]*\d|(?i:pass\w*|pwd|secret|token|key|kennwort|senha|clave)[\"']?\s*(?::\s*[&\w ]+)?[:=]>?\s*[\"'`][^\"'`\s]{6,}[\"'`]")
-_BARE = re.compile(r"(?<![\w.])(?=[^\s\"'`]*\d)(?=[^\s\"'`]*[A-Za-z])[^\s\"'`]{6,}|(?i:pass\w*|pwd|secret)\s*[:=]?\s*[^\s\"']{6,}")
-_COMMENT = re.compile(r"^\s*(?://|#|\*|/\*|--|;|<!--)|\s(?://|#)\s")
-_CODE = re.compile(r"(?i)\.(?:py|pyi|js|jsx|mjs|cjs|ts|tsx|java|go|cpp|cc|h|hpp|c|rs|rb|php|cs|kt|scala|swift|css|html)$")
 #: Values that stand for a credential without being one (fixed values).
 PLACEHOLDER = re.compile(
     r"(?i)^(?:x+|\*+|\.+|-+|0+|changeme\d*|change[_-]?me\d*|replace[_-]?me\d*|your[_-].*|my[_-](?:password|token|secret|key)|dummy\d*|example.*|sample|test|todo|none|null|nil|true|false|undefined|password\d{0,3}|secret|token|redacted|hidden|placeholder|fixme|foo|bar|default|empty|unset|<.*>|\$\{.*|\$\(.*|\{\{.*|%.*%|\$[A-Z_]+|!vault.*|vault:.*|ref\+.*|env[.:].*|os\.environ.*|process\.env.*|ENV\[.*|getenv.*|secrets?[./].*)$"
 )
 _UUID = re.compile(r"(?i)^[0-9a-f]{8}-[0-9a-f]{4}-[0-9a-f]{4}-[0-9a-f]{4}-[0-9a-f]{12}$")
+_HEX = re.compile(r"[0-9a-f]+|[0-9A-F]+")
+_AKIA = re.compile(r"AKIA[A-Z0-9]{12,}$|ASIA[A-Z0-9]{12,}$")
+_JWT = re.compile(r"eyJ[\w-]+\.[\w-]+\.[\w-]+$")
+_SRI = re.compile(r"sha(?:1|256|384|512)-")
+_IDENT = re.compile(r"[A-Za-z_][\w]*")
+#: A name of words with one short number or mark at its end, in one piece or with hyphens, or a name with a version in it.
+_NAMED = re.compile(r"_*(?:[A-Z]?[a-z]{2,}|[A-Z])(?:_?[A-Z]?[a-z]+|_[A-Z]+)*+(?:_?[A-Z]{0,2}\d{1,3}[A-Za-z]{0,2}|_[0-9a-f]{3,6})|[a-z]{2,}(?:-[a-z]{2,})+[-_][0-9a-z]{1,8}|[A-Z][A-Za-z]*-\d(?:\.\d)*(?:-[A-Za-z]+)*")
+_HOST = re.compile(r"[\w.-]+\.(?:example|com|org|net|io|internal|local|js|py|ts|h|go|rb|tgz|json)(?:/.*)?")
+_TAGGED = re.compile(r"[A-Za-z]{2,5}[._-](?:[a-z]{2,5}[._-])?[A-Za-z0-9]{16,}$")
+_PASSLIKE = re.compile(r"[A-Za-z]+[^\w]?[A-Za-z_]*\d+\w{0,2}[!*$%]?|[A-Za-z]+[-_+.!~$%^&*][A-Za-z]+[-_+.!~$%^&*]?\d+\S{0,3}")
+_ALNUM = re.compile(r"[A-Za-z0-9+/_=-]+")
+_PARTS = re.compile(r"[A-Z]+(?![a-zé])|[A-Z]?[a-zñé]+|\d+")
+_PATH = re.compile(r"[\w./-]+")
 
 
 def shape(t: str) -> str:
@@ -97,43 +85,45 @@ def shape(t: str) -> str:
         return "uuid"
     if t.isdigit():
         return "num"
-    low = t.islower() or not any(c.isupper() for c in t)
-    digits = sum(c.isdigit() for c in t)
-    letters = sum(c.isalpha() for c in t)
-    if re.fullmatch(r"[0-9a-f]+|[0-9A-F]+", t) and digits and letters and n >= 8:
+    low = t.islower() or not any(map(str.isupper, t))
+    digits = sum(map(str.isdigit, t))
+    letters = sum(map(str.isalpha, t))
+    if _HEX.fullmatch(t) and digits and letters and n >= 8:
         return f"hex{n}" if n in (32, 40, 56, 64, 96, 128) else "hex" if n < 128 else "hex blob"
-    if re.match(r"AKIA[A-Z0-9]{12,}$|ASIA[A-Z0-9]{12,}$", t):
+    if _AKIA.match(t):
         return "akia"
-    if re.match(r"eyJ[\w-]+\.[\w-]+\.[\w-]+$", t):
+    if _JWT.match(t):
         return "jwt"
-    if re.match(r"sha(?:1|256|384|512)-", t):
+    if _SRI.match(t):
         return "sri"
     if digits == 0 and letters == n:
         return "lower" if low else "UPPER" if t.isupper() else "Camel"
-    if re.fullmatch(r"[A-Za-z_][\w]*", t) and digits <= 2 and n < 22 and (low or t.isupper()):
+    if _IDENT.fullmatch(t) and digits <= 2 and n < 22 and (low or t.isupper()):
         return "ident"
-    if re.fullmatch(r"[\w.-]+\.(?:example|com|org|net|io|internal|local|js|py|ts|h|go|rb|tgz|json)(?:/.*)?", t):
+    if _HOST.fullmatch(t):
         return "host"
-    if re.match(r"[A-Za-z]{2,5}[._-](?:[a-z]{2,5}[._-])?[A-Za-z0-9]{16,}$", t) and digits and not low:
+    if n < 40 and _NAMED.fullmatch(t):
+        return "named"
+    if _TAGGED.match(t) and digits and not low:
         return "tagged"
-    if re.fullmatch(r"[A-Za-z]+[^\w]?[A-Za-z_]*\d+\w{0,2}[!*$%]?|[A-Za-z]+[-_+.!~$%^&*][A-Za-z]+[-_+.!~$%^&*]?\d+\S{0,3}", t) and digits >= 2 and n >= 8:
+    if _PASSLIKE.fullmatch(t) and digits >= 2 and n >= 8:
         return "passlike"
-    if digits and letters and not low and re.fullmatch(r"[A-Za-z0-9+/_=-]+", t):
+    if digits and letters and not low and _ALNUM.fullmatch(t):
         return "rand" + ("9" if n < 12 else "16" if n < 20 else "32" if n < 45 else "99")
-    if re.fullmatch(r"[\w./-]+", t) and "/" in t and digits <= 2:
+    if _PATH.fullmatch(t) and "/" in t and digits <= 2:
         return "path"
     if digits and letters and n >= 8:
         return "mixed"
     return "sym" if not letters else "word"
 
 
-@lru_cache(maxsize=200_000)
+@lru_cache(maxsize=20_000)
 def _facts(t: str) -> tuple[str, str, frozenset, str]:
     """(shape, lower-cased word or '', name parts, length bucket)."""
-    parts = frozenset(p.lower() for p in re.findall(r"[A-Z]+(?![a-zé])|[A-Z]?[a-zñé]+|\d+", t)) if len(t) < 40 else frozenset()
+    parts = frozenset(map(str.lower, _PARTS.findall(t))) if len(t) < 40 else frozenset()
     if len(t) < 40 and t.lower().replace("_", "").replace("-", "") in ("motdepasse", "apikey", "authtoken", "sshpass"):
         parts = parts | {"password"}
-    word = t.lower() if len(t) < 16 and not any(c.isdigit() for c in t) else ""
+    word = t.lower() if len(t) < 16 and not any(map(str.isdigit, t)) else ""
     n = len(t)
     return shape(t), word, parts, "0" if n < 4 else "1" if n < 8 else "2" if n < 14 else "3" if n < 24 else "4" if n < 60 else "5"
 
@@ -188,7 +178,7 @@ _DENY_PART = re.compile(r"sha\d|hash|digest|checksum|commit|uuid|label|integrity
 _SECRET_PART = re.compile(r"secret|passw|passphrase|pwd|token|apikey|signingkey|accesskey|privatekey|cred|kennwort|motdepasse|smtplogin|dbpass")
 
 
-@lru_cache(maxsize=100_000)
+@lru_cache(maxsize=20_000)
 def _kind(name: str) -> str:
     """secret, deny or none by the parts of a name."""
     parts, low = _facts(name)[2], name.lower().replace("_", "").replace("-", "")
@@ -228,6 +218,70 @@ def _harmless(r: random.Random) -> str:
     return r.choice(["changeme", "xxxx", "your-token", "REPLACE_ME", "dummy", "${API_TOKEN}", "<set in deploy>", "{{ token }}", "<your-key-here>", "xxxxxxxxxxxxxxxx", "!vault ref/river", "None", "x"])
 
 
+def _plain(r: random.Random) -> str:
+    """A line without a credential: common forms of programs, markup, data and prose."""
+    words = "item value count index user data list node file line result buffer queue page name size offset state event path row column table total next left right first last config option handler client server request response token key secret auth cell entry frame match model order point score stack target thread weight window cache".split()
+    one, d, pick = lambda: r.choice(words), lambda n=99: r.randint(0, n), lambda a, n: "".join(r.choice(a) for _ in range(n))
+    hexes, base = lambda n: pick("0123456789abcdef", n), lambda n: pick("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/", n)
+
+    def name() -> str:
+        parts = [one() for _ in range(r.choice([1, 1, 2, 2, 3]))]
+        style = r.randrange(4)
+        joined = "_".join(parts) if style == 0 else parts[0] + "".join(p.capitalize() for p in parts[1:]) if style < 3 else "".join(p.capitalize() for p in parts)
+        letter = lambda: r.choice("abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ")
+        return joined + r.choice(["", "", "", str(d()), f"_{d()}", f"_{d(9)}{letter()}", f"{letter()}{d()}", f"{letter()}{d()}{letter()}", f"{d()}{letter()}", letter() + letter() + letter(), f"_{hexes(r.choice([3, 4, 6]))}"])
+
+    n, m, k, indent, end, q = name(), name(), name(), r.choice(["", "  ", "    ", "\t"]), r.choice([";", ";", ""]), r.choice("\"\"'")
+    call = lambda: r.choice([f"{m}({k}, {d()})", f"{m}.{k}({d()})", f"{m}({k})", f"{m}.{k}({n})", f"{m}[{d()}]", f"{m}[{k}]", f"{m} {r.choice('+-*/%')} {d(999)}", f"{m} {r.choice('+-*/')} {k}", f"new {m}({k})", f"await {m}({k})", f"{m} ? {k} : {d()}", f"{m}.{k}", f"{m}::{k}({d()})", m])
+    text = lambda: r.choice([f"{one()} {one()} {one()}", f"{one()}-{one()}", f"{one()}/{one()}.{r.choice(['py', 'js', 'css', 'json', 'png', 'h'])}", f"%d {one()}", f"{one()}: {{}}", f"#{hexes(6)}", f"20{d():02}-{r.randint(1, 12):02}-{r.randint(1, 28):02}", f"{d(9)}.{d(30)}.{d(20)}", f"{one()}_{d()}", "application/json", "utf-8", f"/{one()}/v{d(9)}/{one()}", f"{one()} {one()}, {d()} {one()}.", f"v{d(9)}.{d(20)}.{d(9)}", n, f"{one()}-{hexes(4)}", f"{one()}.{one()}", r.choice(["MIT", "Apache-2.0", "BSD-2-Clause", "BSD-3-Clause", "GPL-3.0-or-later", "MPL-2.0"])])
+    kind = r.randrange(37)
+    if kind <= 5:
+        return indent + r.choice(["const ", "let ", "var ", "", "", "int ", "auto ", "final ", "val ", "local "]) + n + r.choice([" = ", " = ", " := ", " += ", ": int = ", ": number = "]) + call() + end
+    if kind <= 8:
+        return indent + r.choice(["if ({})", "if {}", "while ({})", "while {}", "elif {}", "}} else if ({})", "assert {}", "return {}"]).format(f"{n} {r.choice(['>', '<', '>=', '<=', '==', '!=', '===', '&&', '||', 'and', 'in'])} {r.choice([str(d(999)), m, call()])}") + r.choice([" {", ":", "", ";"])
+    if kind <= 10:
+        return indent + r.choice([f"for (const {n} of {m}) {{", f"for (int {n} = 0; {n} < {m}; {n}++) {{", f"for {n} in {m}:", f"for _, {n} := range {m} {{", f"for {n} in {m} {{", f"for (auto& {n} : {m}) {{", f"for (let {n} = {d()}; {n} < {m}.length; {n} += 1) {{", f"{m}.each do |{n}|", f"foreach (${m} as ${n}) {{"])
+    if kind <= 12:
+        return indent + r.choice([f"def {n}({m}, {k}={d()}):", f"function {n}({m}, {k}) {{", f"func {n}({m} int, {k} string) ({one()}, error) {{", f"fn {n}({m}: &str, {k}: u{r.choice([8, 32, 64])}) -> {one()} {{", f"public static void {n}(int {m}, String {k}) {{", f"void {n}(const char* {m}, int {k});", f"class {n} extends {m} {{", f"struct {n} {{", f"static const unsigned char {n}[] = {{", f"const {n} = ({m}, {k}) => {call()};", f"int {n}[{d(999)}] = {{", f"type {n} struct {{"])
+    if kind <= 14:
+        return r.choice([f"import {n} from {q}./{m}{q};", f"from {one()}.{n} import {m}, {k}", f"#include \"{n}.h\"", f"use {one()}::{n}::{m};", f"package {one()}.{one()}.{n};", f"import {one()}.{one()}.{n};", f"const {n} = require({q}./{m}{q});", f"export {{ {n}, {m} }};", f"require_once {q}{n}.php{q};", f"using {n};"])
+    if kind <= 16:
+        return indent + r.choice([f"return {call()}{end}", f"{n}({m}, {q}{text()}{q}){end}", f"{n}.{m}({q}{text()}{q}, {k}){end}", f"printf(\"{text()}\\n\", {n});", f"throw new Error({q}{text()}{q});", f"raise ValueError(f{q}{text()} {{{n}}}{q})", f"{n}.push({m});", f"{n}.{m}.{k}()", f"yield {n}", f"delete {n}[{m}];", f"{n}++;", f"case {d()}: return {n};", f"expect({n}({d()})).toBe({m});"])
+    if kind <= 18:
+        return indent + r.choice(["const ", "", "var ", "static const char* "]) + n + r.choice([" = ", ": ", "="]) + q + text() + q + end
+    if kind == 19:
+        return indent + f"{q}{one()}{q}: " + r.choice([f"{q}{text()}{q}", str(d(9999)), "true", "null", f"[{d()}, {d()}]", "{"]) + ","
+    if kind == 20:
+        return r.choice([f"  \"resolved\": \"https://{one()}.example/{one()}/-/{one()}-{d(9)}.{d(9)}.{d(9)}.tgz\",", f"  \"integrity\": \"sha512-{base(86)}==\",", f"{one()}=={d(9)}.{d(20)}.{d(9)}", f"  \"{one()}-{one()}\": \"^{d(9)}.{d(20)}.{d(9)}\",", f"{one()} v{d(9)}.{d(9)}.{d(9)} h1:{base(43)}=", f"implementation '{one()}.{one()}:{one()}:{d(9)}.{d(9)}'"])
+    if kind <= 22:
+        return r.choice(["# ", "// ", " * ", "-- ", "", "/* "]) + r.choice([f"SPDX-License-Identifier: {r.choice(['MIT', 'BSD-2-Clause', 'BSD-3-Clause', 'GPL-2.0-only', 'LGPL-2.1-or-later', 'MPL-2.0', 'ISC'])}", f"License: {r.choice(['MIT', 'BSD-3-Clause', 'Apache-2.0', 'MPL-2.0'])}", f"Copyright (c) 20{d():02} {one().capitalize()} {one().capitalize()}", f"TODO: move {n} to {m}", f"See https://{one()}.example/{one()}/{d(9999)}#L{d()}", f"{one().capitalize()} the {one()} before {d()} {one()}s are {one()}ed.", f"{n}: the {one()} of {m}, in {one()}s", f"@param {n} the {one()} {one()}", f"{one()} {d()}% of {n}, see {m}()", f"{d()}.{d(9)} - {one()} {one()} ({n})", f"=== {one()} {one()} ===", f"Generated on 20{d():02}-0{r.randint(1, 9)}-{r.randint(10, 28)} {r.randint(10, 23)}:{r.randint(10, 59)}"])
+    if kind == 23:
+        return indent + r.choice([f"<{one()} class=\"{one()}-{d()}\" id=\"{n}\">", f"<a href=\"/{one()}/{n}\">{one()}</a>", f".{one()}-{d()} {{ color: #{hexes(6)}; width: {d()}px; }}", f"<p>{one()} {one()} {d()}</p>", f"</{one()}>", f"@media (min-width: {d(999)}px) {{"])
+    if kind == 24:
+        return indent + ", ".join(r.choice([f"0x{hexes(2)}", str(d(255)), f"{d()}.{d(9999)}", f"-{d()}"]) for _ in range(r.randint(3, 12))) + ","
+    if kind == 25:
+        return indent + r.choice([q + base(r.choice([60, 64, 76])) + q + r.choice([",", " +", ""]), base(r.choice([64, 76])), hexes(64), f"b'{hexes(40)}'", "\\x" + "\\x".join(hexes(2) for _ in range(8)), f"[{d()}, \"{one()}\", \"{hexes(8)}\"],", f"({d()}, '{one()}', '{hexes(12)}', {d(9)}.{d()}),", f"{one()},{d()},{hexes(8)},{d(9)}.{d()}"])
+    if kind == 26:
+        return r.choice([f"SELECT {n}, {m} FROM {k} WHERE {n} = {d()};", f"CREATE TABLE {n} ({m} BIGINT, {k} VARCHAR({d()}));", f"INSERT INTO {n} VALUES ({d()}, '{text()}');", f"ALTER TABLE {n} ADD COLUMN {m} TEXT;"])
+    if kind == 27:
+        return r.choice([f"- {n}: {m}", f"{n}: {d(9999)}", f"  - {one()}-{d()}", f"  image: {one()}/{one()}:{d(9)}.{d(9)}", f"{n}: {text()}", f"[{one()}.{n}]", f"{n} = {text()}", f"RUN {one()} --{one()}={d()} {n}", f"EXPOSE {d(9999)}", f"COPY {n} /{one()}/{m}", f"{n}: {m} {k}", f"\t$({n.upper()}) -o {m} {k}.c", f"export {n.upper()}={d()}", f"#define {n.upper()} {d(9999)}", f"## {one().capitalize()} {d()}", f"| {one()} | {d()} | {n} |"])
+    if kind == 28:
+        return ";".join(r.choice([f"var {pick('abcdefgh', 1)}{d()}={call()}", f"{pick('abcdefgh', 2)}.{one()}=function({pick('abc', 1)},{pick('def', 1)}){{return {pick('abc', 1)}{d()}+{d()}}}", f"if({n}){{{m}({k})}}", f"{n}({{{one()}:{d()},{one()}:\"{text()}\"}})"]) for _ in range(r.randint(2, 6)))
+    if kind == 29:
+        return indent + r.choice(["{", "}", "});", "],", ")", "else:", "try {", "end", "pass", "break;", '"""', "/**", "*/", "---", "...", "<?php", "@Override", f"@{n}", f"}} // {n}", f"{n},", f"{n}: {m},", f"{n} = {m},", f"&{n},", f"*{n} = {m};"])
+    if kind == 30:
+        return f"{one().capitalize()} {one()} {r.choice(['of', 'and', 'with', 'for'])} {r.choice(['the', 'a', 'each'])} {one()}{r.choice([',', '', ';'])} {r.choice(['when', 'until', 'because', 'so'])} {d()} {one()}s {r.choice(['are', 'were'])} {one()}ed{r.choice(['.', ':', '', ', see ' + n + '.'])}"
+    if kind == 31:
+        return f"{n} {r.choice(['=', '=>', ':', '->', '<-'])} {{ {one()}: {r.choice([q + text() + q, str(d(999)), m])}, {one()}: {r.choice([q + text() + q, str(d(999)), k])} }}{end}"
+    if kind == 32:
+        return indent + r.choice([f"{q}{n}{q}: {m},", f"{m}[{q}{n}{q}] = {k}{end}", f"{m}.get({q}{n}{q}, {d()})", f"assert {m}({q}{text()}{q}) == {q}{text()}{q}", f"{n}={q}{text()}{q} {m}={q}{d()}{q}", f"`{text()} ${{{n}}}`", f"{q}{text()}{q},"])
+    if kind == 33:
+        return indent + r.choice([f"{q}license{q}: {q}{{}}{q}", f"license = {q}{{}}{q}", f"__license__ = {q}{{}}{q}", f"license: {{}}", f"license=({q}{{}}{q})"]).replace("{}", r.choice(["MIT", "Apache-2.0", "BSD-2-Clause", "BSD-3-Clause", "GPL-3.0-or-later", "MPL-2.0", "EPL-2.0", "LGPL-2.1-only"])) + r.choice(["", ",", ""])
+    if kind <= 35:
+        return indent + r.choice([f"{one().capitalize()}::{m}({q}/{one()}/{one()}{q}, {q}{n}{q}){end}", f"{m}({q}{n}{q}, {q}{k}{q}){end}", f"{m}.on({q}{one()}{q}, {q}{n}{q});", f"${n}->{m}({q}{k}{q}){end}", f"[{q}{n}{q}, {q}{m}{q}],", f"{n} = {q}{m}{q}{end}", f"@{one()}({q}{n}{q})"])
+    return indent + f"{n}{r.choice([' ', '.', '(', ' = ', ', ', ' -> ', '::', '['])}{m}{r.choice([' ', ')', '', ';', ', ', ']'])}{r.choice(['', k, str(d())])}"
+
+
 def training_lines(without: frozenset[int] = frozenset()) -> list[tuple[str, list[tuple[int, int]]]]:
     """Lines with the character spans of their values; the generator's words are its own. Forms in ``without`` are held out, to measure the field on forms it has not seen."""
     r = random.Random(SEED)
@@ -276,8 +330,8 @@ def training_lines(without: frozenset[int] = frozenset()) -> list[tuple[str, lis
         elif kind == 12:
             put(f"//{host}/:_authToken=", v)
         elif kind == 13:
-            if r.random() < 0.3:
-                put(r.choice(["# try: ", "", "// "]), f"curl -u {user}:", v, f" https://{host}/{noun()}")
+            if r.random() < 0.6:
+                put(r.choice(["# try: ", "", "// "]), f"curl {r.choice(['-u', '-u', '--user', '-s -u'])} {user}:", r.choice([v, (rand(r.choice([10, 12, 14])).replace("+", "x").replace("/", "y"),)]), f" https://{host}/{noun()}")
             else:
                 put('curl -H "', r.choice(["X-Key", "X-Api-Key", "X-Auth-Token"]), ": ", v, f'" https://{host}/{noun()}')
         elif kind == 14:
@@ -291,7 +345,8 @@ def training_lines(without: frozenset[int] = frozenset()) -> list[tuple[str, lis
         elif kind == 18:
             put(decl(r.choice(["auth_line", "authLine", "AUTH_LINE", "header"])), q, "Basic ", (base64.b64encode(f"{user}:{_value(r)[:20]}".encode()).decode(),), q, end)
         elif kind == 19:
-            put(r.choice(["# ", "// ", "; "]), r.choice([f"account {user}, passphrase ", f"use password ", f"{noun()} login is {user} / ", f"login for the demo: {user} / ", f"old token was ", f"pw: ", f"{user} has the password ", f"sign in with {user} / "]), (_value(r) if r.random() < 0.4 else noun().capitalize() + r.choice("!-_+.") + noun() + str(r.randint(100, 9999)) + r.choice(["", "!", "_x", "Q"]),))
+            named = f"{r.choice(['user', 'login', 'account', 'log in as', ''])} {user}{r.choice([',', ' /', ':', ' and', ''])} {r.choice(['password', 'pass', 'pw', 'pwd', 'passphrase', 'secret'])}{r.choice(['', '', ':', ' is'])} "
+            put(r.choice(["# ", "// ", "; "]), named if r.random() < 0.5 else r.choice([f"account {user}, passphrase ", f"use password ", f"{noun()} login is {user} / ", f"login for the demo: {user} / ", f"old token was ", f"pw: ", f"{user} has the password ", f"sign in with {user} / "]), (_value(r) if r.random() < 0.4 else noun().capitalize() + r.choice("!-_+.") + noun() + str(r.randint(100, 9999)) + r.choice(["", "!", "_x", "Q"]),))
         elif kind == 20:
             put("  ", r.choice(["token", "password", "pin", "key", "secret"]), ": ", (base64.b64encode((noun().capitalize() + r.choice("!-_+.") + noun() + str(r.randint(10, 9999))).encode()).decode(),))
         elif kind == 21:
@@ -332,7 +387,8 @@ def training_lines(without: frozenset[int] = frozenset()) -> list[tuple[str, lis
             put(r.choice(["# ", "// ", " * "]), r.choice([f"Version {r.randint(1, 99)}.{r.randint(1, 99)} lets you wrap the token without a key.", f"The token was rolled back at {r.randint(1, 59)}:{r.randint(10, 99)} because the {noun()} stayed.", f"With {r.randint(1, 99)} workers the token and the key finish {r.randint(1, 99)} percent sooner.", f"{noun()}lib v{r.randint(1, 9)}.{r.randint(1, 30)}.{r.randint(1, 9)}", f"(c) the {noun()}-ui contributors, https://{noun()}.example", f"Call sample_{noun()} only when the token is stale."]))
         else:
             put(r.choice([f"const {noun()}N{r.randint(1, 9)}e = {noun()}Token({noun()}N{r.randint(1, 9)}b, {r.randint(1, 99)});", f'app.get("/api/{noun()}/v{r.randint(1, 9)}/load", {noun()}Token);', f"  name: {noun()}-{r.randint(1, 99)}a", f"user={user}", f"  host: {host}", f"PORT={r.randint(1000, 9999)}", f"FROM base-{noun()}:{r.randint(1, 20)}", f"token_{r.randint(1, 9)}g = {noun()}.{noun()}"]))
-    return out
+    r = random.Random(SEED + 1)
+    return out + [(_plain(r), []) for _ in range(N_PLAIN)]
 
 
 def _label(text: str, spans: list[tuple[int, int]]) -> tuple[list[str], np.ndarray]:
@@ -397,19 +453,259 @@ def _short(token: str) -> str:
     return token if len(token) <= 4_000 else token[:2_000] + token[-2_000:]
 
 
-PIECE = 4_096
-
-
-def _values(line: str, has_block: bool, chain: Chain, code: bool) -> list[tuple[int, int]]:
-    """Values in one line, whole; key blocks make the lines that they cover one."""
-    bare = not code or _COMMENT.search(line)
-    if not (has_block or _QUOTED.search(line) or bare and _BARE.search(line)):
-        return []
+_QUOTES, _TYPES = {'"': 1, "'": 2, "`": 3}, ("str", "string", "char", "static")
+_KINDS, _HEADERS = ("-", "secret", "deny", "both", "none"), ("", "bearer", "basic")
+CHUNK, MEMO, SLOTS = 100_000, 150_000, 1 << 18
+
+
+class _Numbers(dict):
+    """Classes of the tokens met so far; others are asked of the field."""
+
+    def __init__(self, ask) -> None:
+        self.ask = ask
+
+    def __missing__(self, t: str) -> int:
+        return self.ask(t)
+
+
+class Field:
+    """The field over many lines at once: the scores of :func:`features` without a call per token, and the best labels.
+
+    Tokens are numbered by what the features see of them; groups of features are looked up by such numbers in tables of ``SLOTS`` places, where a later
+    key takes an earlier one's place, and computed if they are not there. The numbers start anew beyond ``MEMO`` tokens, so memory is bounded and results do not change.
+    """
+
+    def __init__(self, chain: Chain) -> None:
+        self.chain = chain
+        move, start = chain.move, chain.start
+        left, right = np.vstack([move, start]), np.hstack([move, np.zeros((3, 1))])  # also the two ends of a line
+        self.sure = [max(left[a, y] + right[y, b] - left[a, O] - right[O, b] for a in range(4) for b in range(4)) for y in (B, I)]
+        self.steps = [[float(x) for x in row] for row in move]
+        self.clear()
+
+    def clear(self) -> None:
+        self.classes: dict[tuple, int] = {}
+        self.known = _Numbers(self._token)
+        self.strings: list[str] = []
+        self.number: dict[str, int] = {}
+        self.rows: list[tuple] = []
+        self.table, self.filled = np.zeros((14, 1_024), dtype=np.int64), 0
+        self.own = np.zeros((1_024, 3))
+        self.memo = [(np.full(SLOTS, -1, dtype=np.int64), np.zeros((SLOTS, 3))) for _ in range(5)]
+        self.bos = self._class(("^", "", "0", "none", "^", "^", "^", 0, 0, False, False, False, False, 0))
+        self.eos = self._class(("$", "", "0", "none", "$", "$", "$", 0, 0, False, False, False, False, 0))
+
+    def _str(self, s: str) -> int:
+        n = self.number.get(s)
+        if n is None:
+            n = self.number[s] = len(self.strings)
+            self.strings.append(s)
+        return n
+
+    def _class(self, c: tuple) -> int:
+        n = self.classes.get(c)
+        if n is None:
+            n = self.classes[c] = len(self.rows)
+            sh, word, z, kind, sep, two, nx, *flags = c
+            self.rows.append((self._str(sh), self._str(word), int(z), _KINDS.index(kind), self._str(sep), self._str(two), self._str(nx), *map(int, flags)))
+        return n
+
+    def _token(self, t: str) -> int:
+        """The class of a token not met before."""
+        s = _short(t)
+        sh, word, _, z = _facts(s)
+        n, one = len(s), len(s) == 1
+        event = 1 if s in ("=", ":") else 2 if s == ">" else 3 if s == ";" else 0
+        header = _HEADERS.index(word) if word in ("bearer", "basic") else 0
+        c = self._class((sh, word, z, _kind.__wrapped__(s), s if one else "w", s if n < 12 else "#", s if one else sh, _QUOTES.get(s, 0), event, n > 1 and s not in _TYPES, s.endswith("://"), sh == "host", n > 2, header))
+        if n < 64:
+            self.known[t] = c
+        return c
+
+    def _sync(self) -> None:
+        """Rows of the classes met since the last time."""
+        n = len(self.rows)
+        if n > len(self.own):
+            self.table = np.hstack([self.table, np.zeros((14, 2 * n - len(self.own)), dtype=np.int64)])
+            self.own = np.vstack([self.own, np.zeros((2 * n - len(self.own), 3))])
+        if n > self.filled:
+            new = np.array(self.rows[self.filled :], dtype=np.int64)
+            self.table[:, self.filled : n] = new.T
+            words = [self.strings[w] for w in new[:, 1].tolist()]
+            self.own[self.filled : n] = self.chain.emit[[slot(f"w={w}" if w else "w=#") for w in words]]
+            self.filled = n
+
+    def _look_up(self, which: int, key: np.ndarray, parts: tuple, names) -> np.ndarray:
+        """Sums of the features that ``names`` gives for the parts, which the key stands for."""
+        keys, rows = self.memo[which]
+        at = (key ^ (key >> 17) ^ (key >> 37)) * 0x9E3779B1 >> 7 & SLOTS - 1
+        out = rows[at]
+        lost = np.flatnonzero(keys[at] != key)
+        if len(lost):
+            uniq, first, inverse = np.unique(key[lost], return_index=True, return_inverse=True)
+            slots = [slot(f) for p in zip(*(p[lost[first]].tolist() for p in parts)) for f in names(*p)]
+            new = self.chain.emit[np.array(slots).reshape(len(uniq), -1)].sum(axis=1)
+            out[lost] = new[inverse]
+            places = at[lost[first]]
+            keys[places] = -1  # of keys that share a place, one is kept whole
+            _, kept = np.unique(places, return_index=True)
+            keys[places[kept]], rows[places[kept]] = uniq[kept], new[kept]
+        return out
+
+    def scores(self, lines: list[list[str]]) -> np.ndarray:
+        """(tokens, labels) of the lines one after the other; every line stands for itself."""
+        if max(len(self.classes), len(self.known)) > MEMO:
+            self.clear()
+        ids = np.array(list(map(self.known.__getitem__, itertools.chain.from_iterable(lines))))
+        self._sync()
+        if len(self.strings) >= 1 << 20:  # beyond the numbers that keys can hold
+            return np.concatenate([self.chain.emit[x].sum(axis=1) for line in lines for x in features(list(map(_short, line)), 4_096)])
+        n = len(ids)
+        sizes = np.array([len(line) for line in lines])
+        stop = np.cumsum(sizes)
+        begin = stop - sizes
+        here = np.arange(n)
+        head = np.repeat(begin, sizes)
+
+        def shift(k: int) -> np.ndarray:
+            x = np.full(n, self.bos)
+            x[k:] = ids[:-k] if k < n else []
+            x[here - k < head] = self.bos
+            return x
+
+        table = self.table
+        p1, p2 = shift(1), shift(2)
+        nx = np.full(n, self.eos)
+        nx[:-1] = ids[1:]
+        nx[stop - 1] = self.eos
+        sh, z, sep, two, sn = table[0][ids], table[2][ids], table[4][p1], table[5][p2], table[6][nx]
+
+        def last(mask: np.ndarray) -> np.ndarray:
+            """The last place to the left (not here) where the mask holds, -1 if none on the line."""
+            x = np.full(n, -1)
+            x[1:] = np.maximum.accumulate(np.where(mask[:-1], here[:-1], -1))
+            x[x < head] = -1
+            return x
+
+        marks = table[7][ids]
+        turn = np.zeros(n + 1, dtype=np.int64)
+        at = np.flatnonzero(marks)
+        mark, end = 0, 0  # the open quote, and where its line ends
+        for i, m, e in zip(at.tolist(), marks[at].tolist(), np.repeat(stop, sizes)[at].tolist()):
+            if e != end:
+                if mark:
+                    turn[end] -= 1
+                mark, end = 0, e
+            if mark == m:
+                mark = 0
+                turn[i + 1] -= 1
+            elif not mark:
+                mark = m
+                turn[i + 1] += 1
+        if mark:
+            turn[end] -= 1
+        q = np.cumsum(turn)[:-1]
+
+        event = table[8][ids]
+        name = last(table[9][ids] == 1)
+        near = (name >= 0) & (name >= here - 7)
+        named = ((event == 1) | (event == 2) & (p1 == self.known.get("=", -1))) & near
+        named &= (table[10][ids[name]] == 0) & (table[11][p1] == 0)
+        reset = (event == 3) & (q == 0)
+        value = np.where(named, table[3][ids[name]], 0)
+        e = last(named | reset)
+        k = np.where(e >= 0, value[e], 0)
+        e = last(table[12][ids] == 1)
+        pk = np.where((e >= 0) & (e >= here - 3), table[3][ids[e]], 4)
+        hd = url = np.zeros(n, dtype=np.int64)
+        if (mask := table[13][ids] > 0).any():
+            e = last(mask)
+            hd = np.where(e >= 0, table[13][ids[e]], 0)
+        if (mask := sh == self.number.get("scheme", -1)).any():
+            e = last(mask)
+            url = np.where((e >= 0) & (here - e <= 6), here - e, 0)
+
+        S, K, Q, H = self.strings, _KINDS, "-q", _HEADERS
+        out = self.own[ids].copy()
+        out += self._look_up(0, (((((sh * 5 + k) * 2 + q) * 5 + pk) * 6 + z) * 3 + hd), (sh, k, q, pk, z, hd), lambda s, k, q, pk, z, hd: [f"s={S[s]}", f"s={S[s]}|k={K[k]}", f"s={S[s]}|k={K[k]}|{Q[q]}", f"s={S[s]}|pk={K[pk]}", f"s={S[s]}|z={z}|{Q[q]}", f"hd={H[hd]}|s={S[s]}", f"k={K[k]}|z={z}|s={S[s]}", "bias"])
+        near_key = (sep << 40) + (sn << 20) + sh
+        out += self._look_up(1, near_key * 8 + url, (sep, sn, sh, url), lambda p, x, s, u: [f"p1={S[p]}|s={S[s]}", f"nx={S[x]}|s={S[s]}|{S[p]}", f"url={u}|{S[p]}|{S[x] if len(S[x]) == 1 else 'w'}|s={S[s]}"])
+        w1, s1 = table[1][p1], table[0][p1]
+        out += self._look_up(2, (w1 << 40) + (s1 << 20) + sh, (w1, s1, sh), lambda w, p, s: [f"w1={S[w]}|s={S[s]}", f"s1={S[p]}|s={S[s]}"])
+        out += self._look_up(3, (two << 40) + (sep << 20) + sh, (two, sep, sh), lambda t, p, s: [f"p2={S[t]}|{S[p]}|s={S[s]}"])
+        out += self._look_up(4, ((q * 5 + k) << 20) + sep, (q, sep, k), lambda q, p, k: [f"q={Q[q]}|{S[p]}|k={K[k]}"])
+        return out
+
+    def labels(self, lines: list[list[str]]) -> list[np.ndarray | None]:
+        """Best labels of every line, None if all are O.
+
+        A token whose score for O leads by more than any transitions can give back is O on every best path; only the runs between such tokens are searched.
+        """
+        score = self.scores(lines)
+        lead = score[:, O, None] - score[:, 1:]
+        unsure = np.flatnonzero((lead <= np.array(self.sure) + 1e-9).any(axis=1))
+        out: list[np.ndarray | None] = [None] * len(lines)
+        if not len(unsure):
+            return out
+        stop = np.cumsum([len(line) for line in lines])
+        owner = np.searchsorted(stop, unsure, "right")
+        cut = np.flatnonzero((np.diff(unsure) > 1) | (np.diff(owner) > 0)) + 1
+        for run, line in zip(np.split(unsure, cut), owner[np.concatenate([[0], cut])].tolist()):
+            a, b, size = int(run[0]), int(run[-1]) + 1, len(lines[line])
+            begin = int(stop[line]) - size
+            best = self._best(score[a:b].tolist(), a == begin, b == begin + size)
+            if B in best:
+                if out[line] is None:
+                    out[line] = np.zeros(size, dtype=np.int64)
+                out[line][a - begin : b - begin] = best
+        return out
+
+    def _best(self, score: list[list[float]], first: bool, last: bool) -> list[int]:
+        """Best labels of a run that stands between two O, or at an end of its line."""
+        move = self.steps
+        x, y, z = self.chain.start.tolist() if first else move[O]
+        x, y, z = x + score[0][0], y + score[0][1], z + score[0][2]
+        back = []
+        for s in score[1:]:
+            new, came = [], []
+            for c in range(3):
+                u, v, w = x + move[0][c], y + move[1][c], z + move[2][c]
+                if u >= v and u >= w:
+                    new.append(u + s[c])
+                    came.append(0)
+                elif v >= w:
+                    new.append(v + s[c])
+                    came.append(1)
+                else:
+                    new.append(w + s[c])
+                    came.append(2)
+            x, y, z = new
+            back.append(came)
+        if not last:
+            x, y, z = x + move[0][O], y + move[1][O], z + move[2][O]
+        path = [0 if x >= y and x >= z else 1 if y >= z else 2]
+        for came in reversed(back):
+            path.append(came[path[-1]])
+        return path[::-1]
+
+
+_FIELD: dict[bytes, Field] = {}
+
+
+def _field(chain: Chain) -> Field:
+    """The field of these weights; the last one is kept, so that the tasks of one worker share its tables."""
+    key = hashlib.sha1(chain.emit.tobytes() + chain.move.tobytes() + chain.start.tobytes()).digest()
+    if key not in _FIELD:
+        for old in _FIELD.values():
+            old.known.ask = None  # else the two keep each other in memory
+        _FIELD.clear()
+        _FIELD[key] = Field(chain)
+    return _FIELD[key]
+
+
+def _values(line: str, labels: np.ndarray) -> list[tuple[int, int]]:
+    """Values in one line, whole, by the labels of its tokens."""
     found = [m.span() for m in _TOKEN.finditer(line)]
-    if not found:
-        return []
-    scores = np.concatenate([chain.emit[x].sum(axis=1) for x in features([_short(line[s:e]) for s, e in found], PIECE)])
-    labels = chain.best(scores)
     out, i = [], 0
     while i < len(found):
         if labels[i] == B:
@@ -426,30 +722,61 @@ def _values(line: str, has_block: bool, chain: Chain, code: bool) -> list[tuple[
     return out
 
 
-def spans(text: str, chain: Chain, code: bool) -> list[tuple[int, int]]:
-    """Character spans of credential values; spans of one divided value follow each other on a line or the next."""
+def _lines(text: str) -> Iterator[tuple[int, str]]:
+    """(start, line) of every line; a key block makes the lines that it covers one."""
     blocks = [m.span() for m in _BLOCK.finditer(text)] if "-----BEGIN " in text else []
-    out: list[tuple[int, int]] = []
-    done, k = -1, 0
-    for start, _ in sorted([*_hint_spans(text), *blocks]):
-        if start < done:
-            continue
-        first, last = max(done, text.rfind("\n", 0, start) + 1), text.find("\n", start)
-        last = len(text) if last < 0 else last
-        while k < len(blocks) and blocks[k][1] <= first:
+    at, k = 0, 0
+    while k < len(blocks):
+        begin, end = blocks[k]
+        begin, end = max(at, text.rfind("\n", 0, begin) + 1), text.find("\n", end)
+        end = len(text) if end < 0 else end
+        if at < begin:
+            for line in text[at : begin - 1].split("\n"):
+                yield at, line
+                at += len(line) + 1
+        while k < len(blocks) and blocks[k][0] < end:  # blocks that begin on the last of these lines
+            if blocks[k][1] > end:
+                end = text.find("\n", blocks[k][1])
+                end = len(text) if end < 0 else end
             k += 1
-        inside = k
-        while inside < len(blocks) and blocks[inside][0] < last:  # a block that begins on this line makes its lines part of it
-            first, end = min(first, blocks[inside][0]), blocks[inside][1]
-            if end > last:
-                last = text.find("\n", end)
-                last = len(text) if last < 0 else last
-            inside += 1
-        out += [(first + s, first + e) for s, e in _values(text[first:last], inside > k, chain, code)]
-        done = last
+        yield begin, text[begin:end]
+        at = end + 1
+    if at < len(text):
+        for line in text[at:].split("\n"):
+            yield at, line
+            at += len(line) + 1
+
+
+def spans_of(texts: list[str], chain: Chain) -> list[list[tuple[int, int]]]:
+    """Character spans of the credential values of each text: every line of it is decoded by the field."""
+    field, out = _field(chain), [[] for _ in texts]
+    places, lines, size = [], [], 0
+
+    def decode() -> None:
+        if lines:
+            for (n, at, line), labels in zip(places, field.labels(lines)):
+                if labels is not None:
+                    out[n] += [(at + s, at + e) for s, e in _values(line, labels)]
+
+    for n, text in enumerate(texts):
+        for at, line in _lines(text):
+            tokens = _TOKEN.findall(line)
+            if tokens:
+                places.append((n, at, line))
+                lines.append(tokens)
+                size += len(line)
+                if size >= CHUNK:
+                    decode()
+                    places, lines, size = [], [], 0
+    decode()
     return out
 
 
+def spans(text: str, chain: Chain, code: bool = False) -> list[tuple[int, int]]:
+    """Character spans of credential values; spans of one divided value follow each other on a line or the next. ``code`` changes nothing: every line of every kind of file is decoded."""
+    return spans_of([text], chain)[0]
+
+
 _JOIN = re.compile(r"[\"'`]?\s*(?:[+.\\]|\)?\s*)?\s*[\"'`]?")
 
 
@@ -494,8 +821,8 @@ def _runner(id_col: str, kind: str, masked: bool):
             chain.emit[keys] = rows
             for b in batches:
                 ids, lines, texts, counts = [], [], [], []
-                for rid, path, text in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), b.column(2).to_pylist()):
-                    found = spans(text, chain, bool(path and _CODE.search(path)))
+                whole = b.column(1).to_pylist()
+                for rid, text, found in zip(b.column(0).to_pylist(), whole, spans_of(whole, chain)):
                     at = start_lines(text, found)
                     if masked:
                         ids.append(rid)
@@ -523,15 +850,15 @@ def _parts():
     return keys, chain.emit[keys], chain.move, chain.start
 
 
-def find(files: DataFrame, id_col: str = "file_id", path_col: str = "file_path", text_col: str = "raw_content") -> DataFrame:
+def find(files: DataFrame, id_col: str = "file_id", text_col: str = "raw_content") -> DataFrame:
     """(id, line_no) of every line on which a credential's value starts."""
     kind = dict(files.dtypes)[id_col]
-    base = files.select(id_col, path_col, text_col).where(F.length(text_col) > 0)
+    base = files.select(id_col, text_col).where(F.length(text_col) > 0)
     return base.mapInArrow(_runner(id_col, kind, False)(_parts()), f"{id_col} {kind}, line_no bigint").distinct()
 
 
-def redact(files: DataFrame, id_col: str = "file_id", path_col: str = "file_path", text_col: str = "raw_content") -> DataFrame:
+def redact(files: DataFrame, id_col: str = "file_id", text_col: str = "raw_content") -> DataFrame:
     """(id, n_credentials, line_nos, masked_text) of every row that holds one; rows without keep their text."""
     kind = dict(files.dtypes)[id_col]
-    base = files.select(id_col, path_col, text_col).where(F.length(text_col) > 0)
+    base = files.select(id_col, text_col).where(F.length(text_col) > 0)
     return base.mapInArrow(_runner(id_col, kind, True)(_parts()), f"{id_col} {kind}, n_credentials int, line_nos array<bigint>, masked_text string").where("n_credentials > 0")

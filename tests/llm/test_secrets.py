@@ -1,4 +1,5 @@
 import ast
+import random
 
 import numpy as np
 import pytest
@@ -117,3 +118,48 @@ def test_forms_held_out():
     total = sum(len(spans) for _, spans in lines)
     print(f"held out: {hit} of {total}")
     assert total > 300 and hit >= 0.6 * total
+
+
+@pytest.mark.parametrize("code", [False, True])
+@pytest.mark.parametrize("line", ["// user svc-a, pw Cedar-brittle2569_x", "user svc-b, pw Marble!stale3106Q", "# user svc-c, pw Falcon.narrow220!"])
+def test_lines_without_hint_words(chain, line, code):
+    """The field decodes every line, also those without a word that hints at a credential or a quoted value."""
+    text = f'x = """\n{line}\n"""\n'
+    assert S.start_lines(text, S.spans(text, chain, code)) == [2]
+    assert S.mask(text, S.spans(text, chain, code)).count("*") == len(line.split()[-1])
+
+
+def test_plain_lines_have_none(chain):
+    """Forms of ordinary lines, drawn anew."""
+    r = random.Random(77)
+    lines = [S._plain(r) for _ in range(3_000)]
+    assert sum(map(bool, S.spans_of(lines, chain))) <= 20
+
+
+def test_many_lines_at_once(chain):
+    """The field over many lines gives the features' scores and the best path's starts, whatever stands in the same chunk."""
+    r = random.Random(5)
+    odd = list("\"'`=:>;^$(),.#") + ["password", "key", "str", "char", "https://", "://", "Bearer", "basic", "x9", YES[1].split('"')[1], "a.example", "w", "T" * 30, "Q3xV" * 900, "é", "中", "-----BEGIN PRIVATE KEY-----"]
+    lines = [S._TOKEN.findall(x) for x, _ in S.training_lines()[:400]] + [[r.choice(odd) for _ in range(r.randint(1, 30))] for _ in range(2_000)]
+    lines = [x for x in lines if x]
+    r.shuffle(lines)
+    whole = S.Field(chain)
+    at = 0
+    for n in (1, 2, 50, len(lines)):
+        part, at = lines[at : at + n], at + n
+        refs = [chain.emit[next(S.features([S._short(t) for t in x]))].sum(axis=1) for x in part]
+        assert np.abs(whole.scores(part) - np.concatenate(refs)).max() < 1e-9
+        for ref, got in zip(refs, whole.labels(part)):
+            best = np.array(chain.best(ref))
+            assert (got is None and S.B not in best) or ((got == S.B) == (best == S.B)).all()
+
+
+def test_lines_and_blocks():
+    """Every line is given once with its place; those that blocks cover are one."""
+    block = KEY + KEY
+    for text in ("", "\n", "a", "a\nb\n", "\n\na\n", f"a\n{block}\nb", f"{KEY}", f"x{KEY}y{KEY}z\n\nb\n{KEY}", f"a\n\n{KEY}\n{KEY}\n\nb"):
+        units = list(S._lines(text))
+        assert all(text.startswith(line, at) for at, line in units)
+        assert sum(line.count("-----END") for _, line in units) == text.count("-----END")
+        assert {at + i for at, line in units for i in range(len(line))} >= {i for i, c in enumerate(text) if c != "\n"}
+        assert len({at for at, _ in units}) == len(units)
